@@ -1,0 +1,9 @@
+"""Column expressions, and small numpy helpers that Arrow UDFs send along by value, so
+executors need no installed copy of this package."""
+
+from pyspark import cloudpickle
+
+from panelyard.functions import linear, tails
+
+for _module in (linear, tails):
+    cloudpickle.register_pickle_by_value(_module)

@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.linear import pairs, solve
 from panelyard.functions.numeric import clean
-from panelyard.operators.models import solve
-from panelyard.operators.moments import group_moments, model_frame, moment_columns, pairs
+from panelyard.operators.moments import group_moments, model_frame, moment_columns
 from panelyard.operators.sizing import measured
 
 ALL_ROWS = 0   # pseudo fold holding every row; real folds count from 1

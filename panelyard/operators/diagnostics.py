@@ -6,23 +6,28 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.functions.linear import solve
 from panelyard.functions.numeric import clean
 from panelyard.functions.tails import chi2_tail
 from panelyard.operators.models import Fit, fit_ols
 from panelyard.operators.moments import model_frame, moment_columns, read_cross
-from panelyard.operators.models import solve
 from panelyard.operators.ranks import BLOCK_ROWS, cumulative_counts
 from panelyard.operators.sizing import attach_stats
 
 TEST_SCHEMA = "test string, statistic double, df int, p_value double, n_obs long"
 
 
-@F.pandas_udf("double")
-def _chi2_1_tail(stat: pd.Series) -> pd.Series:
-    return pd.Series(chi2_tail(stat.to_numpy(dtype=float, na_value=np.nan), 1.0))
+def _tail_column(stat: str) -> Column:
+    """p-values of chi-square(1) statistics; Spark SQL has no erfc, so by an Arrow UDF."""
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return pd.Series(chi2_tail(values.to_numpy(dtype=float, na_value=np.nan), 1.0))
+
+    return clean(tail(stat))
 
 
 def hausman(fixed: Fit, random: Fit) -> DataFrame:
@@ -78,7 +83,7 @@ def bp_test_by(df: DataFrame, y: str, x: str, entity: str, min_rows: int = 3) ->
         F.count("*").alias("n_obs"),
         F.when(F.count("*") >= min_rows, F.count("*") * link * link).alias("statistic"),
     )
-    return tests.withColumn("p_value", clean(_chi2_1_tail("statistic")))
+    return tests.withColumn("p_value", _tail_column("statistic"))
 
 
 def bh_adjust(

@@ -14,10 +14,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.functions.linear import inverse, pairs, solve
 from panelyard.functions.numeric import normal_quantile
 from panelyard.functions.tails import f_tail, normal_tail, t_tail
 from panelyard.operators.moments import (
-    group_moments, model_frame, moment_columns, pairs, read_cross, read_means, sum_cross,
+    group_moments, model_frame, moment_columns, read_cross, read_means, sum_cross,
 )
 from panelyard.operators.sizing import attach_stats, measured
 
@@ -25,21 +26,6 @@ INTERCEPT = "(Intercept)"
 COEF_SCHEMA = "term string, estimate double, std_error double, statistic double, p_value double"
 
 
-def solve(matrix: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """Solve a normal-equation system; collinear terms are an error."""
-    scale = np.sqrt(np.diag(matrix))
-    if not np.all(scale > 0) or np.linalg.cond(matrix / np.outer(scale, scale)) > 1e12:
-        raise ValueError("terms are constant or collinear")
-    scaled = matrix / np.outer(scale, scale)
-    rhs = np.asarray(rhs)
-    divide = scale if rhs.ndim == 1 else scale[:, None]
-    return np.linalg.solve(scaled, rhs / divide) / divide
-
-
-def inverse(matrix: np.ndarray) -> np.ndarray:
-    return solve(matrix, np.eye(len(matrix)))
-
-
 @dataclass
 class Fit:
     """A fitted regression. ``coef`` and ``cov`` start with the intercept if there is one."""

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.functions.linear import pairs
 from panelyard.functions.numeric import clean
 
 
@@ -25,10 +26,6 @@ def model_frame(df: DataFrame, y: str, xs: Sequence[str], carry: Sequence[str] =
     return frame.na.drop("any", subset=[f"v{i}" for i in range(len(names))])
 
 
-def pairs(k: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-
-
 def moment_columns(k: int, prefix: str = "v") -> list[Column]:
     rows = F.count(f"{prefix}0")
     cols = [rows.alias("n")]

@@ -295,7 +295,7 @@ def distinct_periods(spark, sf):
 w AS (SELECT *, avg(ln(num / orders)) OVER (PARTITION BY entity) AS average,
       avg(num) OVER (PARTITION BY entity) AS average_num FROM cy WHERE period BETWEEN 1996 AND 2000)
 SELECT entity, period, round(ln(num / orders), 6) AS index_log, round(average, 6) AS average,
-       round(average_num, 2) AS average_num FROM w WHERE period = 1998""")
+       round(average_num, 4) AS average_num FROM w WHERE period = 1998""")
 def entity_baseline(spark, sf):
     df = build_ratio_index(customer_year(spark, sf), "num", "orders")
     out = baseline_average(
@@ -303,7 +303,7 @@ def entity_baseline(spark, sf):
     )
     return out.select(
         "entity", "period", F.round("index_log", 6).alias("index_log"), F.round("average", 6).alias("average"),
-        F.round("average_num", 2).alias("average_num"),
+        F.round("average_num", 4).alias("average_num"),
     )
 
 
@@ -435,15 +435,15 @@ def _five(col: str, source: str) -> str:
 
 
 @query(f"""WITH src AS (SELECT l_quantity, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_extendedprice END AS price,
-  l_discount FROM lineitem)
-{_five('l_quantity', 'src')} UNION ALL {_five('price', 'src')} UNION ALL {_five('l_discount', 'src')}""")
+  l_extendedprice * (1 - l_discount) AS revenue FROM lineitem)
+{_five('l_quantity', 'src')} UNION ALL {_five('price', 'src')} UNION ALL {_five('revenue', 'src')}""")
 def five_number(spark, sf):
     df = load(spark, sf, "lineitem").select(
         "l_quantity",
         F.when(F.col("l_linenumber") % 3 != 0, F.col("l_extendedprice")).alias("price"),
-        "l_discount",
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
     )
-    table = summary_table(df, ["l_quantity", "price", "l_discount"])
+    table = summary_table(df, ["l_quantity", "price", "revenue"])
     return table.select(
         "column", *[F.round(c, 6).alias(c) for c in ("min", "q1", "median", "q3", "max", "mean")], "n_null"
     )
