@@ -112,7 +112,7 @@ def lag_rows(
         order = Window.partitionBy(entity).orderBy(F.col(period).asc_nulls_last())
         return df.withColumn(out, F.lag(col, n).over(order))
 
-    splits = quantile_splits(df, period, math.ceil(sizes[1] / window_rows))
+    splits = quantile_splits(df, period, math.ceil(sizes[1] / window_rows), sizes[1])
     blocked = df.withColumn("_block", block_of(period, splits))
     before = Window.partitionBy(entity).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -157,13 +157,12 @@ def cv_rmse(
     with fewer than ``min_rows`` rows on a side or without a fit has NULL errors.
     """
     xs, k = list(xs), len(xs)
-    folds = folds if folds is not None else make_folds(df, period, width)
-    roles, _ = measured(fold_roles(df, folds, period))
-
-    whole = model_frame_marked(df, y, xs, period)
-    by_period = whole.groupBy("period").agg(
-        F.count("*").alias("rows"), *moment_columns(k)
+    # One row per period. It also gives the time axis, so folds need no pass of their own.
+    by_period, _ = measured(
+        model_frame_marked(df, y, xs, period).groupBy("period").agg(F.count("*").alias("rows"), *moment_columns(k))
     )
+    folds = folds if folds is not None else make_folds(by_period, "period", width)
+    roles, _ = measured(fold_roles(by_period, folds, "period"))
     raw = {
         f"r{i}_{j}": F.coalesce(
             F.col(f"c{i}_{j}") + F.col("n") * F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)

@@ -95,12 +95,11 @@ def bh_adjust(
     above, and from the blocks above only their minima.
     """
     by = list(by)
-    table = cumulative_counts(df, p_col, by, block_rows)
-    totals = table.groupBy(*by).agg(F.sum("cnt").alias("_m"))
+    table, total = cumulative_counts(df, p_col, by, block_rows)
     if by:
-        table = attach_stats(table, totals, by)
+        table = attach_stats(table, table.groupBy(*by).agg(F.sum("cnt").alias("_m")), by)
     else:
-        table = table.withColumn("_m", totals.scalar())
+        table = table.withColumn("_m", F.lit(total))
     table = table.withColumn("_v", F.col("_m") * F.col(p_col) / F.col("cum"))
     above = Window.partitionBy(*by).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     minima = (

@@ -18,15 +18,23 @@ def join_panel(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe
     return left.join(right, list(keys), "left")
 
 
+def one_row_per_key(dim: DataFrame, key: str) -> DataFrame:
+    """The dimension with a run-time error where a key has several rows. Its shuffle is by
+    the join key, so a shuffled join on it needs no other one."""
+    others = [c for c in dim.columns if c != key]
+    rows = dim.groupBy(key).agg(F.count("*").alias("_rows"), F.first(F.struct(*others)).alias("_row"))
+    message = F.concat(F.lit(f"several dimension rows for {key} = "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    single = F.when(F.col("_rows") == 1, F.col("_row")).otherwise(F.raise_error(message))
+    return rows.select(key, single.alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in others])
+
+
 def attach_dim(
     df: DataFrame, dim: DataFrame, key: str, fanout: bool = False, null_safe: bool = False
 ) -> DataFrame:
     """Left join of a dimension. ``fanout=True`` lets an entity sit in several groups;
-    otherwise a repeated key in the dimension is an error."""
+    otherwise a repeated key in the dimension is an error when the plan runs."""
     if not fanout:
-        twice = dim.groupBy(key).count().filter("count > 1").take(1)
-        if twice:
-            raise ValueError(f"dimension has several rows for {key}={twice[0][0]!r}")
+        dim = one_row_per_key(dim, key)
     if null_safe:
         return null_safe_join(df, dim, [key])
     return df.join(dim, key, "left")
@@ -48,9 +56,7 @@ def resolve_entity(
 ) -> DataFrame:
     """Entity names to codes through an alias table; names it does not know get NULL."""
     known = aliases.select(normal_name(F.col(alias)).alias("_alias"), F.col(code)).distinct()
-    clash = known.groupBy("_alias").count().filter("count > 1").take(1)
-    if clash:
-        raise ValueError(f"alias {clash[0][0]!r} stands for several codes")
+    known = one_row_per_key(known, "_alias")
     return df.join(known, normal_name(df[name]) == known["_alias"], "left").drop("_alias")
 
 

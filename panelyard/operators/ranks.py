@@ -10,20 +10,29 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators.sizing import measured, null_safe_join
+from panelyard.operators.sizing import null_safe_join
 
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 200_000
+SAMPLE_ROWS = 100_000   # rows looked at to place split points; results never depend on them
 
 
-def quantile_splits(df: DataFrame, col: str, blocks: int) -> list[float]:
+def thinned(df: DataFrame, rows: int) -> DataFrame:
+    """About SAMPLE_ROWS rows, so that placing split points moves little data to one task."""
+    return df if rows <= SAMPLE_ROWS else df.sample(SAMPLE_ROWS / rows, seed=7)
+
+
+def quantile_splits(df: DataFrame, col: str, blocks: int, rows: int) -> list[float]:
     """At most ``blocks - 1`` distinct cut points with about equal row counts between them."""
     if blocks <= 1:
         return []
     points = [i / blocks for i in range(1, blocks)]
-    found = df.agg(F.percentile_approx(F.col(col).cast("double"), points, max(10_000, 10 * blocks))).first()[0]
+    found = thinned(df, rows).agg(
+        F.percentile_approx(F.col(col).cast("double"), points, max(10_000, 10 * blocks))
+    ).first()[0]
     return sorted(set(found or []))
 
 
@@ -37,19 +46,28 @@ def block_of(col: str, splits: Sequence[float]) -> Column:
 
 
 def cumulative_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    df: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
+    weight: str | None = None,
+) -> tuple[DataFrame, int]:
     """Each distinct non-NULL value per ``by`` group: its count ``cnt``, and ``cum``, the
-    number of rows at or below it. ``block`` is kept for ordered work across blocks."""
+    number of rows at or below it. ``block`` is kept for ordered work across blocks.
+    ``weight`` names a column of counts for rows that stand for several. Also returns the
+    number of non-NULL rows."""
     by = list(by)
-    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("cnt"))
-    values, n = measured(values)
-    splits = quantile_splits(values, value, math.ceil(n / block_rows))
+    values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        (F.sum(weight) if weight else F.count("*")).alias("cnt")
+    )
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    distinct, total = values.agg(F.count("*"), F.coalesce(F.sum("cnt"), F.lit(0))).first()
+    splits = quantile_splits(values, value, math.ceil(distinct / block_rows), distinct)
     values = values.withColumn("block", block_of(value, splits))
     inside = Window.partitionBy(*by, "block").orderBy(value)
     inner = values.withColumn("cum", F.sum("cnt").over(inside))
     if not splits:
-        return inner
+        return inner, total
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         values.groupBy(*by, "block")
@@ -57,27 +75,123 @@ def cumulative_counts(
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    return (
-        null_safe_join(inner, offsets, [*by, "block"])
-        .withColumn("cum", F.col("cum") + F.col("_offset"))
-        .drop("_offset")
-    )
+    shifted = null_safe_join(inner, offsets, [*by, "block"]).withColumn("cum", F.col("cum") + F.col("_offset"))
+    return shifted.drop("_offset"), total
+
+
+def _brackets(shares: Sequence[float], edges: Sequence[float] | None) -> list[tuple[float, float]]:
+    """Sorted disjoint closed intervals around the sampled edges at ``shares`` (low, high,
+    low, high, ...); a share at or past 0 or 1 leaves its side open."""
+    if edges is None:
+        return [(-math.inf, math.inf)]
+    open_ended = [-math.inf if p <= 0 else math.inf if p >= 1 else e for p, e in zip(shares, edges)]
+    spans = sorted(zip(open_ended[::2], open_ended[1::2]))
+    merged: list[tuple[float, float]] = []
+    for lo, hi in spans:
+        if merged and lo <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged
+
+
+def _classed(df: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """(column, class, value, cnt). Odd classes are brackets and keep their distinct values;
+    even classes are the stretches between them and keep only a count."""
+    parts = []
+    for c, spans in brackets.items():
+        v = F.col(c)
+        inside = F.lit(False)
+        passed = F.lit(0)
+        for lo, hi in spans:
+            inside = inside | v.between(lo, hi)
+            passed = passed + F.when(v > hi, 2).otherwise(0)
+        parts.append(F.struct(
+            F.lit(c).alias("column"),
+            (passed + F.when(inside, 1).otherwise(0)).alias("class"),
+            F.when(inside, v).alias("value"),
+            v.isNotNull().alias("known"),
+        ))
+    rows = df.select(F.inline(F.array(*parts))).filter("known")
+    return rows.groupBy("column", "class", "value").agg(F.count("*").alias("cnt"))
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, points: Sequence[float], names: Sequence[str], block_rows: int = BLOCK_ROWS
+    df: DataFrame,
+    counts: dict[str, int],
+    points: Sequence[float],
+    names: Sequence[str],
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Linearly interpolated quantiles (position (n - 1) * p) as one row, over data of any size."""
-    table = cumulative_counts(df, value, block_rows=block_rows)
-    n = table.agg(F.sum("cnt")).first()[0] or 0
-
-    def ranked(k: int) -> Column:
-        return F.max(F.when((F.col("cum") - F.col("cnt") <= k) & (F.col("cum") > k), F.col(value)))
-
-    out = []
-    for p, name in zip(points, names):
-        h = (n - 1) * p if n else 0
-        low = math.floor(h)
-        high = min(low + 1, max(n - 1, 0))
-        out.append((ranked(low) + (h - low) * (ranked(high) - ranked(low))).alias(name))
-    return table.agg(*out)
+    """Linearly interpolated quantiles (position (n - 1) * p), one row per column.
+
+    ``df`` holds double columns without NaN, ``counts`` their numbers of non-NULL values.
+    A sample brackets each quantile; one pass then counts what lies between the brackets
+    and keeps the values inside them, and the ranks are looked up there. Should a rank fall
+    outside its bracket, the column is done again with everything inside.
+    """
+    rows = max(counts.values(), default=0)
+    taken = min(rows, SAMPLE_ROWS) or 1
+    accuracy = 2000
+    margin = 6 * math.sqrt(0.25 / taken) + 2 / accuracy
+    shares = [p + d for p in points for d in (-margin, margin)]
+    inner = [min(max(p, 0.0), 1.0) for p in shares]
+    sampled = thinned(df, rows).agg(*[F.percentile_approx(c, inner, accuracy).alias(c) for c in counts]).first()
+    brackets = {c: _brackets(shares, sampled[c]) for c in counts}
+
+    wanted = {c: [(n - 1) * p if n else 0.0 for p in points] for c, n in counts.items()}
+
+    def missed(totals) -> set[str]:
+        out, seen = set(), dict.fromkeys(counts, 0)
+        for c, cls, n in totals:
+            low, seen[c] = seen[c], seen[c] + n
+            if cls % 2 == 0 and any(low <= k < seen[c] for h in wanted[c] for k in (math.floor(h), math.ceil(h))):
+                out.add(c)
+        return out
+
+    def count_classes():
+        table = _classed(df, brackets).persist(StorageLevel.MEMORY_AND_DISK)
+        totals = table.groupBy("column", "class").agg(F.sum("cnt").alias("n")).orderBy("column", "class")
+        return table, [tuple(r) for r in totals.collect()]
+
+    table, totals = count_classes()
+    again = missed(totals)
+    if again:
+        brackets.update(dict.fromkeys(again, _brackets(shares, None)))
+        table.unpersist()
+        table, totals = count_classes()
+
+    start, offsets = dict.fromkeys(counts, 0), []
+    for c, cls, n in totals:
+        offsets.append((c, cls, start[c]))
+        start[c] += n
+    shift = df.sparkSession.createDataFrame(offsets or [("", 0, 0)], "column string, class int, _start long")
+    cum, _ = cumulative_counts(table, "value", ["column", "class"], block_rows, weight="cnt")
+    placed = cum.join(shift, ["column", "class"]).withColumn("cum", F.col("cum") + F.col("_start"))
+
+    def ranked(ranks: dict[str, int]) -> Column:
+        k = F.lit(None).cast("long")
+        for c, r in ranks.items():
+            k = F.when(F.col("column") == c, r).otherwise(k)
+        return F.max(F.when((F.col("cum") - F.col("cnt") <= k) & (F.col("cum") > k), F.col("value")))
+
+    found = []
+    for i in range(len(points)):
+        low = {c: math.floor(h[i]) for c, h in wanted.items()}
+        high = {c: math.ceil(h[i]) for c, h in wanted.items()}
+        found += [ranked(low).alias(f"l{i}"), ranked(high).alias(f"h{i}")]
+    stats = placed.groupBy("column").agg(*found)
+
+    def share(i: int) -> Column:
+        w = F.lit(0.0)
+        for c, h in wanted.items():
+            w = F.when(F.col("column") == c, h[i] - math.floor(h[i])).otherwise(w)
+        return w
+
+    return stats.select(
+        "column",
+        *[
+            (F.col(f"l{i}") + share(i) * (F.col(f"h{i}") - F.col(f"l{i}"))).alias(name)
+            for i, name in enumerate(names)
+        ],
+    )

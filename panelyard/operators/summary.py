@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,6 @@ from panelyard.operators.ranks import exact_quantiles
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_NAMES = ("min", "q1", "median", "q3", "max")
-DISTINCT_LIMIT = 1_000_000   # distinct values the built-in percentile may hold in one buffer
 
 
 def describe_index(df: DataFrame, col: str) -> DataFrame:
@@ -55,49 +53,20 @@ def key_figures(df: DataFrame, col: str, key: str) -> DataFrame:
     )
 
 
-def summary_table(df: DataFrame, cols: Sequence[str], distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
-    """Five-number summary, mean and NULL count, one row per column; quantiles are exact.
-
-    The built-in percentile holds a column's distinct values in one buffer, so it is
-    taken only where a first pass shows these to be few.
-    """
-    probe = df.agg(*[F.approx_count_distinct(clean(c)).alias(c) for c in cols]).first()
-    few = [c for c in cols if probe[c] <= distinct_limit]
-    parts = []
-    if few:
-        wide = df.agg(*[
-            F.struct(
-                F.percentile(clean(c), list(QUARTILES)).alias("p"),
-                F.avg(clean(c)).alias("mean"),
-                F.count_if(clean(c).isNull()).alias("n_null"),
-            ).alias(c)
-            for c in few
-        ])
-        rows = F.array(*[
-            F.struct(
-                F.lit(c).alias("column"),
-                *[F.col(c)["p"][i].alias(n) for i, n in enumerate(QUARTILE_NAMES)],
-                F.col(c)["mean"].alias("mean"),
-                F.col(c)["n_null"].alias("n_null"),
-            )
-            for c in few
-        ])
-        parts.append(wide.select(F.inline(rows)))
-    for c in cols:
-        if c not in few:
-            values = df.select(clean(c).alias("v"))
-            rest = values.agg(
-                F.struct(F.avg("v").alias("mean"), F.count_if(F.col("v").isNull()).alias("n_null"))
-            ).scalar()
-            parts.append(
-                exact_quantiles(values, "v", QUARTILES, QUARTILE_NAMES).select(
-                    F.lit(c).alias("column"),
-                    *QUARTILE_NAMES,
-                    rest["mean"].alias("mean"),
-                    rest["n_null"].alias("n_null"),
-                )
-            )
-    return reduce(DataFrame.unionAll, parts)
+def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exact five-number summary, mean and NULL count, one row per column."""
+    values = df.select(*[clean(F.col(c).cast("double")).alias(c) for c in cols])
+    row = values.agg(
+        *[F.count(c).alias(f"n_{c}") for c in cols],
+        *[F.avg(c).alias(f"mean_{c}") for c in cols],
+        F.count("*").alias("n"),
+    ).first()
+    counts = {c: row[f"n_{c}"] for c in cols}
+    quantiles = exact_quantiles(values, counts, QUARTILES, QUARTILE_NAMES)
+    rest = df.sparkSession.createDataFrame(
+        [(c, row[f"mean_{c}"], row["n"] - counts[c]) for c in cols], "column string, mean double, n_null long"
+    )
+    return rest.join(quantiles, "column", "left").select("column", *QUARTILE_NAMES, "mean", "n_null")
 
 
 def histogram_table(df: DataFrame, col: str, bins: int | None = 20) -> DataFrame:

@@ -336,7 +336,7 @@ SELECT cy.entity, period, income_group,
 FROM cy JOIN customer ON cy.entity = c_custkey JOIN dim ON dim.entity = c_nationkey
 WHERE period BETWEEN 1996 AND 2000 AND income_group IS NOT NULL""")
 def income_baseline(spark, sf):
-    df = _customers_by_group(spark, sf)
+    df = _customers_by_group(spark, sf).persist()
     out = baseline_by_group(
         df, "income_group", "index_log", period="period", years=(1996, 2000), drop_null_group=True
     )
@@ -361,7 +361,7 @@ b AS (SELECT income_group, avg(ln(num / orders)) OVER (PARTITION BY income_group
 SELECT income_group, round(min(baseline), 6) AS ymin, round(max(baseline), 6) AS ymax
 FROM b WHERE income_group IS NOT NULL GROUP BY income_group""")
 def income_bounds(spark, sf):
-    rows = baseline_by_group(_customers_by_group(spark, sf), "income_group", "index_log")
+    rows = baseline_by_group(_customers_by_group(spark, sf).persist(), "income_group", "index_log")
     return group_bounds(rows, "income_group", "baseline").select(
         "income_group", F.round("ymin", 6).alias("ymin"), F.round("ymax", 6).alias("ymax")
     )
@@ -372,7 +372,7 @@ def income_bounds(spark, sf):
 SELECT entity, period, round(num, 2) AS num,
        round(lag(num, 5) OVER (PARTITION BY entity ORDER BY period), 2) AS num_lag FROM m""")
 def lag5(spark, sf):
-    monthly = customer_year(spark, sf, period=month_key()).select("entity", "period", "num")
+    monthly = customer_year(spark, sf, period=month_key()).select("entity", "period", "num").persist()
     return lag_rows(monthly, "entity", "period", "num", 5).select(
         "entity", "period", F.round("num", 2).alias("num"), F.round("num_lag", 2).alias("num_lag")
     )

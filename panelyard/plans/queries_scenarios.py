@@ -144,7 +144,7 @@ SELECT p.entity, p.period, p.scenario, s.region, round(proj_fit, 6) AS proj_fit,
   round(index_upr, 6) AS index_upr, round(index_lwr, 6) AS index_lwr, round(exp_index_fit, 2) AS exp_index_fit
 FROM proj p JOIN cg ON p.entity = customer JOIN summ s ON cg.region = s.region AND p.scenario = s.scenario AND p.period = s.period""")
 def region_summary_rows(spark, sf):
-    rows = scenario_summary(_with_groups(spark, sf), "region", period="period")
+    rows = scenario_summary(_with_groups(spark, sf).persist(), "region", period="period")
     return rows.select(
         "entity", "period", "scenario", "region",
         *[F.round(c, 6).alias(c) for c in ("proj_fit", "index_fit", "index_upr", "index_lwr")],
