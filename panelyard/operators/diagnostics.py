@@ -15,7 +15,7 @@ from panelyard.functions.tails import chi2_tail
 from panelyard.operators.models import Fit, fit_ols
 from panelyard.operators.moments import model_frame, moment_columns, read_cross
 from panelyard.operators.ranks import BLOCK_ROWS, cumulative_counts
-from panelyard.operators.sizing import attach_stats
+from panelyard.operators.sizing import attach_stats, null_safe_join
 
 TEST_SCHEMA = "test string, statistic double, df int, p_value double, n_obs long"
 
@@ -97,10 +97,10 @@ def bh_adjust(
     by = list(by)
     table, total = cumulative_counts(df, p_col, by, block_rows)
     if by:
-        table = attach_stats(table, table.groupBy(*by).agg(F.sum("cnt").alias("_m")), by)
+        table = null_safe_join(table, table.groupBy(*by).agg(F.sum("cnt").alias("_m")), by)
     else:
         table = table.withColumn("_m", F.lit(total))
-    table = table.withColumn("_v", F.col("_m") * F.col(p_col) / F.col("cum"))
+    table = table.withColumn("_v", F.col("_m") / F.col("cum") * F.col(p_col))
     above = Window.partitionBy(*by).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     minima = (
         table.groupBy(*by, "block").agg(F.min("_v").alias("_low")).withColumn("_later", F.min("_low").over(above))
@@ -108,7 +108,7 @@ def bh_adjust(
     inside = (
         Window.partitionBy(*by, "block").orderBy(F.col(p_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     )
-    adjusted = attach_stats(table, minima, [*by, "block"]).select(
+    adjusted = null_safe_join(table, minima, [*by, "block"]).select(
         *by, p_col, "cnt", F.least(F.min("_v").over(inside), "_later", F.lit(1.0)).alias(out)
     )
     return attach_stats(df, adjusted, [*by, p_col], weight="cnt").drop("cnt")

@@ -26,10 +26,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(app: str = "panelyard", cpus: str | None = None) -> SparkSession:
+def build_session(
+    app: str = "panelyard", cpus: str | None = None, conf: dict[str, str] | None = None
+) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster pass your own and call ``tune``."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
@@ -37,7 +39,9 @@ def build_session(app: str = "panelyard", cpus: str | None = None) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)

@@ -10,7 +10,11 @@ from panelyard.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests")
+    # Many small plans: quick compilation matters more than peak speed.
+    session = build_session("tests", "8", {
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+        "spark.sql.shuffle.partitions": "4",
+    })
     yield session
     session.stop()
 
