@@ -46,8 +46,10 @@ def baseline_average(
     """
     keys = _keys(entity)
     window = df.filter(F.col(period).between(*years))
-    means = window.groupBy(*keys).agg(*[F.avg(clean(c)).alias(out) for c, out in cols.items()])
-    return null_safe_join(window.filter(F.col(period) == at).drop(*cols.values()), means, keys)
+    means = window.groupBy(*keys).agg(
+        F.count("*").alias("_rows"), *[F.avg(clean(c)).alias(out) for c, out in cols.items()]
+    )
+    return attach_stats(window.filter(F.col(period) == at), means, keys, weight="_rows").drop("_rows")
 
 
 def baseline_by_group(

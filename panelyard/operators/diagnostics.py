@@ -95,20 +95,21 @@ def bh_adjust(
     above, and from the blocks above only their minima.
     """
     by = list(by)
-    table, total = cumulative_counts(df, p_col, by, block_rows)
+    table, total, blocks = cumulative_counts(df, p_col, by, block_rows)
     if by:
         table = null_safe_join(table, table.groupBy(*by).agg(F.sum("cnt").alias("_m")), by)
     else:
         table = table.withColumn("_m", F.lit(total))
     table = table.withColumn("_v", F.col("_m") / F.col("cum") * F.col(p_col))
-    above = Window.partitionBy(*by).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    minima = (
-        table.groupBy(*by, "block").agg(F.min("_v").alias("_low")).withColumn("_later", F.min("_low").over(above))
-    ).drop("_low")
+    if blocks > 1:
+        above = Window.partitionBy(*by).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        minima = table.groupBy(*by, "block").agg(F.min("_v").alias("_low"))
+        minima = minima.withColumn("_later", F.min("_low").over(above)).drop("_low")
+        table = null_safe_join(table, minima, [*by, "block"])
+    else:
+        table = table.withColumn("_later", F.lit(None).cast("double"))
     inside = (
         Window.partitionBy(*by, "block").orderBy(F.col(p_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     )
-    adjusted = null_safe_join(table, minima, [*by, "block"]).select(
-        *by, p_col, "cnt", F.least(F.min("_v").over(inside), "_later", F.lit(1.0)).alias(out)
-    )
+    adjusted = table.select(*by, p_col, "cnt", F.least(F.min("_v").over(inside), "_later", F.lit(1.0)).alias(out))
     return attach_stats(df, adjusted, [*by, p_col], weight="cnt").drop("cnt")

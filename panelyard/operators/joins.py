@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.operators.sizing import null_safe_join
+from panelyard.operators.sizing import measured, null_safe_join
 
 
 def join_panel(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
@@ -19,13 +19,15 @@ def join_panel(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe
 
 
 def one_row_per_key(dim: DataFrame, key: str) -> DataFrame:
-    """The dimension with a run-time error where a key has several rows. Its shuffle is by
-    the join key, so a shuffled join on it needs no other one."""
-    others = [c for c in dim.columns if c != key]
-    rows = dim.groupBy(key).agg(F.count("*").alias("_rows"), F.first(F.struct(*others)).alias("_row"))
-    message = F.concat(F.lit(f"several dimension rows for {key} = "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
-    single = F.when(F.col("_rows") == 1, F.col("_row")).otherwise(F.raise_error(message))
-    return rows.select(key, single.alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in others])
+    """The dimension with a run-time error where a key has several rows. The check is a
+    scalar subquery beside the join, so the join itself still sees the plain table: it can
+    be broadcast by file size, and adaptive execution can split a skewed key."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    again = dim.groupBy(key).count().filter("count > 1").agg(F.min(name)).scalar()
+    error = F.raise_error(F.concat(F.lit(f"several dimension rows for {key} = "), again))
+    return dim.select(
+        *[F.col(c) if c == key else F.when(again.isNull(), F.col(c)).otherwise(error).alias(c) for c in dim.columns]
+    )
 
 
 def attach_dim(
@@ -63,8 +65,13 @@ def resolve_entity(
 def choropleth_table(
     df: DataFrame, shapes: DataFrame, key: str, order: Sequence[str] = ("id", "order")
 ) -> DataFrame:
-    """Every shape vertex with the value of its entity (NULL where there is none), in drawing order."""
-    return shapes.join(df, key, "left").orderBy(*order)
+    """Every shape vertex with the value of its entity (NULL where there is none), in drawing order.
+
+    The values, one row per entity, are computed first; known to be small, they are
+    broadcast, and the vertices are moved once only, by the sort.
+    """
+    values, _ = measured(df)
+    return shapes.join(values, key, "left").orderBy(*order)
 
 
 def cutoff_grid(

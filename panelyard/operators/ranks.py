@@ -51,11 +51,11 @@ def cumulative_counts(
     by: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
     weight: str | None = None,
-) -> tuple[DataFrame, int]:
+) -> tuple[DataFrame, int, int]:
     """Each distinct non-NULL value per ``by`` group: its count ``cnt``, and ``cum``, the
     number of rows at or below it. ``block`` is kept for ordered work across blocks.
     ``weight`` names a column of counts for rows that stand for several. Also returns the
-    number of non-NULL rows."""
+    number of non-NULL rows and of blocks."""
     by = list(by)
     values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
         (F.sum(weight) if weight else F.count("*")).alias("cnt")
@@ -67,7 +67,7 @@ def cumulative_counts(
     inside = Window.partitionBy(*by, "block").orderBy(value)
     inner = values.withColumn("cum", F.sum("cnt").over(inside))
     if not splits:
-        return inner, total
+        return inner, total, 1
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         values.groupBy(*by, "block")
@@ -76,7 +76,7 @@ def cumulative_counts(
         .drop("_n")
     )
     shifted = null_safe_join(inner, offsets, [*by, "block"]).withColumn("cum", F.col("cum") + F.col("_offset"))
-    return shifted.drop("_offset"), total
+    return shifted.drop("_offset"), total, len(splits) + 1
 
 
 def _brackets(shares: Sequence[float], edges: Sequence[float] | None) -> list[tuple[float, float]]:
@@ -166,7 +166,7 @@ def exact_quantiles(
         offsets.append((c, cls, start[c]))
         start[c] += n
     shift = df.sparkSession.createDataFrame(offsets or [("", 0, 0)], "column string, class int, _start long")
-    cum, _ = cumulative_counts(table, "value", ["column", "class"], block_rows, weight="cnt")
+    cum, _, _ = cumulative_counts(table, "value", ["column", "class"], block_rows, weight="cnt")
     placed = cum.join(shift, ["column", "class"]).withColumn("cum", F.col("cum") + F.col("_start"))
 
     def ranked(ranks: dict[str, int]) -> Column:
