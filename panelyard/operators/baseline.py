@@ -54,7 +54,7 @@ def baseline_average(
 
 def baseline_by_group(
     df: DataFrame,
-    group: str,
+    group: str | Sequence[str],
     col: str,
     out: str = "baseline",
     period: str | None = None,
@@ -66,13 +66,14 @@ def baseline_by_group(
     one row per group."""
     if years is not None:
         df = df.filter(F.col(period).between(*years))
+    keys = _keys(group)
     if drop_null_group:
-        df = df.filter(F.col(group).isNotNull())
+        df = df.na.drop("any", subset=keys)
     value = clean(col)
     stats = {out: F.avg(value), f"exp_{out}": F.avg(F.exp(value))}
     if collapse:
-        return df.groupBy(group).agg(*[c.alias(n) for n, c in stats.items()])
-    return with_group_stats(df, group, stats)
+        return df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    return with_group_stats(df, keys, stats)
 
 
 def group_bounds(df: DataFrame, group: str, col: str) -> DataFrame:

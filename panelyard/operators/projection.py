@@ -51,19 +51,25 @@ def anchor_intercepts(
 
 def project(
     scenarios: DataFrame,
-    intercepts: DataFrame,
+    intercepts: DataFrame | None,
     entity: str,
     terms: Mapping[str, Column],
     coefs: CoefSets,
     out: str = "proj",
     prefix: str = "intercept",
+    level: bool = False,
 ) -> DataFrame:
     """Scenario rows with ``out``_<set> = intercept + coefficients times terms. Entities
-    without an intercept keep their rows, with NULL projections."""
-    joined = scenarios.join(intercepts, entity, "left")
-    return joined.withColumns(
-        {f"{out}_{s}": F.col(f"{prefix}_{s}") + linear_part(terms, c) for s, c in coefs.items()}
-    )
+    without an intercept keep their rows, with NULL projections. ``intercepts=None`` leaves
+    the intercept out; ``level=True`` gives exp of the projection."""
+    rows = scenarios if intercepts is None else scenarios.join(intercepts, entity, "left")
+    new = {}
+    for name, c in coefs.items():
+        value = linear_part(terms, c)
+        if intercepts is not None:
+            value = F.col(f"{prefix}_{name}") + value
+        new[f"{out}_{name}"] = F.exp(value) if level else value
+    return rows.withColumns(new)
 
 
 def scenario_summary(

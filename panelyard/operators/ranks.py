@@ -98,22 +98,20 @@ def _brackets(shares: Sequence[float], edges: Sequence[float] | None) -> list[tu
 def _classed(df: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
     """(column, class, value, cnt). Odd classes are brackets and keep their distinct values;
     even classes are the stretches between them and keep only a count."""
-    parts = []
+    v = F.col("v")
+    cls = F.lit(None).cast("int")
     for c, spans in brackets.items():
-        v = F.col(c)
-        inside = F.lit(False)
-        passed = F.lit(0)
+        inside, passed = F.lit(0), F.lit(0)
         for lo, hi in spans:
-            inside = inside | v.between(lo, hi)
+            inside = inside + F.when(v.between(lo, hi), 1).otherwise(0)
             passed = passed + F.when(v > hi, 2).otherwise(0)
-        parts.append(F.struct(
-            F.lit(c).alias("column"),
-            (passed + F.when(inside, 1).otherwise(0)).alias("class"),
-            F.when(inside, v).alias("value"),
-            v.isNotNull().alias("known"),
-        ))
-    rows = df.select(F.inline(F.array(*parts))).filter("known")
-    return rows.groupBy("column", "class", "value").agg(F.count("*").alias("cnt"))
+        cls = F.when(F.col("column") == c, passed + inside).otherwise(cls)
+    long = df.unpivot([], list(brackets), "column", "v").filter("v IS NOT NULL")
+    return (
+        long.select("column", cls.alias("class"), "v")
+        .groupBy("column", "class", F.when(F.col("class") % 2 == 1, v).alias("value"))
+        .agg(F.count("*").alias("cnt"))
+    )
 
 
 def exact_quantiles(

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions.numeric import log1p_square, log_of, ratio
+from panelyard.session import fit_shuffles
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return fit_shuffles(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,14 @@ def scenario_projection(spark, sf):
     return rounded(projection(spark, sf).select("entity", "period", "scenario", *[f"proj_{s}" for s in SETS]))
 
 
+@query(f"""WITH {SQL_PROJ}
+SELECT entity, period, scenario, {", ".join(f"round(exp({_sql_linear('ln(x1)', 'ln(1 + x2 * x2)', s)}), 6) AS proj_{s}" for s in SETS)} FROM scen""")
+def projection_without_effects(spark, sf):
+    """Levels projected from the slopes alone."""
+    rows = project(scenario_rows(spark, sf), None, "entity", scenario_terms(), COEFS, level=True)
+    return rounded(rows.select("entity", "period", "scenario", *[f"proj_{s}" for s in SETS]))
+
+
 @query(f"""SELECT o_orderpriority AS scenario, c.term, c."set",
   round(avg(c.value * ln(o_totalprice)), 6) AS effect FROM orders,
   (VALUES {", ".join(f"('{s}', '{t}', {v}::DOUBLE)" for s, d in COEFS.items() for t, v in d.items())}) AS c("set", term, value)
@@ -208,7 +216,7 @@ base AS (SELECT * FROM bw WHERE period = 1998)"""
 
 
 def base_rows(spark, sf, panel=None):
-    panel = customer_panel(spark, sf) if panel is None else panel
+    panel = customer_panel(spark, sf).persist() if panel is None else panel
     rows = panel.select("entity", "period", "y").join(customer_regions(spark, sf), "entity", "left")
     return baseline_average(rows, "region", "period", {"y": "average"}, (1996, 2000), ANCHOR)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Run-time settings only, so they can be put on a session somebody else started.
 RUNTIME_CONF = {
@@ -26,6 +27,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SHUFFLE_SHARE = 512 * 1024**2   # bytes of input files per shuffle partition
+MAX_PARTITIONS = 100_000
+
+
+def fit_shuffles(df: DataFrame) -> DataFrame:
+    """Raise the number of shuffle partitions to the size of a source table, so that no
+    partition outgrows an executor; adaptive execution merges those that turn out small.
+    The setting is never lowered."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(MAX_PARTITIONS, math.ceil(size / SHUFFLE_SHARE))
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return df
+
+
 def build_session(
     app: str = "panelyard", cpus: str | None = None, conf: dict[str, str] | None = None
 ) -> SparkSession:
