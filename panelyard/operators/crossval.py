@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from panelyard.functions.linear import pairs, solve
 from panelyard.functions.numeric import clean
 from panelyard.operators.moments import group_moments, model_frame, moment_columns
-from panelyard.operators.sizing import measured
+from panelyard.operators.sizing import kept, measured
 
 ALL_ROWS = 0   # pseudo fold holding every row; real folds count from 1
 
@@ -119,7 +119,7 @@ def _within_cross(frame: DataFrame, roles: DataFrame, entity: str, period: str,
         )
 
     by_fold = whole.groupBy("fold").agg(*[F.sum(change(i, j)).alias(f"c{i}_{j}") for i, j in pairs(k)])
-    by_fold = by_fold.persist()   # one row per fold, read twice below
+    by_fold = kept(by_fold)   # one row per fold, read twice below
     grand = by_fold.filter(F.col("fold") == ALL_ROWS).select(
         F.struct(*[f"c{i}_{j}" for i, j in pairs(k)])
     ).scalar()

@@ -10,27 +10,29 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.operators.sizing import null_safe_join
+from panelyard.operators.sizing import kept, null_safe_join
 
 BLOCK_ROWS = 200_000
 SAMPLE_ROWS = 100_000   # rows looked at to place split points; results never depend on them
+MAX_BLOCKS = 10_000     # beyond it blocks grow instead
 
 
-def thinned(df: DataFrame, rows: int) -> DataFrame:
-    """About SAMPLE_ROWS rows, so that placing split points moves little data to one task."""
-    return df if rows <= SAMPLE_ROWS else df.sample(SAMPLE_ROWS / rows, seed=7)
+def thinned(df: DataFrame, rows: int, keep: int = 0) -> DataFrame:
+    """About SAMPLE_ROWS rows (or ``keep``), so that placing split points moves little data to one task."""
+    keep = max(keep, SAMPLE_ROWS)
+    return df if rows <= keep else df.sample(keep / rows, seed=7)
 
 
 def quantile_splits(df: DataFrame, col: str, blocks: int, rows: int) -> list[float]:
     """At most ``blocks - 1`` distinct cut points with about equal row counts between them."""
+    blocks = min(blocks, MAX_BLOCKS)
     if blocks <= 1:
         return []
     points = [i / blocks for i in range(1, blocks)]
-    found = thinned(df, rows).agg(
+    found = thinned(df, rows, 20 * blocks).agg(
         F.percentile_approx(F.col(col).cast("double"), points, max(10_000, 10 * blocks))
     ).first()[0]
     return sorted(set(found or []))
@@ -40,8 +42,13 @@ def block_of(col: str, splits: Sequence[float]) -> Column:
     """Index of the block a value falls into; NULL goes behind the last one."""
     if not splits:
         return F.lit(0)
-    cuts = F.array(*[F.lit(float(s)) for s in splits])
-    below = F.size(F.filter(cuts, lambda s: s < F.col(col).cast("double")))
+    value = F.col(col).cast("double")
+    # Two levels: first the stretch of cuts, then the cut inside it.
+    step = math.isqrt(len(splits) - 1) + 1
+    cuts = F.lit([float(s) for s in splits])
+    ends = F.lit([float(s) for s in splits[step - 1 :: step]])
+    skipped = F.size(F.filter(ends, lambda s: s < value)) * step
+    below = skipped + F.size(F.filter(F.slice(cuts, skipped + 1, step), lambda s: s < value))
     return F.when(F.col(col).isNull(), len(splits) + 1).otherwise(below)
 
 
@@ -60,7 +67,7 @@ def cumulative_counts(
     values = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
         (F.sum(weight) if weight else F.count("*")).alias("cnt")
     )
-    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    values = kept(values)
     distinct, total = values.agg(F.count("*"), F.coalesce(F.sum("cnt"), F.lit(0))).first()
     splits = quantile_splits(values, value, math.ceil(distinct / block_rows), distinct)
     values = values.withColumn("block", block_of(value, splits))
@@ -148,7 +155,7 @@ def exact_quantiles(
         return out
 
     def count_classes():
-        table = _classed(df, brackets).persist(StorageLevel.MEMORY_AND_DISK)
+        table = kept(_classed(df, brackets))
         totals = table.groupBy("column", "class").agg(F.sum("cnt").alias("n")).orderBy("column", "class")
         return table, [tuple(r) for r in totals.collect()]
 

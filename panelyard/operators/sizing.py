@@ -20,9 +20,26 @@ HOT_PART = 1000        # a key is hot above 1/1000 of all rows: never more than
 SALTS = 64             # tasks a hot key is spread over
 
 
+_KEPT: list[DataFrame] = []
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """Keep a reduced table in executor memory or disk until ``release``."""
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(table)
+    return table
+
+
+def release() -> None:
+    """Give back every table the operators kept. Results already built stay valid: what
+    they still need is computed again."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def measured(table: DataFrame) -> tuple[DataFrame, int]:
     """Run a reduced table once and keep it; returns it with its row count."""
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    table = kept(table)
     return table, table.count()
 
 

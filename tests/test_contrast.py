@@ -43,6 +43,14 @@ def test_projection_goes_through_the_anchor(spark, proj):
         project(proj, proj, "code", {}, COEFS)
 
 
+def test_projection_from_slopes_alone(spark):
+    drivers = spark.createDataFrame([("A", 8.0)], "code string, gdp double")
+    bare = project(drivers, None, "code", {"g": log_of("gdp")}, COEFS)
+    assert bare.first()["proj_fit"] == pytest.approx(0.5 * math.log(8))
+    level = project(drivers, None, "code", {"g": log_of("gdp")}, COEFS, level=True)
+    assert level.first()["proj_high"] == pytest.approx(8**0.6)
+
+
 def groups(spark):
     return spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y"), ("D", None)], "code string, region string")
 

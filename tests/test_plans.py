@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from panelyard import session
+from panelyard.operators import sizing
 from panelyard.operators.baseline import with_group_stats
 from panelyard.operators.columns import minmax
 from panelyard.operators.filters import period_grid
@@ -67,3 +69,23 @@ def test_within_fit_needs_one_shuffle_by_entity(spark):
     out = plan(fit.moments)
     assert len(re.findall(r"Exchange hashpartitioning|hashpartitioning\(entity", out)) >= 1
     assert out.count("SortMergeJoin") == 0 and "Window" not in out
+
+
+def test_shuffles_follow_the_input_size(spark, monkeypatch):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    orders = session.fit_shuffles(load(spark, SF, "orders"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    monkeypatch.setattr(session, "SHUFFLE_SHARE", 1000)
+    try:
+        session.fit_shuffles(orders)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) >= 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_kept_tables_can_be_released(spark):
+    rows = load(spark, SF, "orders").select("o_custkey", "o_totalprice")
+    out = with_group_stats(rows, "o_custkey", {"m": F.avg("o_totalprice")})
+    n = out.count()
+    sizing.release()
+    assert out.count() == n and sizing._KEPT == []

@@ -78,6 +78,15 @@ def test_cumulative_counts_over_blocks(spark):
         assert r["cum"] == sum(v <= r["v"] for v in group)
 
 
+def test_blocks_of_many_splits(spark):
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 10, 50):
+        splits = sorted(float(x) for x in rng.integers(0, 100, n))
+        df = spark.createDataFrame([(float(v),) for v in range(-1, 102)] + [(None,)], "v double")
+        for v, b in df.select("v", ranks.block_of("v", splits)).collect():
+            assert b == (n + 1 if v is None else sum(s < v for s in splits))
+
+
 def bh(p):
     """Benjamini-Hochberg by its definition."""
     p = np.asarray(p)
