@@ -103,18 +103,18 @@ def _within_cross(frame: DataFrame, roles: DataFrame, entity: str, period: str,
         {f"t_{c}": F.max(F.when(F.col("fold") == ALL_ROWS, F.col(c))).over(own) for c in names}
     )
     n, total = F.col("n"), F.col("t_n")
-    kept = total - n
+    stay = total - n
 
     def gap(i: int) -> Column:
         """Mean of the removed rows minus mean of the kept rows."""
-        return (F.col(f"m{i}") - F.col(f"t_m{i}")) * total / kept
+        return (F.col(f"m{i}") - F.col(f"t_m{i}")) * total / stay
 
     def change(i: int, j: int) -> Column:
         c = f"c{i}_{j}"
-        without = F.col(f"t_{c}") - F.col(c) - n * kept / total * gap(i) * gap(j)
+        without = F.col(f"t_{c}") - F.col(c) - n * stay / total * gap(i) * gap(j)
         return (
             F.when(F.col("fold") == ALL_ROWS, F.col(c))
-            .when(kept == 0, -F.col(f"t_{c}"))
+            .when(stay == 0, -F.col(f"t_{c}"))
             .otherwise(without - F.col(f"t_{c}"))
         )
 
