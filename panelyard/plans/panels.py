@@ -25,12 +25,23 @@ def order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_years(df: DataFrame, date: str, first: int, last: int) -> DataFrame:
+    """Rows dated in the years first..last, as a range on the column itself, which the scan
+    can use to skip data (a condition on year(date) cannot)."""
+    kind = df.schema[date].dataType
+    start, end = (F.lit(f"{y}-01-01").cast(kind) for y in (first, last + 1))
+    return df.filter((F.col(date) >= start) & (F.col(date) < end))
+
+
 def customer_year(
     spark: SparkSession, sf_dir: str, terms: bool = False, extra: tuple[str, ...] = (),
-    period: Column | None = None,
+    period: Column | None = None, years: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(entity = customer, period): num, orders and, with ``terms``, sums and counts of the order means."""
-    orders = load(spark, sf_dir, "orders").select(
+    source = load(spark, sf_dir, "orders")
+    if years is not None:
+        source = in_years(source, "o_orderdate", *years)
+    orders = source.select(
         "o_orderkey",
         F.col("o_custkey").alias("entity"),
         (F.year("o_orderdate") if period is None else period).alias("period"),
@@ -47,13 +58,13 @@ def customer_year(
 
 def nation_year(
     spark: SparkSession, sf_dir: str, terms: bool = False, extra: tuple[str, ...] = (),
-    period: Column | None = None,
+    period: Column | None = None, years: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(entity = nation, period): num, den = customers with an order, and x1, x2 with ``terms``."""
     customers = load(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("nation")
     )
-    joined = customer_year(spark, sf_dir, terms, extra, period).join(customers, "entity")
+    joined = customer_year(spark, sf_dir, terms, extra, period, years).join(customers, "entity")
     stats = [F.sum("num").alias("num"), F.count("*").alias("den")]
     if terms:
         stats += [
@@ -85,9 +96,9 @@ def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_panel(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """nation x year with the log ratio index."""
-    return nation_year(spark, sf_dir).withColumn("index_log", log_of(ratio("num", "den")))
+    return nation_year(spark, sf_dir, years=years).withColumn("index_log", log_of(ratio("num", "den")))
 
 
 def nation_dim(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from panelyard.operators.summary import (
 )
 from panelyard.plans.panels import (
     SQL_CUSTOMER_YEAR, SQL_DIM, SQL_LINES, SQL_NATION_YEAR,
-    customer_year, index_panel, load, month_key, nation_dim, nation_year, order_terms,
+    customer_year, in_years, index_panel, load, month_key, nation_dim, nation_year, order_terms,
 )
 from panelyard.plans.registry import query
 from panelyard.plans.settings import INCOME_LEVELS, RATIO_CUTOFFS
@@ -84,7 +84,8 @@ def model_terms(spark, sf):
 @query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS period FROM orders
 WHERE year(o_orderdate) IN (1996, 1998, 2000)""")
 def period_grid_filter(spark, sf):
-    df = load(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("period"))
+    orders = in_years(load(spark, sf, "orders"), "o_orderdate", 1996, 2001)
+    df = orders.select("o_orderkey", F.year("o_orderdate").alias("period"))
     return period_grid(df, "period", 1996, 2001, 2)
 
 
@@ -256,7 +257,7 @@ def choropleth(spark, sf):
     shapes = load(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_nationkey").alias("entity"), F.col("n_name").alias("id"), F.col("c_custkey").alias("order")
     )
-    rows = attach_dim(index_panel(spark, sf), nation_dim(spark, sf), "entity")
+    rows = attach_dim(index_panel(spark, sf, (1998, 1998)), nation_dim(spark, sf), "entity")
     values = rows.filter("period = 1998 AND region <> 'ASIA'").select("entity", F.round("index_log", 8).alias("value"))
     return choropleth_table(values, shapes, "entity")
 
@@ -296,7 +297,7 @@ w AS (SELECT *, avg(ln(num / orders)) OVER (PARTITION BY entity) AS average,
 SELECT entity, period, round(ln(num / orders), 6) AS index_log, round(average, 6) AS average,
        round(average_num, 4) AS average_num FROM w WHERE period = 1998""")
 def entity_baseline(spark, sf):
-    df = build_ratio_index(customer_year(spark, sf), "num", "orders").persist()
+    df = build_ratio_index(customer_year(spark, sf, years=(1996, 2000)), "num", "orders").persist()
     out = baseline_average(
         df, "entity", "period", {"index_log": "average", "num": "average_num"}, (1996, 2000), 1998
     )
@@ -318,7 +319,9 @@ FROM w WHERE period = 1998"""
 @query(SQL_SCENARIO_BASELINE)
 def scenario_baseline(spark, sf):
     """Orders and customers to a nation panel, its index, entity baseline and region baseline."""
-    df = baseline_average(index_panel(spark, sf).persist(), "entity", "period", {"index_log": "average"}, (1996, 2000), 1998)
+    df = baseline_average(
+        index_panel(spark, sf, (1996, 2000)).persist(), "entity", "period", {"index_log": "average"}, (1996, 2000), 1998
+    )
     df = attach_dim(df, nation_dim(spark, sf).select("entity", "region"), "entity")
     out = baseline_by_group(df, "region", "index_log")
     return out.select(
@@ -393,7 +396,7 @@ SELECT round(avg(index_log), 6) AS mean_log, round(avg(num), 2) AS mean_num, avg
 FROM panel WHERE entity = 7 AND period = 1998""")
 def snapshot(spark, sf):
     one = entity_snapshot(
-        index_panel(spark, sf), "entity", 7, "period", 1998,
+        index_panel(spark, sf, (1998, 1998)), "entity", 7, "period", 1998,
         {"index_log": "mean_log", "num": "mean_num", "den": "mean_den"},
     )
     return one.select(F.round("mean_log", 6).alias("mean_log"), F.round("mean_num", 2).alias("mean_num"), "mean_den")
@@ -407,7 +410,7 @@ SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd,
   (SELECT entity FROM i ORDER BY v, entity LIMIT 1) AS lowest,
   count(*) FILTER (WHERE v > (SELECT mean FROM m)) AS n_above, count(DISTINCT entity) AS n_entities FROM i""")
 def key_index_figures(spark, sf):
-    df = build_ratio_index(customer_year(spark, sf).filter("period = 1998"), "num", "orders").persist()
+    df = build_ratio_index(customer_year(spark, sf, years=(1998, 1998)), "num", "orders").persist()
     return key_figures(df, "index_log", "entity").select(
         F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"),
         "highest", "lowest", "n_above", "n_entities",
@@ -524,7 +527,7 @@ def scatter(spark, sf):
 SELECT entity, period, round(index_log, 6) AS index_log, round(avg(index_log) OVER (), 6) AS overall
 FROM panel WHERE period BETWEEN 1996 AND 2000""")
 def overall_mean(spark, sf):
-    df = period_between(index_panel(spark, sf), "period", 1996, 2000).persist()
+    df = period_between(index_panel(spark, sf, (1996, 2000)), "period", 1996, 2000).persist()
     return df.select(
         "entity", "period", F.round("index_log", 6).alias("index_log"),
         F.round(df.agg(F.avg("index_log")).scalar(), 6).alias("overall"),

@@ -38,7 +38,8 @@ SETS = ("fit", "low", "high")
 
 def scenario_rows(spark, sf):
     """Scenario drivers: customer x year x priority, years after the anchor."""
-    rows = period_between(customer_year(spark, sf, terms=True, extra=("o_orderpriority",)), "period", 1999, 2001)
+    rows = customer_year(spark, sf, terms=True, extra=("o_orderpriority",), years=(1999, 2001))
+    rows = period_between(rows, "period", 1999, 2001)
     rows = rows.select(
         "entity", "period", F.col("o_orderpriority").alias("scenario"),
         (F.col("q_sum") / F.nullif("q_n", F.lit(0))).alias("x1"),

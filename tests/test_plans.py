@@ -36,6 +36,11 @@ def test_period_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(p_size,10)" in plan(period_grid(parts, "p_size", 10, 40, 5))
 
 
+def test_year_ranges_reach_the_scan(spark):
+    out = plan(customer_year(spark, SF, years=(1996, 2000)))
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual\(o_orderdate,1996-01-01.*LessThan\(o_orderdate,2001-01-01", out)
+
+
 def test_group_stats_use_no_window(spark):
     rows = load(spark, SF, "orders").select("o_custkey", "o_totalprice")
     out = plan(with_group_stats(rows, "o_custkey", {"m": F.avg("o_totalprice")}))
