@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from panelyard.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -54,5 +55,6 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_sql():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+def test_every_panel_query_has_sql():
+    assert set(catalog.ORACLE) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(entry_points.queries())
