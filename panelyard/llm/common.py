@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -106,6 +108,45 @@ def arrow_column(kernel: Callable[[], Callable[[list], list | tuple]], schema: s
     return F.arrow_udf(typed, kind).asNondeterministic()(*columns)
 
 
+def worker_cache(name: str, make: Callable):
+    """A value kept by a Python worker from one task to its next, made when first asked for."""
+    home = sys.modules.setdefault("_panelyard_worker_cache", types.ModuleType("_panelyard_worker_cache"))
+    if not hasattr(home, name):
+        setattr(home, name, make())
+    return getattr(home, name)
+
+
+class Memo(dict):
+    """Results by word, remembered up to a bound. Two generations: words used since the last
+    turn survive the next one. ``many`` makes the results of several words at once."""
+
+    LONGEST = 64   # longer words are not kept from one slice to the next
+
+    def __init__(self, bound: int, many: Callable[[list], list]):
+        super().__init__()
+        self.bound, self.many, self.old, self.long = bound, many, {}, []
+
+    def prepare(self, wanted: set) -> None:
+        """Have all of ``wanted`` ready for plain lookups until the next call."""
+        for word in self.long:
+            self.pop(word, None)
+        self.long = []
+        if len(self) > self.bound // 2:
+            self.old = dict(self)
+            self.clear()
+        missing = wanted.difference(self)
+        new = []
+        for word in missing:
+            if word in self.old:
+                self[word] = self.old[word]
+            else:
+                new.append(word)
+        for word, value in zip(new, self.many(new) if new else []):
+            self[word] = value
+            if len(word) > self.LONGEST:
+                self.long.append(word)
+
+
 def text_slices(columns: Sequence[pa.Array], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Bounds of row runs whose texts add up to about ``most`` bytes; one row at least."""
     total = np.zeros(len(columns[0]), dtype=np.int64)

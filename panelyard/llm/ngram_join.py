@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import arrow_column, fresh, parts_for, stored
+from panelyard.llm.common import Memo, arrow_column, fresh, parts_for, stored, worker_cache
 from panelyard.llm.components import connected_components
 from panelyard.llm.registry import query
 
@@ -48,7 +48,7 @@ BLOCK_SHINGLES = 2_000_000   # shingles compared at once in a component
 BLOCK_RECORDS = 1024
 TASK_ROWS = 200_000      # bucket rows a task gets
 TASK_SHINGLES = 8_000_000
-WORD_MEMO = 500_000      # word hashes a task remembers; then it starts anew
+WORD_MEMO = 800_000      # word hashes a worker remembers
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)   # 64-bit finaliser
 
 
@@ -58,22 +58,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
+def word_memo() -> Memo:
+    """Word -> 64-bit hash, kept by the worker."""
+    return worker_cache("word_hashes", lambda: Memo(WORD_MEMO, lambda words: [xxhash.xxh3_64_intdigest(w) for w in words]))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_MEMO:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
 
-
-def shingle_sets(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, in one array with bounds."""
     words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
     sizes = np.array([len(w) for w in words], dtype=np.int64)
+    memo.prepare(set().union(*words))
     hashes = np.fromiter((h for w in words for h in map(memo.__getitem__, w)), dtype=np.uint64, count=int(sizes.sum()))
     # Short texts are one shingle: filled up with a value that stands for no word.
     short = (sizes > 0) & (sizes < WORDS)
@@ -116,7 +110,7 @@ def minhash(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def embed_kernel():
-    memo = WordHashes()
+    memo = word_memo()
 
     def run(texts):
         shingles, bounds = shingle_sets(texts, memo)
@@ -132,7 +126,7 @@ def embed_kernel():
 
 
 def shingle_kernel():
-    memo = WordHashes()
+    memo = word_memo()
 
     def run(texts):
         shingles, bounds = shingle_sets(texts, memo)
