@@ -247,12 +247,23 @@ def fit_language_model(learnable: DataFrame, text: str = "text", lang: str = "la
     return LanguageModel(languages, scaled, weights[CELLS] / temperature, temperature)
 
 
+def language_column(model: LanguageModel, text: str | Column = "text") -> Column:
+    """A struct of ``lang_pred`` and ``score``."""
+    return arrow_column(model.kernel(), "lang_pred string, score double", text)
+
+
+def accepted(model: LanguageModel, text: str = "text", least: float = MIN_SCORE) -> Column:
+    """True for texts with a language of at least that score."""
+    found = language_column(model, F.col(f"`{text}`").cast("string"))
+    return found["score"] >= least
+
+
 def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``. One narrow pass."""
     out = ("lang_pred", "score")
     rest = [c for c in docs.columns if c.lower() not in out]
     source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("#text"))
-    made = source.withColumn("#lang", arrow_column(model.kernel(), "lang_pred string, score double", "#text"))
+    made = source.withColumn("#lang", language_column(model, "#text"))
     return made.select(*[F.col(f"`{c}`") for c in rest], "`#lang`.lang_pred", "`#lang`.score")
 
 

@@ -22,7 +22,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import arrow_column, sliced
@@ -168,19 +168,15 @@ def span_array(flags: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
 
 
-def repetition_rules(
-    docs: DataFrame,
-    text: str = "text",
+def rules_column(
+    text: str | Column = "text",
     least: int = REPEAT_WORDS,
     max_covered: float = COVERED,
     longest_share: float = LONGEST_SHARE,
     longest_words: int = LONGEST_WORDS,
     spans: bool = True,
-) -> DataFrame:
-    """``docs`` with the columns of FIELDS (and ``repeat_spans`` in words, unless ``spans`` is
-    false). A row is kept if the base rules pass, at most ``max_covered`` of its words lie in
-    repeats of ``least`` words or more, and no repeat is longer than both ``longest_words``
-    and ``longest_share`` of the text. One narrow pass, no shuffle."""
+) -> Column:
+    """A struct of FIELDS (and ``repeat_spans`` in words, unless ``spans`` is false)."""
 
     def kernel():
         def run(texts):
@@ -193,11 +189,17 @@ def repetition_rules(
 
         return run
 
-    schema = FIELDS + (SPANS if spans else "")
+    return arrow_column(kernel, FIELDS + (SPANS if spans else ""), text)
+
+
+def repetition_rules(docs: DataFrame, text: str = "text", spans: bool = True, **limits) -> DataFrame:
+    """``docs`` with the fields of ``rules_column``. A row is kept if the base rules pass, at
+    most ``max_covered`` of its words lie in repeats of ``least`` words or more, and no repeat is
+    longer than both ``longest_words`` and ``longest_share`` of the text. One narrow pass."""
     names = [f.strip().split(" ")[0] for f in FIELDS.split(", ")] + (["repeat_spans"] if spans else [])
     rest = [c for c in docs.columns if c.lower() not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("#text"))
-    made = source.withColumn("#rules", arrow_column(kernel, schema, "#text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("#text"))
+    made = source.withColumn("#rules", rules_column("#text", spans=spans, **limits))
     return made.select(*[F.col(f"`{c}`") for c in rest], *[F.col(f"`#rules`.{n}").alias(n) for n in names])
 
 
