@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from panelyard.llm import exact_topk, language_id, ngram_join, packing, quality_classifier, quality_rules, url_filters  # noqa: F401
+from panelyard.llm import exact_topk, language_id, ngram_join, packing, quality_classifier, quality_rules, url_filters, warc  # noqa: F401
 from panelyard.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
