@@ -1,6 +1,9 @@
 """All registered queries of this package."""
 
-from panelyard.llm import exact_topk, language_id, ngram_join, packing, quality_classifier, quality_rules, url_filters, warc  # noqa: F401
+from panelyard.llm import (  # noqa: F401
+    exact_topk, language_id, ngram_join, packing, piece_encoding, quality_classifier, quality_rules, token_counts,
+    url_filters, warc,
+)
 from panelyard.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
