@@ -135,16 +135,12 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         missing = wanted.difference(self)
-        new = []
-        for word in missing:
-            if word in self.old:
-                self[word] = self.old[word]
-            else:
-                new.append(word)
-        for word, value in zip(new, self.many(new) if new else []):
-            self[word] = value
-            if len(word) > self.LONGEST:
-                self.long.append(word)
+        again = missing.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again)))
+        new = list(missing.difference(again))
+        if new:
+            self.update(zip(new, self.many(new)))
+            self.long = [word for word in new if len(word) > self.LONGEST]
 
 
 def text_slices(columns: Sequence[pa.Array], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from panelyard.llm.piece_model import BYTE, SPACE, UNKNOWN, PieceModel, read_mod
 from panelyard.llm.registry import query
 
 VOCABULARY = "piece_bpe_32k.model"
-SEGMENT_MEMO = 400_000   # segments a worker remembers
+SEGMENT_MEMO = 800_000   # segments a worker remembers
 _MARK = SPACE.encode()
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -150,21 +151,32 @@ class Encoder:
         self.core = SentencePieceProcessor(model_proto=model.core)
         self.end = self.whole.eos_id()
         self.split = model.splits_at_spaces
-        self.unknown = [i for i, kind in enumerate(model.kinds) if kind == UNKNOWN]
+        self.unknown = np.array([i for i, kind in enumerate(model.kinds) if kind == UNKNOWN])
+        self.name = [str(i).encode() for i in range(len(model.pieces))]
         self.length = np.array([1 if kind == BYTE else len(p.encode()) for p, kind in zip(model.pieces, model.kinds)], dtype=np.int32)
         self.memo = Memo(SEGMENT_MEMO, self.segments)
 
-    def segments(self, texts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
-        """For each segment: its ids as text, as numbers, and the pieces' normalised lengths."""
+    def segments(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """For each segment: its ids as text and as numbers."""
+        found = self.core.encode(texts, num_threads=1)
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int32)
+        edges = (4 * np.r_[0, np.cumsum([len(ids) for ids in found])]).tolist()
+        data, name = flat.tobytes(), self.name.__getitem__
+        return [(b" ".join(map(name, ids)), data[a:b]) for ids, a, b in zip(found, edges[:-1], edges[1:])]
+
+    def sizes(self, words: list[str], ids: np.ndarray) -> np.ndarray:
+        """Bytes of normalised text of each piece."""
+        if not np.isin(ids, self.unknown).any():
+            return self.length[ids]
+        # A piece that stands for unknown text has no length of its own.
         out = []
-        for text, ids in zip(texts, self.core.encode(texts, num_threads=1)):
-            if any(u in ids for u in self.unknown):
-                proto = self.core.encode(text, return_type="proto")
-                size = np.array([len(p.surface.encode()) for p in proto.pieces], dtype=np.int32)
+        for word in words:
+            own = np.frombuffer(self.memo[word][1], dtype=np.int32)
+            if np.isin(own, self.unknown).any():
+                out += [len(p.surface.encode()) for p in self.core.encode(word, return_type="proto").pieces]
             else:
-                size = self.length[ids]
-            out.append((" ".join(map(str, ids)).encode(), np.array(ids, dtype=np.int32).tobytes(), size.tobytes()))
-        return out
+                out += self.length[own].tolist()
+        return np.array(out, dtype=np.int32)
 
     def __call__(self, texts: list[str | None]):
         """For each text: (ids as text, ids, begins, ends), the end id included."""
@@ -175,14 +187,18 @@ class Encoder:
             text = text.decode("utf-8", "surrogatepass")
             words.append(_SEGMENTS.findall(text) if self.split else [text] if text else [])
         self.memo.prepare(set().union(*words))
-        last, ending = str(self.end).encode(), np.array([self.end], dtype=np.int32)
+        look, last, ending = self.memo.__getitem__, self.name[self.end], np.array([self.end], dtype=np.int32)
         for source, (_, align), own in zip(sources, normal, words):
-            found = list(map(self.memo.__getitem__, own))
-            ids = np.frombuffer(b"".join([f[1] for f in found]), dtype=np.int32)
-            edge = np.r_[0, np.cumsum(np.frombuffer(b"".join([f[2] for f in found]), dtype=np.int32))]
-            at = align[edge] if len(ids) else align[:1]
-            begins, ends = np.r_[at[:-1], len(source)], np.r_[at[1:], len(source)]
-            yield b" ".join([*(f[0] for f in found), last]), np.r_[ids, ending], begins, ends
+            if not own:
+                yield last, ending, np.array([len(source)]), np.array([len(source)])
+                continue
+            names, numbers = zip(*map(look, own))
+            ids = np.frombuffer(b"".join(numbers), dtype=np.int32)
+            edge = np.zeros(len(ids) + 1, dtype=np.int64)
+            np.cumsum(self.sizes(own, ids), out=edge[1:])
+            at = np.append(align[edge], len(source))
+            begins, ends = np.append(at[:-2], len(source)), at[1:]
+            yield b" ".join(names) + b" " + last, np.append(ids, ending), begins, ends
 
 
 def encoder(path: str) -> Encoder:
