@@ -358,7 +358,8 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL
 ) -> DataFrame:
     """One row per document: key, ``class_id``, ``n_links`` (documents other than itself at the
-    threshold or above), ``copies`` (rows of its shingle set, itself included) and ``set_key``."""
+    threshold or above), ``copies`` (rows of its shingle set, itself included), ``set_key`` and the
+    set key of its class's first record. Where ids repeat, two classes may have one ``class_id``."""
     source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     made = source.select("id", arrow_column(embed_kernel, "set_key binary, n long, sketch binary", "text").alias("e"))
     embedded = stored(made.select("id", "e.*"))
@@ -397,8 +398,11 @@ def near_duplicates(
     found = records.select("record", "set_key", "low_id", "copies").join(links, "record", "left").join(
         classes.select(F.col("node").alias("record"), "label"), "record", "left"
     ).withColumn("label", F.coalesce("label", "record"))
-    lowest = found.groupBy("label").agg(F.min("low_id").alias("class_id"))
-    found = stored(found.join(lowest, "label").select("set_key", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")))
+    first = F.min(F.struct(F.col("low_id").isNull(), "low_id", "set_key"))
+    lowest = found.groupBy("label").agg(first.alias("first")).select(
+        "label", F.col("first.low_id").alias("class_id"), F.col("first.set_key").alias("class_key")
+    )
+    found = stored(found.join(lowest, "label").select("set_key", "class_id", "class_key", "copies", F.coalesce("links", F.lit(0)).alias("links")))
 
     out = embedded.select("id", "set_key").join(found, "set_key", "left")
     linked = F.col("set_key").isNotNull()
@@ -407,7 +411,7 @@ def near_duplicates(
         F.when(linked, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
-        "set_key",
+        "set_key", "class_key",
     )
 
 
@@ -430,27 +434,25 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     id_, clean = fresh(docs, "id_of_dropped"), docs.columns
     dropped = found.filter(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(id_))
     repeated = stored(found.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias(id_)))
+    single = docs.join(dropped, docs[key].eqNullSafe(F.col(id_)), "left_anti")
     if repeated.isEmpty():
-        return docs.join(dropped, docs[key] == F.col(id_), "left_anti")
+        return single
     # Ids that repeat: here the shingle set tells the rows apart.
-    single = docs.join(dropped, docs[key] == F.col(id_), "left_anti")
     single = single.join(repeated, single[key].eqNullSafe(F.col(id_)), "left_anti")
     made, set_ = fresh(docs, "set_of_row"), fresh(docs, "set_kept")
     many = docs.join(repeated, docs[key].eqNullSafe(F.col(id_)), "left_semi").withColumn(
         made, arrow_column(shingle_kernel, "set_key binary, shingles array<long>", text)["set_key"]
     )
-    keepers = found.filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("set_key").alias(set_))
+    keepers = found.filter(F.col(key).eqNullSafe(F.col("class_id")) & (F.col("set_key") == F.col("class_key")))
+    keepers = keepers.select(F.col(key).alias(id_), F.col("set_key").alias(set_)).distinct()
     empty = many.filter(F.col(made).isNull()).select(*clean)
     full = many.filter(F.col(made).isNotNull()).dropDuplicates([key, made])
-    kept = full.join(
-        keepers.withColumnRenamed("class_id", id_),
-        full[key].eqNullSafe(F.col(id_)) & (full[made] == F.col(set_)), "left_semi",
-    ).select(*clean)
-    return single.unionByName(empty).unionByName(kept)
+    met = full[key].eqNullSafe(F.col(id_)) & (full[made] == F.col(set_))
+    return single.unionByName(empty).unionByName(full.join(keepers, met, "left_semi").select(*clean))
 
 
 @query()
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs.select("doc_id", "text")).drop("set_key")
+    return near_duplicates(docs.select("doc_id", "text")).drop("set_key", "class_key")

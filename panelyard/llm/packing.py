@@ -36,7 +36,7 @@ CAPACITY = 2048
 END_ID = 0
 PART = 65_536            # pieces packed by one task
 ROUNDS = 12
-WORD_MEMO = 800_000      # words whose ids a worker remembers
+WORD_MEMO = 500_000      # words whose ids a worker remembers
 VOCABULARY = "word_bpe_49k.json"
 
 # The vocabulary's own splitting rule (fixed values), over characters below 0x180. There, but

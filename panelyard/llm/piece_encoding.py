@@ -29,7 +29,7 @@ from panelyard.llm.piece_model import BYTE, SPACE, UNKNOWN, PieceModel, read_mod
 from panelyard.llm.registry import query
 
 VOCABULARY = "piece_bpe_32k.model"
-SEGMENT_MEMO = 800_000   # segments a worker remembers
+SEGMENT_MEMO = 500_000   # segments a worker remembers
 _MARK = SPACE.encode()
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 

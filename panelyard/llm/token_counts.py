@@ -30,7 +30,7 @@ from panelyard.llm.registry import query
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_SCORE = -20.0       # of each byte of a character without a piece
 NODES = 1_000_000        # of a worker's trie; then it starts anew
-WORD_MEMO = 800_000      # words whose counts a worker remembers
+WORD_MEMO = 500_000      # words whose counts a worker remembers
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 

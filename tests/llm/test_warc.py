@@ -1,0 +1,66 @@
+"""WARC bundles: round trip, revisits, random access."""
+
+import hashlib
+
+import zstandard
+from pyspark.sql import functions as F
+
+from panelyard.llm.common import scratch_dir
+from panelyard.llm.warc import fetch_record, read_at, read_warc, seek_table, warc_record, parse_record, write_warc
+import panelyard.llm.warc as warc
+
+BIG = "<p>" + "x" * 1200
+
+
+def pages(spark):
+    rows = [(i, f"http://h{i}.com/é", f"<html>{i}</html>" * 100) for i in range(40)]
+    rows += [(50, "u", BIG), (51, "u", BIG), (52, None, BIG), (60, "u", "short"), (61, "u", "short"), (70, None, None), (71, "a\r\nb%0A", ""),
+             (None, "u", BIG), (80, "u", "é" * 300_000), (52, None, BIG), (90, "u", "\r\n\r\nWARC/1.1\r\n\r\n" * 90)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 4000)
+    df = pages(spark).selectExpr("*", "1 as digest", "2 as top", "3 as refers_to")
+    index = write_warc(df, scratch_dir(spark))
+    got = read_warc(index).collect()
+    want = pages(spark).collect()
+    assert sorted((r.page_id or -1 for r in got)) == sorted((r.page_id or -1 for r in want))
+    html = {r.page_id: (r.html or "").encode() for r in want}
+    url = {r.page_id: r.url for r in want}
+    for r in got:
+        data = html[r.page_id]
+        assert r.payload_bytes == len(data) and r.payload_digest == hashlib.sha1(data).hexdigest() and r.url == url[r.page_id]
+        if r.page_id in (50, 51, None):
+            assert (r.record_type, r.refers_to, r.payload) == ("revisit", 52, None)
+        else:
+            assert (r.record_type, r.refers_to) == ("response", None) and bytes(r.payload) == data
+    assert index.count() == len(want)
+
+
+def test_index_and_seek_table(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 3000)
+    index = write_warc(pages(spark), scratch_dir(spark))
+    assert fetch_record(index, 7)[0]["payload"] == b"<html>7</html>" * 100
+    assert fetch_record(index, 50)[0]["refers_to"] == 52 and len(fetch_record(index, 52)) == 2 and fetch_record(index, 999) == []
+    for r in index.select("bundle").distinct().collect():
+        table = seek_table(r.bundle)
+        frames = {x.frame: (x.frame_start, x.frame_size) for x in index.filter(F.col("bundle") == r.bundle).collect()}
+        assert frames == {i: t[:2] for i, t in enumerate(table)}
+        whole = b"".join(zstandard.ZstdDecompressor().decompress(read_at(r.bundle, s, n)) for s, n, _ in table)
+        assert len(whole) == sum(t[2] for t in table)
+        # Frames and table together are one stream that any decompressor reads.
+        raw = read_at(r.bundle, 0, 1 << 30)
+        stream = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
+        assert stream.read() == whole
+
+
+def test_empty_table(spark):
+    index = write_warc(pages(spark).limit(0), scratch_dir(spark))
+    assert index.count() == 0 and read_warc(index).count() == 0
+
+
+def test_record():
+    record = warc_record(3, "http://x/", b"abc", hashlib.sha1(b"abc").hexdigest(), None)
+    parsed, end = parse_record(record + record)
+    assert end == len(record) and parsed["payload"] == b"abc" and record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
