@@ -44,11 +44,11 @@ MARGIN = 0.16            # below the threshold, at which tokens still make a can
 LEAF = 64                # records of a bucket that is searched rather than split
 DEPTH = 4                # levels of splitting
 BLOCK = 16384            # records searched at once; larger buckets go in pairs of blocks
-BLOCK_SHINGLES = 2_000_000   # shingles compared at once in a component
+BLOCK_SHINGLES = 1_000_000   # shingles compared at once in a component
 BLOCK_RECORDS = 1024
 TASK_ROWS = 200_000      # bucket rows a task gets
-TASK_SHINGLES = 8_000_000
-WORD_MEMO = 800_000      # word hashes a worker remembers
+TASK_SHINGLES = 1_000_000
+WORD_MEMO = 300_000      # word hashes a worker remembers
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)   # 64-bit finaliser
 
 
