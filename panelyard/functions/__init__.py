@@ -3,7 +3,7 @@ executors need no installed copy of this package."""
 
 from pyspark import cloudpickle
 
-from panelyard.functions import linear, tails
+from panelyard.functions import linear, moments, tails
 
-for _module in (linear, tails):
+for _module in (linear, moments, tails):
     cloudpickle.register_pickle_by_value(_module)

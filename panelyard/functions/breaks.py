@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 
 
-def pretty_edges(lo: float, hi: float, bins: int) -> list[float]:
-    """Equally spaced edges on a 1-2-5 grid covering [lo, hi], about ``bins`` intervals.
+def pretty_edges(lo: float, hi: float, bins: int) -> tuple[list[float], float]:
+    """Edges and their step. Equally spaced edges on a 1-2-5 grid covering [lo, hi], about ``bins`` intervals.
 
     A step of 2, 5 or 10 times the power of ten is taken once the exact width is past
     the fixed switch points below, which favour the larger step.
@@ -25,7 +25,7 @@ def pretty_edges(lo: float, hi: float, bins: int) -> list[float]:
     last = math.ceil(hi / step - 1e-7)
     if last == first:
         last += 1
-    return [i * step for i in range(first, last + 1)]
+    return [i * step for i in range(first, last + 1)], step
 
 
 def sturges_bins(n: int) -> int:

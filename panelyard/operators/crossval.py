@@ -3,41 +3,44 @@
 A fold tests on its own periods and trains on the periods outside [first, last] of the
 fold. Rows are never copied once per fold they train:
 
-* errors of a slope-only prediction need only cross sums per period, which are added up
-  over the periods of a fold;
-* the between-period fit needs only period means;
-* the within fit takes an entity's moments over all rows and removes, by the pairwise
-  update run backwards, those of the rows a fold leaves out.
+* rows become moments per (entity, period) and per period, once;
+* a fold's training side is the periods before it joined with the periods after it, by the
+  pairwise update, from running moments in both directions. Nothing is subtracted, so a level
+  break or one unit on a larger scale does not cancel the rest;
+* errors are those of residuals under the slopes of all rows, corrected by the difference of the
+  fold's slopes: the large levels of the terms drop out before anything is squared.
+
+What is ordered in one place is the time axis (one row per period), never the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard.functions.linear import pairs, solve
+from panelyard.functions.moments import merge, outside
 from panelyard.functions.numeric import clean
-from panelyard.operators.moments import group_moments, model_frame, moment_columns
-from panelyard.operators.sizing import kept, measured
+from panelyard.operators.moments import moment_columns
+from panelyard.operators.ranks import cumulative_counts
+from panelyard.operators.sizing import measured
 
-ALL_ROWS = 0   # pseudo fold holding every row; real folds count from 1
+ENTITY_CELLS = 2_000_000   # numbers of one dense block of entities x periods
 
 
 def make_folds(df: DataFrame, period: str, width: int = 5) -> DataFrame:
-    """Contiguous windows of ``width`` periods as rows (fold, pos, period). Only the
-    distinct periods, the time axis, are ordered in one place."""
+    """Contiguous windows of ``width`` periods as rows (fold, pos, period). The distinct
+    periods, the time axis, are numbered in blocks."""
     axis = df.select(F.col(period).cast("int").alias("period")).filter("period IS NOT NULL").distinct()
-    numbered = axis.select(
-        "period",
-        F.row_number().over(Window.orderBy("period")).alias("i"),
-        F.count("*").over(Window.partitionBy()).alias("total"),
-    ).filter(F.col("total") >= width)
+    placed, total, _ = cumulative_counts(axis, "period")
+    numbered = placed.select("period", F.col("cum").cast("int").alias("i")).filter(F.lit(total >= width))
     first = F.greatest(F.lit(1), F.col("i") - width + 1)
-    last = F.least(F.col("i"), (F.col("total") - width + 1).cast("int"))
+    last = F.least(F.col("i"), F.lit(total - width + 1))
     return numbered.select("period", "i", F.explode(F.sequence(first, last)).alias("fold")).select(
         "fold", (F.col("i") - F.col("fold") + 1).alias("pos"), "period"
     )
@@ -68,76 +71,93 @@ def assign_folds(df: DataFrame, folds: DataFrame, period: str) -> DataFrame:
     return df.join(roles.withColumnRenamed("period", "_period"), F.col(period) == F.col("_period")).drop("_period")
 
 
-def _solver(k: int):
-    """Arrow UDF: flattened centred cross sums of each fold -> slopes, NULL where there is no fit."""
-
-    @F.pandas_udf("array<double>")
-    def slopes(cross: pd.Series) -> pd.Series:
-        out = []
-        for flat in cross:
-            matrix = np.zeros((k + 1, k + 1))
-            for (i, j), v in zip(pairs(k), flat):
-                matrix[i, j] = matrix[j, i] = v
-            try:
-                out.append(list(solve(matrix[1:, 1:], matrix[1:, 0])))
-            except ValueError:
-                out.append(None)
-        return pd.Series(out)
-
-    return slopes
-
-
-def _within_cross(frame: DataFrame, roles: DataFrame, entity: str, period: str, k: int) -> DataFrame:
-    """(fold, cross): within cross sums of each fold's training rows."""
-    left_out = roles.filter("NOT in_train").groupBy("period").agg(F.collect_list("fold").alias("_folds"))
-    marked = (
-        frame.join(left_out.withColumnRenamed("period", "_period"), F.col(period) == F.col("_period"), "left")
-        .withColumn("fold", F.explode(F.concat(
-            F.array(F.lit(ALL_ROWS)), F.coalesce("_folds", F.array().cast("array<int>"))
-        )))
-    )
-    parts = group_moments(marked, [entity, "fold"], k)
-    names = ["n", *[f"m{i}" for i in range(k + 1)], *[f"c{i}_{j}" for i, j in pairs(k)]]
-    own = Window.partitionBy(entity)   # at most one row per fold
-    whole = parts.withColumns(
-        {f"t_{c}": F.max(F.when(F.col("fold") == ALL_ROWS, F.col(c))).over(own) for c in names}
-    )
-    n, total = F.col("n"), F.col("t_n")
-    stay = total - n
-
-    def gap(i: int) -> Column:
-        """Mean of the removed rows minus mean of the kept rows."""
-        return (F.col(f"m{i}") - F.col(f"t_m{i}")) * total / stay
-
-    def change(i: int, j: int) -> Column:
-        c = f"c{i}_{j}"
-        without = F.col(f"t_{c}") - F.col(c) - n * stay / total * gap(i) * gap(j)
-        return (
-            F.when(F.col("fold") == ALL_ROWS, F.col(c))
-            .when(stay == 0, -F.col(f"t_{c}"))
-            .otherwise(without - F.col(f"t_{c}"))
+def _names(k: int) -> list[str]:
+    return ["n", *[f"m{i}" for i in range(k + 1)], *[f"c{i}_{j}" for i, j in pairs(k)]]
+
+
+def _state(rows: np.ndarray, k: int):
+    """(n, mean, cross) from rows of the columns in _names."""
+    rows = np.nan_to_num(rows)
+    cross = np.zeros((*rows.shape[:-1], k + 1, k + 1))
+    for at, (i, j) in enumerate(pairs(k), k + 2):
+        cross[..., i, j] = cross[..., j, i] = rows[..., at]
+    return rows[..., 0], rows[..., 1:k + 2], cross
+
+
+def _table(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """A small table (one row per period or fold) as numbers."""
+    got = df.select(*[F.col(c).cast("double") for c in columns]).toArrow()
+    return np.column_stack([got.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(float).reshape(-1, len(columns))
+
+
+class Folds:
+    """Where the folds lie on the time axis."""
+
+    def __init__(self, axis: np.ndarray, folds: DataFrame):
+        listed = _table(folds, ["fold", "pos", "period"])
+        listed = listed[np.lexsort((listed[:, 1], listed[:, 0]))]
+        self.number = np.unique(listed[:, 0]).astype(int)
+        groups = [listed[listed[:, 0] == f, 2] for f in self.number]
+        self.before = np.searchsorted(axis, [g[0] for g in groups], side="left")
+        self.after = np.searchsorted(axis, [g[-1] for g in groups], side="right")
+        # A fold listed backwards leaves no period out, and none is taken twice.
+        self.after = np.maximum(self.after, self.before)
+        self.members = [np.flatnonzero(np.isin(axis, g)) for g in groups]
+
+    def sums(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of a count over the training and over the test periods."""
+        upto = np.r_[0, np.cumsum(values)]
+        return upto[self.before] + upto[-1] - upto[self.after], np.array([values[m].sum() for m in self.members])
+
+    def sides(self, state) -> tuple:
+        """States of the training and of the test periods of each fold."""
+        test = []
+        for m in self.members:
+            own = tuple(np.zeros_like(s[0]) for s in state)
+            for t in m:
+                own = merge(own, tuple(s[t] for s in state))
+            test.append(own)
+        return outside(state, 0, self.before, self.after), tuple(np.stack(s) for s in zip(*test))
+
+
+def _within_cross(cells: DataFrame, axis: np.ndarray, folds: Folds, entity: str, k: int) -> np.ndarray:
+    """Within cross sums of each fold's training rows, and last of all rows: entities' own
+    cross sums, added up. Each task adds those of its entities."""
+    names, before, after = _names(k), np.r_[folds.before, 0], np.r_[folds.after, 0]
+    size = (k + 1) ** 2
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(before), k + 1, k + 1))
+        step = max(1, ENTITY_CELLS // ((len(axis) + 1) * size))
+        for batch in batches:
+            lists = batch.column("cells")
+            values = lists.flatten()
+            rows = np.column_stack([values.field(c).to_numpy(zero_copy_only=False) for c in ["period", *names]]).astype(float)
+            edges = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+            for lo in range(0, len(edges) - 1, step):
+                hi = min(lo + step, len(edges) - 1)
+                part = rows[edges[lo]:edges[hi]]
+                dense = np.zeros((hi - lo, len(axis), len(names)))
+                owner = np.repeat(np.arange(hi - lo), np.diff(edges[lo:hi + 1]))
+                dense[owner, np.searchsorted(axis, part[:, 0])] = part[:, 1:]
+                total += outside(_state(dense, k), 1, before, after)[2].sum(axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(total.size), pa.int32()), pa.array(total.reshape(-1))], ["cell", "value"]
         )
 
-    by_fold = whole.groupBy("fold").agg(*[F.sum(change(i, j)).alias(f"c{i}_{j}") for i, j in pairs(k)])
-    by_fold = kept(by_fold)   # one row per fold, read twice below
-    grand = by_fold.filter(F.col("fold") == ALL_ROWS).select(
-        F.struct(*[f"c{i}_{j}" for i, j in pairs(k)])
-    ).scalar()
-    folds = roles.select("fold").distinct()
-    return folds.join(by_fold, "fold", "left").select(
-        "fold",
-        F.array(*[
-            grand[f"c{i}_{j}"] + F.coalesce(F.col(f"c{i}_{j}"), F.lit(0.0)) for i, j in pairs(k)
-        ]).alias("cross"),
-    )
+    listed = cells.groupBy(entity).agg(F.collect_list(F.struct("period", *names)).alias("cells")).select("cells")
+    sums = listed.mapInArrow(task, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+    out = np.zeros(len(before) * size)
+    for row in sums.collect():
+        out[row["cell"]] = row["value"]
+    return out.reshape(len(before), k + 1, k + 1)
 
 
-def _between_cross(by_period: DataFrame, roles: DataFrame, k: int) -> DataFrame:
-    """(fold, cross): centred cross sums of the training periods' means."""
-    means = by_period.filter("n > 0").join(roles.filter("in_train"), "period")
-    return means.groupBy("fold").agg(*moment_columns(k, "m")).select(
-        "fold", F.array(*[f"c{i}_{j}" for i, j in pairs(k)]).alias("cross")
-    )
+def _slopes(cross: np.ndarray) -> np.ndarray | None:
+    try:
+        return solve(cross[1:, 1:], cross[1:, 0])
+    except ValueError:
+        return None
 
 
 def cv_rmse(
@@ -154,68 +174,71 @@ def cv_rmse(
     """One row per fold: row counts, status, slopes and slope-only RMSE on both sides.
 
     ``model`` is "within" (entity effects) or "between_period". A fold with an empty side,
-    with fewer than ``min_rows`` rows on a side or without a fit has NULL errors.
+    with fewer than ``min_rows`` rows on a side or without a fit has NULL errors. Rows without a
+    period take no part.
     """
+    if model not in ("within", "between_period"):
+        raise ValueError(f"unknown model {model!r}")
     xs, k = list(xs), len(xs)
-    # One row per period. It also gives the time axis, so folds need no pass of their own.
-    by_period, _ = measured(
-        model_frame_marked(df, y, xs, period).groupBy("period").agg(F.count("*").alias("rows"), *moment_columns(k))
+    names = _names(k)
+    marked = model_frame_marked(df, y, xs, period, [entity] if model == "within" else []).filter("period IS NOT NULL")
+    by_period = measured(marked.groupBy("period").agg(F.count("*").alias("rows"), *moment_columns(k)))[0]
+    folds = measured(folds if folds is not None else make_folds(by_period, "period", width))[0]
+    table = _table(by_period, ["period", "rows", *names])
+    table = table[np.argsort(table[:, 0])]
+    axis = table[:, 0]
+    schema = T.StructType(
+        [T.StructField("fold", T.IntegerType()), T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
+         T.StructField("status", T.StringType())]
+        + [T.StructField(f"b_{x}", T.DoubleType()) for x in xs]
+        + [T.StructField("rmse_train", T.DoubleType()), T.StructField("rmse_test", T.DoubleType())]
     )
-    folds = folds if folds is not None else make_folds(by_period, "period", width)
-    roles, _ = measured(fold_roles(by_period, folds, "period"))
-    raw = {
-        f"r{i}_{j}": F.coalesce(
-            F.col(f"c{i}_{j}") + F.col("n") * F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)
-        )
-        for i, j in pairs(k)
-    }
-    sums = [
-        F.sum(F.when(F.col(f"in_{side}"), F.col(c)).otherwise(0)).alias(f"{side}_{c}")
-        for side in ("train", "test") for c in ("rows", "n", *raw)
-    ]
-    by_fold = roles.join(by_period.withColumns(raw), "period").groupBy("fold").agg(*sums)
+    spark = df.sparkSession
+    if folds.isEmpty():
+        return spark.createDataFrame([], schema)
+    place = Folds(axis, folds)
+    n_train, n_test = place.sums(table[:, 1])
 
     if model == "within":
-        frame = model_frame(df, y, xs, [entity, period]).filter(F.col(entity).isNotNull())
-        cross = _within_cross(frame, roles, entity, period, k)
-    elif model == "between_period":
-        cross = _between_cross(by_period, roles, k)
+        complete = marked.filter("v0 IS NOT NULL").filter(F.col(entity).isNotNull())
+        cells = complete.groupBy(entity, "period").agg(*moment_columns(k))
+        cross = _within_cross(cells, axis, place, entity, k)
     else:
-        raise ValueError(f"unknown model {model!r}")
-
-    table = by_fold.join(cross.select("fold", _solver(k)("cross").alias("b")), "fold", "left")
-    status = (
-        F.when((F.col("train_rows") == 0) | (F.col("test_rows") == 0), "empty")
-        .when((F.col("train_rows") < min_rows) | (F.col("test_rows") < min_rows), "too_few_rows")
-        .when(F.col("b").isNull(), "no_fit")
-        .otherwise("ok")
-    )
-    weights = [F.lit(1.0), *[-F.col("b")[i] for i in range(k)]]
-
-    def rmse(side: str) -> Column:
-        total = sum(
-            (
-                (1 if i == j else 2) * weights[i] * weights[j] * F.col(f"{side}_r{i}_{j}")
-                for i, j in pairs(k)
-            ),
-            F.lit(0.0),
-        )
-        return F.when(
-            F.col("status") == "ok", F.sqrt(F.greatest(F.try_divide(total, F.col(f"{side}_n")), F.lit(0.0)))
-        )
-
-    return table.withColumn("status", status).select(
-        "fold",
-        F.col("train_rows").alias("n_train"),
-        F.col("test_rows").alias("n_test"),
-        "status",
-        *[F.col("b")[i].alias(f"b_{x}") for i, x in enumerate(xs)],
-        rmse("train").alias("rmse_train"),
-        rmse("test").alias("rmse_test"),
-    )
-
-
-def model_frame_marked(df: DataFrame, y: str, xs: Sequence[str], period: str) -> DataFrame:
+        # Each period counts once, with its means.
+        n, mean, _ = _state(table[:, 2:], k)
+        single = ((n > 0).astype(float), mean, np.zeros((len(axis), k + 1, k + 1)))
+        train = outside(single, 0, np.r_[place.before, 0], np.r_[place.after, 0])
+        cross = train[2]
+    slopes = [_slopes(c) for c in cross]
+    reference = slopes[-1] if slopes[-1] is not None else np.zeros(k)
+
+    residual = F.col("v0") - sum((float(b) * F.col(f"v{i}") for i, b in enumerate(reference, 1)), F.lit(0.0))
+    errors = marked.withColumn("v0", residual).groupBy("period").agg(*moment_columns(k))
+    found = _table(errors, ["period", *names])
+    found = found[np.argsort(found[:, 0])]
+    sides = place.sides(_state(found[:, 1:], k))
+
+    def rmse(side, at: int, b: np.ndarray) -> float | None:
+        n, mean, cross = (s[at] for s in side)
+        if not n:
+            return None
+        w = np.r_[1.0, reference - b]
+        spread = w @ cross @ w / n
+        noise = 1e-12 * float(np.abs(w) @ np.abs(cross) @ np.abs(w)) / n
+        if spread < -noise:
+            raise ArithmeticError("a sum of squares came out negative")
+        return float(np.sqrt(max(spread, 0.0) + float(w @ mean) ** 2))
+
+    out = []
+    for at, fold in enumerate(place.number):
+        b, counts = slopes[at], (int(n_train[at]), int(n_test[at]))
+        status = "empty" if 0 in counts else "too_few_rows" if min(counts) < min_rows else "no_fit" if b is None else "ok"
+        e = [rmse(side, at, b) if status == "ok" else None for side in sides]
+        out.append((int(fold), *counts, status, *([None] * k if b is None else map(float, b)), *e))
+    return spark.createDataFrame(out, schema)
+
+
+def model_frame_marked(df: DataFrame, y: str, xs: Sequence[str], period: str, carry: Sequence[str] = ()) -> DataFrame:
     """Every row, with NULL in all model variables where one of them is missing."""
     names = [y, *xs]
     values = [clean(F.col(c).cast("double")) for c in names]
@@ -223,6 +246,7 @@ def model_frame_marked(df: DataFrame, y: str, xs: Sequence[str], period: str) ->
     for v in values:
         complete = complete & v.isNotNull()
     return df.select(
+        *carry,
         F.col(period).cast("int").alias("period"),
         *[F.when(complete, v).alias(f"v{i}") for i, v in enumerate(values)],
     )

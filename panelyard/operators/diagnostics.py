@@ -89,12 +89,16 @@ def bp_test_by(df: DataFrame, y: str, x: str, entity: str, min_rows: int = 3) ->
 def bh_adjust(
     df: DataFrame, p_col: str, by: Sequence[str] = (), out: str = "p_adjusted", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Benjamini-Hochberg adjustment over the whole table (or within ``by``); NULL stays NULL.
+    """Benjamini-Hochberg adjustment over the whole table (or within ``by``); NULL stays NULL, and
+    NaN counts as NULL. Rows without a p-value take no part, nor in any join.
 
     Works on distinct p-values in ordered blocks: inside a block a running minimum from
     above, and from the blocks above only their minima.
     """
     by = list(by)
+    plain = df.drop(out)
+    unknown = plain.filter(clean(p_col).isNull()).withColumn(out, F.lit(None).cast("double"))
+    df = plain.filter(clean(p_col).isNotNull())
     table, total, blocks = cumulative_counts(df, p_col, by, block_rows)
     if by:
         table = null_safe_join(table, table.groupBy(*by).agg(F.sum("cnt").alias("_m")), by)
@@ -112,4 +116,5 @@ def bh_adjust(
         Window.partitionBy(*by, "block").orderBy(F.col(p_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
     )
     adjusted = table.select(*by, p_col, "cnt", F.least(F.min("_v").over(inside), "_later", F.lit(1.0)).alias(out))
-    return attach_stats(df, adjusted, [*by, p_col], weight="cnt").drop("cnt")
+    known = attach_stats(df, adjusted, [*by, p_col], weight="cnt").drop("cnt")
+    return known.unionByName(unknown.select(*known.columns))

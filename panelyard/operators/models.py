@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.linear import inverse, pairs, solve
 from panelyard.functions.numeric import normal_quantile
-from panelyard.functions.tails import f_tail, normal_tail, t_tail
+from panelyard.functions.tails import chi2_tail, f_tail, normal_tail, t_tail
 from panelyard.operators.moments import (
     group_moments, model_frame, moment_columns, read_cross, read_means, sum_cross,
 )
@@ -86,20 +86,24 @@ class Fit:
         )
 
     def statistics(self) -> DataFrame:
-        """Goodness of fit as one row."""
+        """Goodness of fit as one row: an F statistic, or for random effects (whose coefficients
+        have normal tails) a Wald chi-square of the slopes."""
         k = len(self.xs)
         r2 = 1 - self.ssr / self.tss
         adj = 1 - (self.ssr / self.df_resid) / (self.tss / (self.n_obs - 1))
         f = (r2 / k) / ((1 - r2) / self.df_resid)
+        kind, p = "f", f_tail(f, k, self.df_resid)
+        if self.kind == "random":
+            kind, f = "chi2", float(self.slopes @ solve(self.slope_cov, self.slopes))
+            p = chi2_tail(f, k)
         row = (
             self.kind, int(self.n_obs), None if self.n_entities is None else int(self.n_entities),
-            int(self.df_resid), float(self.ssr), float(self.tss), float(r2), float(adj), float(f),
-            float(f_tail(f, k, self.df_resid)),
+            int(self.df_resid), float(self.ssr), float(self.tss), float(r2), float(adj), float(f), float(p),
         )
         return self.source.sparkSession.createDataFrame(
             [row],
             "model string, n_obs long, n_entities long, df_resid long, ssr double, tss double, "
-            "r_squared double, adj_r_squared double, f_statistic double, f_p_value double",
+            f"r_squared double, adj_r_squared double, {kind}_statistic double, {kind}_p_value double",
         )
 
     def robust_table(self) -> DataFrame:

@@ -72,16 +72,24 @@ def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def histogram_table(df: DataFrame, col: str, bins: int | None = 20) -> DataFrame:
     """Bins of a histogram: edges, count and density; empty bins are kept.
 
-    Bins are closed on the right and the first one also on the left. ``bins`` is a target
+    Bins are closed on the right and the first one also on the left; every value is in one. ``bins`` is a target
     (``None``: by Sturges' rule); edges lie on a 1-2-5 grid.
     """
     values = df.select(clean(col).alias("v")).filter("v IS NOT NULL")
     lo, hi, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
     if not n:
         raise ValueError(f"{col} has no values")
-    edges = pretty_edges(lo, hi, bins or sturges_bins(n))
-    width = edges[1] - edges[0]
-    index = F.greatest(F.lit(1), F.ceil((F.col("v") - edges[0]) / width).cast("int"))
+    edges, width = pretty_edges(lo, hi, bins or sturges_bins(n))
+    last = len(edges) - 1
+    # Values within a ten-millionth of a step of an edge lie on it. The quotient only finds a
+    # bin next to the right one; the edges themselves decide.
+    on_edge = F.lit([e + 1e-7 * width for e in edges])
+    near = F.least(F.lit(last), F.greatest(F.lit(1), F.ceil((F.col("v") - edges[0]) / width).cast("int")))
+    index = (
+        F.when((near > 1) & (F.col("v") <= F.element_at(on_edge, near)), near - 1)
+        .when((near < last) & (F.col("v") > F.element_at(on_edge, near + 1)), near + 1)
+        .otherwise(near)
+    )
     counts = values.groupBy(index.alias("_bin")).agg(F.count("*").alias("_n"))
     grid = df.sparkSession.createDataFrame(
         [(i, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:]), 1)],

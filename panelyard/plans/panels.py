@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.functions.numeric import log1p_square, log_of, ratio
+from panelyard.operators.sizing import kept
 from panelyard.session import fit_shuffles
 
 
@@ -74,9 +75,30 @@ def nation_year(
     return joined.groupBy(F.col("nation").alias("entity"), "period", *extra).agg(*stats)
 
 
-def customer_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_cells(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """customer x year x priority with all sums: what both the panel and the scenario drivers
+    are added up from, kept, so that orders and their lines are read once for both."""
+    return kept(customer_year(spark, sf_dir, terms=True, extra=("o_orderpriority",), years=years))
+
+
+def panel_of(cells: DataFrame) -> DataFrame:
+    """The customer panel from its parts by priority."""
+    sums = ("num", "orders", "q_sum", "q_n", "d_sum", "d_n")
+    return _panel(cells.groupBy("entity", "period").agg(*[F.sum(c).alias(c) for c in sums]))
+
+
+def customer_panel(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """Unbalanced model panel: customer x year with y, a, b."""
-    return customer_year(spark, sf_dir, terms=True).select(
+    return _panel(customer_year(spark, sf_dir, terms=True, years=years))
+
+
+def customer_index(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """The panel's response alone; the lines are not read."""
+    return customer_year(spark, sf_dir, years=years).select("entity", "period", log_of(ratio("num", "orders")).alias("y"))
+
+
+def _panel(sums: DataFrame) -> DataFrame:
+    return sums.select(
         "entity",
         "period",
         log_of(ratio("num", "orders")).alias("y"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelyard.operators.sizing import kept
 from panelyard.functions.numeric import log_of
 from panelyard.operators.crossval import assign_folds, cv_report, cv_rmse, make_folds
 from panelyard.operators.diagnostics import bh_adjust, bp_test, bp_test_by, hausman
@@ -164,7 +165,7 @@ def fixed_effects(spark, sf):
 SELECT dm.entity, dm.period, round(my + ba * dm.a + bb * dm.b, 6) AS fitted, round(dm.y - ba * dm.a - bb * dm.b, 6) AS residual
 FROM dm JOIN mu ON dm.entity = mu.entity, r""")
 def residuals(spark, sf):
-    return rounded(fit_within(customer_panel(spark, sf).persist(), "y", XS, "entity").residuals(carry=["period"]))
+    return rounded(fit_within(kept(customer_panel(spark, sf)), "y", XS, "entity").residuals(carry=["period"]))
 
 
 @query(f"""WITH {_sql_between('entity')}
@@ -290,12 +291,12 @@ SELECT '{name}' AS test, round(stat, 6) AS statistic, 2 AS df, round(exp(-stat /
 
 @query(_sql_bp(True))
 def bp_studentized(spark, sf):
-    return rounded(bp_test(customer_panel(spark, sf).persist(), "y", XS))
+    return rounded(bp_test(kept(customer_panel(spark, sf)), "y", XS))
 
 
 @query(_sql_bp(False))
 def bp_plain(spark, sf):
-    return rounded(bp_test(customer_panel(spark, sf).persist(), "y", XS, studentize=False))
+    return rounded(bp_test(kept(customer_panel(spark, sf)), "y", XS, studentize=False))
 
 
 # Customer x month: log value against log number of orders a month holds, by nation.
@@ -324,7 +325,7 @@ def nation_months(spark, sf):
 @query(f"""WITH {SQL_MONTHS}
 SELECT entity, n_obs, round(stat, 6) AS statistic, round({sql_erfc('sqrt(stat / 2)')}, 6) AS p_value FROM bp""")
 def bp_by_entity(spark, sf):
-    return rounded(bp_test_by(nation_months(spark, sf).persist(), "y", "x", "entity"))
+    return rounded(bp_test_by(kept(nation_months(spark, sf)), "y", "x", "entity"))
 
 
 @query(f"""WITH {SQL_MONTHS},
@@ -349,12 +350,30 @@ def bh_adjusted(spark, sf):
     return bh_adjust(tests, "p").select("entity", F.round("p", 10).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"))
 
 
+@query(f"""WITH z AS (SELECT c_custkey AS entity, abs(c_acctbal - 4500) / 1000 AS z FROM customer WHERE c_custkey % 7 <> 0),
+p AS (SELECT entity, exp(-z * z / 2) AS p FROM z),
+k AS (SELECT entity, p, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS r FROM p)
+SELECT entity, round(p, 10) AS p, round(least(1.0, min(m * p / r) OVER (ORDER BY p DESC)), 8) AS p_adjusted FROM k
+UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 7 = 0""")
+def bh_with_gaps(spark, sf):
+    """Some customers without a p-value, half of those NaN."""
+    z = (F.col("c_acctbal") - 4500) / 1000
+    key = F.col("c_custkey")
+    gap = F.when(key % 2 == 0, F.lit(float("nan")))
+    tests = load(spark, sf, "customer").select(
+        key.alias("entity"), F.when(key % 7 == 0, gap).otherwise(F.exp(-z * z / 2)).alias("p")
+    )
+    return bh_adjust(tests, "p").select(
+        "entity", F.round(F.nanvl("p", F.lit(None).cast("double")), 10).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted")
+    )
+
+
 @query(f"""WITH {SQL_MONTHS},
 p AS (SELECT entity, {sql_erfc('sqrt(stat / 2)')} AS p FROM bp WHERE stat IS NOT NULL),
 k AS (SELECT entity, p, count(*) OVER () AS m, count(*) OVER (ORDER BY p) AS r FROM p)
 SELECT entity, round(p, 6) AS p_value, round(least(1.0, min(m * p / r) OVER (ORDER BY p DESC)), 6) AS p_adjusted FROM k""")
 def bp_by_entity_adjusted(spark, sf):
-    tests = bp_test_by(nation_months(spark, sf).persist(), "y", "x", "entity").filter("p_value IS NOT NULL")
+    tests = bp_test_by(kept(nation_months(spark, sf)), "y", "x", "entity").filter("p_value IS NOT NULL")
     return rounded(bh_adjust(tests, "p_value").select("entity", "p_value", "p_adjusted"))
 
 
@@ -406,7 +425,7 @@ dm AS (SELECT fold, y - avg(y) OVER w AS y, a - avg(a) OVER w AS a, 0.0 AS b FRO
 SELECT CAST(err.fold AS INTEGER) AS fold, n_train, n_test, 'ok' AS status, round(ba, 6) AS b_a, round(bb, 5) AS b_b,
        round(e_train, 6) AS rmse_train, round(e_test, 6) AS rmse_test FROM err JOIN cnt ON err.fold = cnt.fold""")
 def cv_within(spark, sf):
-    out = cv_rmse(customer_panel(spark, sf).persist(), "y", XS, "entity", "period")
+    out = cv_rmse(kept(customer_panel(spark, sf)), "y", XS, "entity", "period")
     return rounded(out.withColumn("b_b", F.round("b_b", 5)))
 
 
@@ -414,7 +433,7 @@ def cv_within(spark, sf):
 SELECT CAST(err.fold AS INTEGER) AS fold, n_train, n_test, 'ok' AS status, round(ba, 6) AS b_a,
        round(e_train, 6) AS rmse_train, round(e_test, 6) AS rmse_test FROM err JOIN cnt ON err.fold = cnt.fold""")
 def cv_between_time(spark, sf):
-    return rounded(cv_rmse(customer_panel(spark, sf).persist(), "y", ["a"], "entity", "period", model="between_period", min_rows=1))
+    return rounded(cv_rmse(kept(customer_panel(spark, sf)), "y", ["a"], "entity", "period", model="between_period", min_rows=1))
 
 
 @query(f"""{SQL_CV_WITHIN}
@@ -422,7 +441,7 @@ SELECT count(*) AS folds_used, round(avg(e_train), 6) AS mean_rmse_train, round(
        CASE WHEN avg(e_train) < avg(e_test) THEN 'train_better' WHEN avg(e_train) > avg(e_test) THEN 'test_better'
             ELSE 'equal' END AS verdict FROM err""")
 def cv_verdict(spark, sf):
-    return rounded(cv_report(cv_rmse(customer_panel(spark, sf).persist(), "y", XS, "entity", "period")))
+    return rounded(cv_report(cv_rmse(kept(customer_panel(spark, sf)), "y", XS, "entity", "period")))
 
 
 # --- the balanced nation panel ---------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelyard.operators.sizing import kept
 from panelyard.functions.numeric import log1p_of, log1p_square, log_of, log_square, to_double, to_int
 from panelyard.operators.baseline import (
     baseline_average, baseline_by_group, entity_snapshot, group_bounds, lag_rows,
@@ -124,9 +125,9 @@ m AS (SELECT entity, period, CASE WHEN num > 600000 THEN num END AS measure FROM
 SELECT entity, period, round(measure, 2) AS measure FROM m
 WHERE entity IN (SELECT entity FROM m WHERE measure IS NOT NULL)""")
 def groups_with_data(spark, sf):
-    df = customer_year(spark, sf).select(
+    df = kept(customer_year(spark, sf).select(
         "entity", "period", F.when(F.col("num") > 600000, F.col("num")).alias("measure")
-    ).persist()
+    ))
     return keep_groups_with_data(df, ["entity"], ["measure"]).select(
         "entity", "period", F.round("measure", 2).alias("measure")
     )
@@ -212,7 +213,7 @@ means AS (SELECT region, period, avg(index_log) AS mean_log FROM rows GROUP BY 1
 SELECT means.region, period, round(mean_log, 6) AS mean_log, round(baseline, 6) AS baseline
 FROM means LEFT JOIN base ON means.region IS NOT DISTINCT FROM base.region""")
 def baseline_attach(spark, sf):
-    rows = attach_dim(index_panel(spark, sf), nation_dim(spark, sf), "entity").persist()
+    rows = kept(attach_dim(index_panel(spark, sf), nation_dim(spark, sf), "entity"))
     base = baseline_by_group(rows, "region", "index_log", period="period", years=(1996, 2000))
     means = rows.groupBy("region", "period").agg(F.avg("index_log").alias("mean_log"))
     return attach_baseline(means, base, "region", "baseline").select(
@@ -297,7 +298,7 @@ w AS (SELECT *, avg(ln(num / orders)) OVER (PARTITION BY entity) AS average,
 SELECT entity, period, round(ln(num / orders), 6) AS index_log, round(average, 6) AS average,
        round(average_num, 4) AS average_num FROM w WHERE period = 1998""")
 def entity_baseline(spark, sf):
-    df = build_ratio_index(customer_year(spark, sf, years=(1996, 2000)), "num", "orders").persist()
+    df = kept(build_ratio_index(customer_year(spark, sf, years=(1996, 2000)), "num", "orders"))
     out = baseline_average(
         df, "entity", "period", {"index_log": "average", "num": "average_num"}, (1996, 2000), 1998
     )
@@ -320,7 +321,7 @@ FROM w WHERE period = 1998"""
 def scenario_baseline(spark, sf):
     """Orders and customers to a nation panel, its index, entity baseline and region baseline."""
     df = baseline_average(
-        index_panel(spark, sf, (1996, 2000)).persist(), "entity", "period", {"index_log": "average"}, (1996, 2000), 1998
+        kept(index_panel(spark, sf, (1996, 2000))), "entity", "period", {"index_log": "average"}, (1996, 2000), 1998
     )
     df = attach_dim(df, nation_dim(spark, sf).select("entity", "region"), "entity")
     out = baseline_by_group(df, "region", "index_log")
@@ -338,7 +339,7 @@ SELECT cy.entity, period, income_group,
 FROM cy JOIN customer ON cy.entity = c_custkey JOIN dim ON dim.entity = c_nationkey
 WHERE period BETWEEN 1996 AND 2000 AND income_group IS NOT NULL""")
 def income_baseline(spark, sf):
-    df = _customers_by_group(spark, sf).persist()
+    df = kept(_customers_by_group(spark, sf, (1996, 2000)))
     out = baseline_by_group(
         df, "income_group", "index_log", period="period", years=(1996, 2000), drop_null_group=True
     )
@@ -348,12 +349,12 @@ def income_baseline(spark, sf):
     )
 
 
-def _customers_by_group(spark, sf):
+def _customers_by_group(spark, sf, years=None):
     customers = load(spark, sf, "customer").select(
         F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("entity")
     )
     groups = attach_dim(customers, nation_dim(spark, sf), "entity").drop("entity")
-    panel = build_ratio_index(customer_year(spark, sf), "num", "orders")
+    panel = build_ratio_index(customer_year(spark, sf, years=years), "num", "orders")
     return panel.join(groups, panel["entity"] == groups["customer"]).drop("customer")
 
 
@@ -374,7 +375,7 @@ b AS (SELECT income_group, avg(ln(num / orders)) OVER (PARTITION BY income_group
 SELECT income_group, round(min(baseline), 6) AS ymin, round(max(baseline), 6) AS ymax
 FROM b WHERE income_group IS NOT NULL GROUP BY income_group""")
 def income_bounds(spark, sf):
-    rows = baseline_by_group(_customers_by_group(spark, sf).persist(), "income_group", "index_log")
+    rows = baseline_by_group(kept(_customers_by_group(spark, sf)), "income_group", "index_log")
     return group_bounds(rows, "income_group", "baseline").select(
         "income_group", F.round("ymin", 6).alias("ymin"), F.round("ymax", 6).alias("ymax")
     )
@@ -385,7 +386,7 @@ def income_bounds(spark, sf):
 SELECT entity, period, round(num, 2) AS num,
        round(lag(num, 5) OVER (PARTITION BY entity ORDER BY period), 2) AS num_lag FROM m""")
 def lag5(spark, sf):
-    monthly = customer_year(spark, sf, period=month_key()).select("entity", "period", "num").persist()
+    monthly = kept(customer_year(spark, sf, period=month_key()).select("entity", "period", "num"))
     return lag_rows(monthly, "entity", "period", "num", 5).select(
         "entity", "period", F.round("num", 2).alias("num"), F.round("num_lag", 2).alias("num_lag")
     )
@@ -410,7 +411,7 @@ SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd,
   (SELECT entity FROM i ORDER BY v, entity LIMIT 1) AS lowest,
   count(*) FILTER (WHERE v > (SELECT mean FROM m)) AS n_above, count(DISTINCT entity) AS n_entities FROM i""")
 def key_index_figures(spark, sf):
-    df = build_ratio_index(customer_year(spark, sf, years=(1998, 1998)), "num", "orders").persist()
+    df = kept(build_ratio_index(customer_year(spark, sf, years=(1998, 1998)), "num", "orders"))
     return key_figures(df, "index_log", "entity").select(
         F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"),
         "highest", "lowest", "n_above", "n_entities",
@@ -473,7 +474,9 @@ s AS (SELECT *, CASE WHEN 2 * u - w < 1.5 * (w - u) THEN
 e AS (SELECT *, CAST(floor(lo / step + 1e-7) AS BIGINT) AS f, CAST(ceil(hi / step - 1e-7) AS BIGINT) AS l FROM s),
 g AS (SELECT CAST(i AS INTEGER) AS bin, (f + i - 1) * step AS lower, (f + i) * step AS upper, n, step
       FROM e, range(1, 1000) AS r(i) WHERE i <= l - f),
-c AS (SELECT greatest(1, CAST(ceil((v - f * step) / step) AS INTEGER)) AS bin, count(*) AS k FROM v, e GROUP BY 1)
+edges AS (SELECT list(g.upper + 1e-7 * g.step ORDER BY g.bin) AS ups FROM g),
+c AS (SELECT CAST(least(len(ups), 1 + len(list_filter(ups, lambda u: u < v))) AS INTEGER) AS bin, count(*) AS k
+      FROM v, edges GROUP BY 1)
 SELECT g.bin, round(lower, 6) AS lower, round(upper, 6) AS upper, coalesce(k, 0) AS count,
        round(coalesce(k, 0) / (n * step), 10) AS density FROM g LEFT JOIN c ON g.bin = c.bin"""
 
@@ -496,6 +499,12 @@ def histogram_default(spark, sf):
     return _histogram(histogram_table(load(spark, sf, "events"), "value", None))
 
 
+@query(_histogram_sql("lineitem", "l_discount", "20"))
+def histogram_edges(spark, sf):
+    """Values that lie on the edges."""
+    return _histogram(histogram_table(load(spark, sf, "lineitem").select("l_discount"), "l_discount", 20))
+
+
 @query("""WITH s AS (SELECT min(ln(o_totalprice)) AS lo, max(ln(o_totalprice)) AS hi, avg(ln(o_totalprice)) AS m,
   stddev_samp(ln(o_totalprice)) AS s FROM orders),
 g AS (SELECT CAST(p AS INTEGER) AS point, lo + (hi - lo) * (p - 1) / 87 AS x, m, s FROM s, range(1, 89) AS r(p))
@@ -527,7 +536,7 @@ def scatter(spark, sf):
 SELECT entity, period, round(index_log, 6) AS index_log, round(avg(index_log) OVER (), 6) AS overall
 FROM panel WHERE period BETWEEN 1996 AND 2000""")
 def overall_mean(spark, sf):
-    df = period_between(index_panel(spark, sf, (1996, 2000)), "period", 1996, 2000).persist()
+    df = kept(period_between(index_panel(spark, sf, (1996, 2000)), "period", 1996, 2000))
     return df.select(
         "entity", "period", F.round("index_log", 6).alias("index_log"),
         F.round(df.agg(F.avg("index_log")).scalar(), 6).alias("overall"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelyard.operators.sizing import kept
 from panelyard.functions.numeric import log1p_square, log_of
 from panelyard.operators.baseline import baseline_average, baseline_by_group
 from panelyard.operators.columns import tag
@@ -20,26 +21,25 @@ from panelyard.operators.joins import attach_dim
 from panelyard.operators.models import coef_sets, fit_within
 from panelyard.operators.projection import anchor_intercepts, coef_table, project, scenario_summary
 from panelyard.plans.panels import (
-    SQL_CUSTOMER_PANEL, SQL_DIM, customer_panel, customer_year, load, nation_dim,
+    SQL_CUSTOMER_PANEL, SQL_DIM, customer_cells, customer_index, customer_panel, customer_year, load, nation_dim, panel_of,
 )
 from panelyard.plans.queries_models import SQL_SLOPES, SQL_WITHIN_SUMS, rounded
 from panelyard.plans.queries_prep import multi_region
 from panelyard.plans.registry import query
+from panelyard.plans.settings import RATIO_COEFS
 
-COEFS = {
-    "fit": {"a": 0.152002, "b": 11.235020},
-    "low": {"a": 0.131, "b": 9.36},
-    "high": {"a": 0.173, "b": 13.1},
-}
-ANCHOR, YEARS = 1998, (1999, 2000, 2001)
+# The published coefficient sets under the names of the driver tables' two terms.
+COEFS = {s: {"a": t["gdppc"], "b": t["education"]} for s, t in RATIO_COEFS.items()}
+ANCHOR, YEARS, BASE_YEARS = 1998, (1999, 2000, 2001), (1996, 2000)
 REPORTED = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 SETS = ("fit", "low", "high")
 
 
-def scenario_rows(spark, sf):
+def scenario_rows(spark, sf, cells=None):
     """Scenario drivers: customer x year x priority, years after the anchor."""
-    rows = customer_year(spark, sf, terms=True, extra=("o_orderpriority",), years=(1999, 2001))
-    rows = period_between(rows, "period", 1999, 2001)
+    if cells is None:
+        cells = customer_year(spark, sf, terms=True, extra=("o_orderpriority",), years=(YEARS[0], YEARS[-1]))
+    rows = period_between(cells, "period", YEARS[0], YEARS[-1])
     rows = rows.select(
         "entity", "period", F.col("o_orderpriority").alias("scenario"),
         (F.col("q_sum") / F.nullif("q_n", F.lit(0))).alias("x1"),
@@ -56,11 +56,13 @@ def panel_terms():
     return {"a": F.col("a"), "b": F.col("b")}
 
 
-def projection(spark, sf, coefs=None, panel=None):
+def projection(spark, sf, coefs=None, cells=None):
+    """Anchors and drivers both come from one table of parts: one pass over the lines."""
     coefs = coefs or COEFS
-    panel = customer_panel(spark, sf) if panel is None else panel
-    anchors = anchor_intercepts(panel, "entity", "period", "y", panel_terms(), coefs, ANCHOR)
-    return project(scenario_rows(spark, sf), anchors, "entity", scenario_terms(), coefs)
+    cells = customer_cells(spark, sf, (ANCHOR, YEARS[-1])) if cells is None else cells
+    anchored = panel_of(cells.filter(F.col("period") == ANCHOR))
+    anchors = anchor_intercepts(anchored, "entity", "period", "y", panel_terms(), coefs, ANCHOR)
+    return project(scenario_rows(spark, sf, cells), anchors, "entity", scenario_terms(), coefs)
 
 
 def customer_groups(spark, sf):
@@ -117,7 +119,7 @@ summ AS (SELECT {group}, scenario, period,
 @query(f"""WITH {SQL_CUSTOMER_PANEL}, {SQL_ANCHOR}
 SELECT entity, {", ".join(f"round(i_{s}, 6) AS intercept_{s}" for s in SETS)} FROM anchor""")
 def anchored_intercepts(spark, sf):
-    return rounded(anchor_intercepts(customer_panel(spark, sf), "entity", "period", "y", panel_terms(), COEFS, ANCHOR))
+    return rounded(anchor_intercepts(customer_panel(spark, sf, (ANCHOR, ANCHOR)), "entity", "period", "y", panel_terms(), COEFS, ANCHOR))
 
 
 @query(f"""WITH {SQL_PROJ}
@@ -153,7 +155,7 @@ SELECT p.entity, p.period, p.scenario, s.region, round(proj_fit, 6) AS proj_fit,
   round(index_upr, 6) AS index_upr, round(index_lwr, 6) AS index_lwr, round(exp_index_fit, 2) AS exp_index_fit
 FROM proj p JOIN cg ON p.entity = customer JOIN summ s ON cg.region = s.region AND p.scenario = s.scenario AND p.period = s.period""")
 def region_summary_rows(spark, sf):
-    rows = scenario_summary(_with_groups(spark, sf).persist(), "region", period="period")
+    rows = scenario_summary(kept(_with_groups(spark, sf)), "region", period="period")
     return rows.select(
         "entity", "period", "scenario", "region",
         *[F.round(c, 6).alias(c) for c in ("proj_fit", "index_fit", "index_upr", "index_lwr")],
@@ -216,10 +218,10 @@ SQL_BASE = """bw AS (SELECT entity, period, y, region, avg(y) OVER (PARTITION BY
 base AS (SELECT * FROM bw WHERE period = 1998)"""
 
 
-def base_rows(spark, sf, panel=None):
-    panel = customer_panel(spark, sf).persist() if panel is None else panel
-    rows = panel.select("entity", "period", "y").join(customer_regions(spark, sf), "entity", "left")
-    return baseline_average(rows, "region", "period", {"y": "average"}, (1996, 2000), ANCHOR)
+def base_rows(spark, sf, index=None):
+    index = customer_index(spark, sf, BASE_YEARS) if index is None else index
+    rows = kept(index).join(customer_regions(spark, sf), "entity", "left")
+    return baseline_average(rows, "region", "period", {"y": "average"}, BASE_YEARS, ANCHOR)
 
 
 @query(f"""WITH {SQL_CUSTOMER_PANEL}, {SQL_MULTI}, {SQL_BASE}
@@ -239,9 +241,10 @@ joined AS (SELECT means.*, average FROM means LEFT JOIN (SELECT DISTINCT region,
 
 
 def _contrast_parts(spark, sf):
-    panel = customer_panel(spark, sf).persist()   # read by the anchors and by the baseline
-    base = tag(base_rows(spark, sf, panel), scenario="Baseline", source="index").persist()
-    proj = projection(spark, sf, panel=panel).join(customer_regions(spark, sf), "entity", "left")
+    cells = customer_cells(spark, sf, (BASE_YEARS[0], YEARS[-1]))   # read by baseline, anchors and drivers
+    index = panel_of(cells).select("entity", "period", "y")
+    base = kept(tag(base_rows(spark, sf, index), scenario="Baseline", source="index"))
+    proj = projection(spark, sf, cells=cells).join(customer_regions(spark, sf), "entity", "left")
     stacked = stack_milestones(tag(proj, source="proj"), base, "period", (ANCHOR, *YEARS)).select(
         "scenario", "entity", "region", "period", "proj_fit", "source", "average"
     )
@@ -293,9 +296,9 @@ means AS (SELECT entity, {", ".join(f"avg(proj_fit) FILTER (WHERE period = {y})
 SELECT means.entity, round(y, 6) AS y, {", ".join(f"round(mean_proj_{y}, 6) AS mean_proj_{y}, round((mean_proj_{y} - y) / y * 100, 6) AS diff_{y}" for y in YEARS)}
 FROM means LEFT JOIN frame ON frame.entity = means.entity AND frame.period = 1998""")
 def entity_pct_change(spark, sf):
-    panel = customer_panel(spark, sf).persist()
-    base = panel.filter(F.col("period") == ANCHOR).select("entity", "period", "y")
-    stacked = stack_milestones(projection(spark, sf, panel=panel), base, "period", (ANCHOR, *YEARS))
+    cells = customer_cells(spark, sf, (ANCHOR, YEARS[-1]))
+    base = panel_of(cells.filter(F.col("period") == ANCHOR)).select("entity", "period", "y")
+    stacked = stack_milestones(projection(spark, sf, cells=cells), base, "period", (ANCHOR, *YEARS))
     means = milestone_means(stacked, ["entity"], "period", "proj_fit", YEARS)
     return rounded(pct_change_table(means, base, "entity", "y", YEARS))
 
@@ -304,7 +307,7 @@ def entity_pct_change(spark, sf):
 SELECT classification, round(avg(y), 6) AS baseline, round(avg(exp(y)), 2) AS exp_baseline
 FROM frame JOIN cg ON entity = customer WHERE period BETWEEN 1998 AND 2000 GROUP BY 1""")
 def class_baseline(spark, sf):
-    rows = customer_panel(spark, sf).join(customer_groups(spark, sf), "entity")
+    rows = customer_index(spark, sf, (1998, 2000)).join(customer_groups(spark, sf), "entity")
     table = baseline_by_group(
         rows, "classification", "y", period="period", years=(1998, 2000), collapse=True, drop_null_group=True
     )
@@ -328,8 +331,8 @@ SELECT region, scenario, period, round(avg(y + ba * da + bb * db), 5) AS fit,
 FROM j WHERE region IS NOT NULL GROUP BY 1, 2, 3""")
 def fitted_bands(spark, sf):
     """Fit with entity effects, take its limits as coefficient sets, re-anchor, project, summarise."""
-    panel = customer_panel(spark, sf).persist()
-    coefs = coef_sets(fit_within(panel, "y", ["a", "b"], "entity"))
-    proj = projection(spark, sf, coefs, panel).join(customer_groups(spark, sf), "entity", "left")
+    cells = customer_cells(spark, sf)
+    coefs = coef_sets(fit_within(panel_of(cells), "y", ["a", "b"], "entity"))
+    proj = projection(spark, sf, coefs, cells).join(customer_groups(spark, sf), "entity", "left")
     summary = scenario_summary(proj, "region", period="period", collapse=True)
     return rounded(band_table(summary, "region", period="period"), 5)

@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.operators.sizing import kept
 from panelyard.functions.numeric import log1p_of, log1p_square, log_of, log_square, to_double
 from panelyard.operators.baseline import baseline_average, baseline_by_group, group_bounds, lag_rows
 from panelyard.operators.columns import (
@@ -208,8 +209,8 @@ def ratio_study(t: Tables, coefs=S.RATIO_COEFS, anchor: int = 2008) -> dict[str,
     Projection uses the published coefficients on log(gdppc), log(urbanization) and
     log1p(education), as in the study; the model is fitted on the squared terms.
     """
-    panel = ratio_panel(production(t["production"], t["aliases"]), employment(t["employment"], t["aliases"])).persist()
-    master = ratio_master(panel, t).persist()
+    panel = kept(ratio_panel(production(t["production"], t["aliases"]), employment(t["employment"], t["aliases"])))
+    master = kept(ratio_master(panel, t))
     xs = ["log_gdppc", "log_urbanization2", "log1p_education2"]
     fixed = fit_within(master, "index_log", xs, "countrycode")
     random = fit_random(master, "index_log", xs, "countrycode", fixed.moments)
@@ -221,7 +222,7 @@ def ratio_study(t: Tables, coefs=S.RATIO_COEFS, anchor: int = 2008) -> dict[str,
 
     anchors = anchor_intercepts(master, "countrycode", "year", "index_log", terms(), coefs, anchor)
     drivers = scenario_drivers(t["scenarios"], ["education", "gdppc", "urbanization"], S.RATIO_NOT_PROJECTED)
-    proj = project(drivers, anchors, "countrycode", terms(), coefs).persist()
+    proj = kept(project(drivers, anchors, "countrycode", terms(), coefs))
 
     out = {"index": panel, "master": master, "projection": proj, "intercepts": anchors}
     out["baseline_map"] = baseline_average(
@@ -256,8 +257,8 @@ def level_study(
     t: Tables, slope: float = S.LEVEL_SLOPE, std_error: float = S.LEVEL_STD_ERROR, anchor: int = 2005
 ) -> dict[str, DataFrame]:
     """The level index: group-mean regression on log(gdppc), per-entity tests, projection and tables."""
-    panel = level_panel(t["machinery_wide"]).persist()
-    master = level_master(panel, t).persist()
+    panel = kept(level_panel(t["machinery_wide"]))
+    master = kept(level_master(panel, t))
     fit = fit_between(master, "index_log", ["log_gdppc"], "countrycode")
     low, high = normal_interval(slope, std_error)
     coefs = {"fit": {"gdppc": slope}, "low": {"gdppc": low}, "high": {"gdppc": high}}
@@ -266,7 +267,7 @@ def level_study(
         return {"gdppc": log_of("gdppc")}
 
     anchors = anchor_intercepts(master, "countrycode", "year", "index_log", terms(), coefs, anchor)
-    proj = project(scenario_drivers(t["scenarios"], ["gdppc"]), anchors, "countrycode", terms(), coefs).persist()
+    proj = kept(project(scenario_drivers(t["scenarios"], ["gdppc"]), anchors, "countrycode", terms(), coefs))
 
     out = {"index": panel, "master": master, "projection": proj, "intercepts": anchors}
     out["baseline_map"] = baseline_average(

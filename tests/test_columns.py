@@ -85,10 +85,10 @@ def test_small_helpers(spark):
 
 
 def test_pretty_edges():
-    assert pretty_edges(0, 10, 5) == [0, 2, 4, 6, 8, 10]
-    assert pretty_edges(1.3, 8.9, 20)[0] == 1.0
+    assert pretty_edges(0, 10, 5) == ([0, 2, 4, 6, 8, 10], 2)
+    assert pretty_edges(1.3, 8.9, 20)[0][0] == 1.0
     for lo, hi, n in ((-3.2, 17.8, 20), (0.001, 0.0199, 7), (5, 5, 4), (-1e6, 1e6, 13)):
-        edges = pretty_edges(lo, hi, n)
+        edges, _ = pretty_edges(lo, hi, n)
         assert edges[0] <= lo and edges[-1] >= hi
         assert len(edges) <= 2.5 * n + 2
     assert sturges_bins(1000) == 11

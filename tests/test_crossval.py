@@ -132,3 +132,33 @@ def test_report(spark):
         "fold int, status string, rmse_train double, rmse_test double",
     )
     assert rows(cv_report(errors)) == [(2, 1.5, 3.0, "train_better")]
+
+
+def test_errors_of_terms_on_a_large_level(spark):
+    """Slopes fit a response of the size of its noise; levels of 1e8 must not swallow it."""
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(40):
+        for t in range(1990, 2003):
+            x = 1e8 + 1e7 * rng.normal()
+            data.append((f"e{i}", t, float(0.5 * x + 0.01 * rng.normal()), float(x)))
+    df = spark.createDataFrame(data, "entity string, year int, y double, a double")
+    got = {r["fold"]: r for r in cv_rmse(df, "y", ["a"], "entity", "year").collect()}
+    for f, (_, _, b, e_train, e_test) in expected(data, contiguous(data), within_slopes, cols=1).items():
+        assert got[f]["b_a"] == pytest.approx(b[0], rel=1e-12)
+        assert got[f]["rmse_train"] == pytest.approx(e_train, rel=1e-3) and 0.005 < e_train < 0.02
+        assert got[f]["rmse_test"] == pytest.approx(e_test, rel=1e-3)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e8])
+def test_slopes_when_left_out_rows_are_on_a_larger_scale(spark, scale):
+    rng = np.random.default_rng(6)
+    data = []
+    for i in range(40):
+        for t in range(1990, 2003):
+            x = rng.normal() * (scale if t < 1995 else 1.0)
+            data.append((f"e{i}", t, float(0.45 * x + rng.normal() * 0.1), float(x)))
+    df = spark.createDataFrame(data, "entity string, year int, y double, a double")
+    got = {r["fold"]: r for r in cv_rmse(df, "y", ["a"], "entity", "year").collect()}
+    want = within_slopes([r for r in data if r[1] > 1994])
+    assert got[1]["status"] == "ok" and got[1]["b_a"] == pytest.approx(want[0], rel=1e-9)

@@ -253,3 +253,12 @@ def test_tails_against_closed_forms():
         assert float(f_tail(x * x, 1, 7)) == pytest.approx(float(t_tail(x, 7)))
     assert math.isnan(float(chi2_tail(float("nan"), 2)))
     assert float(normal_tail(1.959963984540054)) == pytest.approx(0.05)
+
+
+def test_random_effects_have_a_wald_statistic(spark):
+    rng = np.random.default_rng(3)
+    data = [(f"e{i}", float(1 + 0.5 * x + a + rng.normal() * 0.3), float(x)) for i in range(30) for a in [rng.normal()] for x in rng.normal(size=6)]
+    fit = fit_random(spark.createDataFrame(data, "entity string, y double, x double"), "y", ["x"], "entity")
+    row = fit.statistics().first()
+    z = fit.slopes[0] / np.sqrt(fit.slope_cov[0, 0])
+    assert row["chi2_statistic"] == pytest.approx(z * z) and row["chi2_p_value"] == pytest.approx(float(normal_tail(z)), rel=1e-9)

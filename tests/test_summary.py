@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -148,3 +149,30 @@ def test_normal_density(spark):
     )
     peak = density_column(df.union(frame(spark, [None])), "v").agg(F.max("density"), F.count("density")).first()
     assert peak[1] == 5 and peak[0] <= 1 / (s * np.sqrt(2 * np.pi))
+
+
+@pytest.mark.parametrize("values,bins", [
+    ([-40.6, -39.2, -37.8, -37.8], 20), ([0.1 * i for i in range(11)], 10), ([0.0, 0.0], 5), ([1e-3, 3e-3, 7e-3, 0.02], None),
+])
+def test_histogram_keeps_every_value(spark, values, bins):
+    table = histogram_table(spark.createDataFrame([(v,) for v in values], "v double"), "v", bins).collect()
+    assert sum(r["count"] for r in table) == len(values)
+
+
+def test_histogram_bins_are_closed_on_the_right(spark):
+    rng = random.Random(8)
+    for _ in range(12):
+        digits = rng.randint(1, 3)
+        values = [round(rng.uniform(-50, 50), digits) for _ in range(60)]
+        table = histogram_table(spark.createDataFrame([(v,) for v in values], "v double"), "v", 20).collect()
+        upper, step = [r["upper"] for r in table], table[0]["upper"] - table[0]["lower"]
+        want = [0] * len(table)
+        for v in values:
+            want[min(len(table) - 1, sum(u + 1e-7 * step < v for u in upper))] += 1
+        assert [r["count"] for r in sorted(table, key=lambda r: r["bin"])] == want
+
+
+def test_bh_leaves_out_nan_and_null(spark):
+    df = spark.createDataFrame([(0.01,), (0.02,), (float("nan"),), (None,), (None,)], "p double")
+    got = [r["p_adjusted"] for r in bh_adjust(df, "p").collect()]
+    assert sorted(x for x in got if x is not None) == pytest.approx([0.02, 0.02]) and got.count(None) == 3
