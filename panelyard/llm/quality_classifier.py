@@ -33,7 +33,7 @@ CELLS = 1024
 ORDERS = (1, 2, 3, 4)
 RATIOS = 8
 SIZE = CELLS + RATIOS
-ROWS = 6000              # sampled rows of each kind: the bound of the fit
+ROWS = 3000              # sampled rows of each kind: the bound of the fit
 STEPS = 600
 BATCH = 512
 RATE = 0.02
@@ -125,15 +125,16 @@ def feature_kernel():
     return run
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 11) -> np.ndarray:
-    """Weights (last: bias) by Adam on the non-negative risk; with ``prior`` None, plain
-    logistic regression of positives against unlabelled rows, each kind weighing half."""
+def fit_pu(rows: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int = 11) -> np.ndarray:
+    """Weights (last: bias) by Adam on the non-negative risk of the rows numbered ``positive``
+    and ``unlabelled``; with ``prior`` None, plain logistic regression of the one kind against
+    the other, each weighing half."""
     draw = np.random.default_rng(seed)
-    w = np.zeros(positive.shape[1])
+    w = np.zeros(rows.shape[1])
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        p = positive[draw.integers(0, len(positive), min(BATCH, len(positive)))]
-        u = unlabelled[draw.integers(0, len(unlabelled), min(BATCH, len(unlabelled)))]
+        p = rows[positive[draw.integers(0, len(positive), min(BATCH, len(positive)))]].astype(np.float64)
+        u = rows[unlabelled[draw.integers(0, len(unlabelled), min(BATCH, len(unlabelled)))]].astype(np.float64)
         sp, su = sigmoid(p @ w), sigmoid(u @ w)
         as_positive = p.T @ (sp - 1) / len(p)     # gradient of E_p[l(g)]
         as_negative = p.T @ sp / len(p)           # of E_p[l(-g)]
@@ -211,7 +212,7 @@ def fit_quality(learnable: DataFrame, positives: DataFrame, key: str = "doc_id",
     made = sampled.select("positive", F.pmod(F.xxhash64("key") / 1024, F.lit(4)).cast("int").alias("fold"),
                           F.xxhash64("key", "text").alias("place"), arrow_column(feature_kernel, "x binary", "text")["x"].alias("x"))
     got = made.limit(4 * rows).toArrow().sort_by("place").to_pydict()
-    x = np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(-1, SIZE).astype(np.float64)
+    x = np.frombuffer(b"".join(got.pop("x")), dtype=np.float32).reshape(-1, SIZE)
     positive, fold = np.array(got["positive"], dtype=bool), np.array(got["fold"])
 
     sums = vector_sum(docs, moment_kernel, "text", 2 * SIZE + 1)
@@ -219,16 +220,21 @@ def fit_quality(learnable: DataFrame, positives: DataFrame, key: str = "doc_id",
     mean = sums[:SIZE] / n
     deviation = np.sqrt(np.maximum(0.0, sums[SIZE:2 * SIZE] / n - mean * mean))
     scale = np.where(deviation > 1e-6, 1.0 / np.maximum(deviation, 1e-6), 0.0)
-    z = np.c_[np.clip((x - mean) * scale, -8, 8) / np.sqrt(SIZE) * 4, np.ones(len(x))]
+    z = np.ones((len(x), SIZE + 1), dtype=np.float32)   # one copy, in single precision
+    np.subtract(x, mean, out=z[:, :SIZE], casting="same_kind")
+    z[:, :SIZE] *= scale
+    np.clip(z[:, :SIZE], -8, 8, out=z[:, :SIZE])
+    z[:, :SIZE] *= 4 / np.sqrt(SIZE)
     train = fold != 0
-    parts = [z[positive & train], z[~positive & train], z[positive & ~train], z[~positive & ~train]]
+    parts = [np.flatnonzero(kind & side) for side in (train, ~train) for kind in (positive, ~positive)]
     if min(len(part) for part in parts) < 5:
-        parts = [z[positive], z[~positive], z[positive], z[~positive]]
+        parts = 2 * [np.flatnonzero(positive), np.flatnonzero(~positive)]
     if min(len(part) for part in parts) == 0:
         return QualityModel(np.zeros(SIZE + 1), 0.5)
-    first = fit_pu(parts[0], parts[1], None)
-    prior = estimate_prior(parts[2] @ first, parts[3] @ first)
-    w = fit_pu(z[positive], z[~positive], prior)
+    first = fit_pu(z, parts[0], parts[1], None)
+    score = z @ first
+    prior = estimate_prior(score[parts[2]], score[parts[3]])
+    w = fit_pu(z, np.flatnonzero(positive), np.flatnonzero(~positive), prior)
     raw = w[:-1] * scale * 4 / np.sqrt(SIZE)
     return QualityModel(np.r_[raw, w[-1] - raw @ mean], prior)
 

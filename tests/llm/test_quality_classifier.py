@@ -39,10 +39,11 @@ def samples(prior, n=4000, seed=0):
 
 def test_prior_and_risk():
     positive, unlabelled, truth = samples(0.6)
-    first = fit_pu(positive, unlabelled, None)
+    rows, p, u = np.r_[positive, unlabelled], np.arange(len(positive)), np.arange(len(positive), 2 * len(positive))
+    first = fit_pu(rows, p, u, None)
     prior = estimate_prior(positive @ first, unlabelled @ first)
     assert abs(prior - 0.6) < 0.08
-    w = fit_pu(positive, unlabelled, prior)
+    w = fit_pu(rows, p, u, prior)
     assert np.mean((sigmoid(unlabelled @ w) >= 0.5) == truth) > 0.95
 
 
