@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.numeric import clean
-from panelyard.operators.ranks import block_of, quantile_splits
+from panelyard.operators.ranks import typed_block, typed_splits
 from panelyard.operators.sizing import attach_stats, null_safe_join
 
 WINDOW_ROWS = 5_000_000   # rows of one entity a single sorted task may hold
@@ -103,32 +103,31 @@ def lag_rows(
 ) -> DataFrame:
     """The value ``n`` rows earlier within the entity, in period order (rows, not periods).
 
-    (entity, period) should identify a row. While no entity outgrows one task this is a
-    plain window. Otherwise each row gets its position from blocks of periods, and the
-    lag becomes an equi-join on (entity, position), which no entity can skew.
+    Periods of any orderable type; NULL periods come last. Rows of one (entity, period) are
+    ordered by the value and then by their other columns. Blocks of periods, as many as the
+    largest entity needs, bound what is sorted together: inside a block this is a plain lag, and
+    only a block's first ``n`` rows look up their values, among the last ``n`` of other blocks.
     """
     out = out or f"{col}_lag"
     if n < 0:
         raise ValueError("n must not be negative")
-    sizes = df.groupBy(entity).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
-    if (sizes[0] or 0) <= window_rows:
-        order = Window.partitionBy(entity).orderBy(F.col(period).asc_nulls_last())
-        return df.withColumn(out, F.lag(col, n).over(order))
+    largest = df.groupBy(entity).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    splits = typed_splits(df, period, math.ceil(largest / window_rows))
+    order = [F.col(period).asc_nulls_last(), F.col(col), F.xxhash64(*df.columns)]
+    if not splits:
+        return df.withColumn(out, F.lag(col, n).over(Window.partitionBy(entity).orderBy(*order)))
 
-    splits = quantile_splits(df, period, math.ceil(sizes[1] / window_rows), sizes[1])
-    blocked = df.withColumn("_block", block_of(period, splits))
+    blocked = df.withColumn("_block", typed_block(period, splits))
     before = Window.partitionBy(entity).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(entity, "_block")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+    sizes = blocked.groupBy(entity, "_block").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = Window.partitionBy(entity, "_block").orderBy(*order)
+    placed = null_safe_join(blocked, sizes, [entity, "_block"]).withColumns(
+        {"_rn": F.row_number().over(inside), out: F.lag(col, n).over(inside)}
     )
-    inside = Window.partitionBy(entity, "_block").orderBy(F.col(period).asc_nulls_last())
-    placed = (
-        null_safe_join(blocked, offsets, [entity, "_block"])
-        .withColumn("_pos", F.col("_offset") + F.row_number().over(inside))
-        .drop("_offset", "_block")
-    )
-    earlier = placed.select(entity, (F.col("_pos") + n).alias("_pos"), F.col(col).alias(out))
-    return null_safe_join(placed, earlier, [entity, "_pos"]).drop("_pos")
+    position = F.col("_offset") + F.col("_rn")
+    first = placed.filter(F.col("_rn") <= n).drop(out).withColumn("_pos", position - n)
+    last = placed.filter(F.col("_rn") > F.col("_n") - n).select(entity, position.alias("_pos"), F.col(col).alias(out))
+    looked_up = null_safe_join(first, last, [entity, "_pos"]).drop("_pos")
+    rest = placed.filter(F.col("_rn") > n)
+    return rest.unionByName(looked_up.select(*rest.columns)).drop("_block", "_n", "_offset", "_rn")

@@ -17,7 +17,6 @@ from panelyard.operators.sizing import kept, null_safe_join
 
 BLOCK_ROWS = 200_000
 SAMPLE_ROWS = 100_000   # rows looked at to place split points; results never depend on them
-MAX_BLOCKS = 10_000     # beyond it blocks grow instead
 
 
 def thinned(df: DataFrame, rows: int, keep: int = 0) -> DataFrame:
@@ -28,7 +27,6 @@ def thinned(df: DataFrame, rows: int, keep: int = 0) -> DataFrame:
 
 def quantile_splits(df: DataFrame, col: str, blocks: int, rows: int) -> list[float]:
     """At most ``blocks - 1`` distinct cut points with about equal row counts between them."""
-    blocks = min(blocks, MAX_BLOCKS)
     if blocks <= 1:
         return []
     points = [i / blocks for i in range(1, blocks)]
@@ -52,6 +50,26 @@ def block_of(col: str, splits: Sequence[float]) -> Column:
     return F.when(F.col(col).isNull(), len(splits) + 1).otherwise(below)
 
 
+def typed_splits(df: DataFrame, col: str, blocks: int) -> list:
+    """At most ``blocks - 1`` distinct cut points of a column of any orderable type, taken from a
+    sample; results never depend on where they lie."""
+    if blocks <= 1:
+        return []
+    known = df.select(F.col(col).alias("v")).filter("v IS NOT NULL")
+    wanted = max(SAMPLE_ROWS // 10, 20 * blocks)
+    values = [r["v"] for r in thinned(known, known.count(), wanted).limit(4 * wanted).collect()]
+    values.sort()
+    return sorted({values[i * len(values) // blocks] for i in range(1, blocks)}) if values else []
+
+
+def typed_block(col: str, splits: Sequence) -> Column:
+    """Number of cut points below a value, of the column's own type; NULL goes last."""
+    below = sum((F.when(F.col(col) > F.lit(s), 1).otherwise(0) for s in splits), F.lit(0)) if len(splits) <= 16 else F.size(
+        F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < F.col(col))
+    )
+    return F.when(F.col(col).isNull(), len(splits) + 1).otherwise(below)
+
+
 def cumulative_counts(
     df: DataFrame,
     value: str,

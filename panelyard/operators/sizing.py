@@ -4,25 +4,39 @@ A grouped aggregate is small when there are few groups and huge when there are m
 and the planner cannot tell which before it has run. ``measured`` runs it once, keeps
 the (already reduced) result, and so gives the planner its true size: a small one is
 then broadcast by Spark's own threshold, and the rows it is joined to are not shuffled.
-A large one is joined by shuffle, with the keys that hold too many rows salted.
+A large one is joined by shuffle, and a key with more rows than one task should hold is
+spread over as many salts as it has such shares.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000   # up to here the planner's size threshold decides alone
-HOT_PART = 1000        # a key is hot above 1/1000 of all rows: never more than 1000 hot keys
-SALTS = 64             # tasks a hot key is spread over
+from panelyard.session import size_in_bytes, table_bytes
+
+ROWS_PER_TASK = 1_000_000   # a key with more rows is hot and gets a salt for each such share
+HOT_KEYS = 100_000          # up to so many hot keys their list is broadcast
 
 
 _KEPT: list[DataFrame] = []
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Give back, at its end, the tables kept inside: for results that are computed there."""
+    start = len(_KEPT)
+    try:
+        yield
+    finally:
+        while len(_KEPT) > start:
+            _KEPT.pop().unpersist()
+
+
 def kept(table: DataFrame) -> DataFrame:
     """Keep a reduced table in executor memory or disk until ``release``."""
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
@@ -51,35 +65,42 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether the planner will broadcast a kept table, by its measured size."""
+    limit = table.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return table_bytes(table) <= size_in_bytes(limit)
+
+
 def attach_stats(
     rows: DataFrame,
     stats: DataFrame,
     keys: Sequence[str],
     weight: str | None = None,
-    small_rows: int = SMALL_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
+    small: bool | None = None,
 ) -> DataFrame:
     """Left-join one-row-per-group ``stats`` to ``rows``.
 
     ``weight`` names the column of ``stats`` with each group's number of rows. It is what
-    finds the hot keys when ``stats`` is large: their number is bounded by HOT_PART
-    whatever the data, so the list of them can be broadcast.
+    finds the hot keys when ``stats`` is too large to be broadcast (``small`` overrides the
+    measurement): there are never more than rows / ``rows_per_task`` of them, and their list is
+    broadcast only if it is short.
     """
     keys = list(keys)
     out = [c for c in stats.columns if c not in keys]
     rows = rows.drop(*out)
-    stats, n = measured(stats)
-    if n <= small_rows or weight is None:
+    stats, _ = measured(stats)
+    if weight is None or (fits_broadcast(stats) if small is None else small):
         return null_safe_join(rows, stats, keys)
 
-    total = stats.agg(F.sum(weight)).first()[0]
-    is_hot = F.col(weight) > total / HOT_PART
-    hot = stats.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
-    spread = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(SALTS)).cast("int")
-    salted_rows = null_safe_join(rows, F.broadcast(hot), keys).withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)
-    )
+    shares = F.ceil(F.col(weight) / F.lit(rows_per_task)).cast("int")
+    hot, n_hot = measured(stats.filter(F.col(weight) > rows_per_task).select(*keys, shares.alias("_shares")))
+    if not n_hot:
+        return null_safe_join(rows, stats, keys)
+    marked = null_safe_join(rows, F.broadcast(hot) if n_hot <= HOT_KEYS else hot, keys)
+    spread = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.col("_shares")).cast("int")
+    salted_rows = marked.withColumn("_salt", F.coalesce(spread, F.lit(0)))
     salted_stats = stats.withColumn(
-        "_salt",
-        F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
+        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > rows_per_task, shares - 1).otherwise(0)))
     )
-    return null_safe_join(salted_rows, salted_stats, [*keys, "_salt"]).drop("_hot", "_salt")
+    return null_safe_join(salted_rows, salted_stats, [*keys, "_salt"]).drop("_shares", "_salt")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.operators.sizing import kept
+from panelyard.session import fit_shuffles
 from panelyard.functions.numeric import log1p_of, log1p_square, log_of, log_square, to_double
 from panelyard.operators.baseline import baseline_average, baseline_by_group, group_bounds, lag_rows
 from panelyard.operators.columns import (
@@ -209,6 +210,7 @@ def ratio_study(t: Tables, coefs=S.RATIO_COEFS, anchor: int = 2008) -> dict[str,
     Projection uses the published coefficients on log(gdppc), log(urbanization) and
     log1p(education), as in the study; the model is fitted on the squared terms.
     """
+    t = {name: fit_shuffles(table) for name, table in t.items()}
     panel = kept(ratio_panel(production(t["production"], t["aliases"]), employment(t["employment"], t["aliases"])))
     master = kept(ratio_master(panel, t))
     xs = ["log_gdppc", "log_urbanization2", "log1p_education2"]
@@ -257,6 +259,7 @@ def level_study(
     t: Tables, slope: float = S.LEVEL_SLOPE, std_error: float = S.LEVEL_STD_ERROR, anchor: int = 2005
 ) -> dict[str, DataFrame]:
     """The level index: group-mean regression on log(gdppc), per-entity tests, projection and tables."""
+    t = {name: fit_shuffles(table) for name, table in t.items()}
     panel = kept(level_panel(t["machinery_wide"]))
     master = kept(level_master(panel, t))
     fit = fit_between(master, "index_log", ["log_gdppc"], "countrycode")

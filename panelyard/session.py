@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +25,45 @@ def tune(spark: SparkSession) -> SparkSession:
     """Put the run-time settings on an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    base = spark.conf.get(_BASE, None)
+    if base is not None:   # a query before raised it for its own tables
+        spark.conf.set(_PARTITIONS, base)
+        spark.conf.unset(_BASE)
     return spark
 
 
 SHUFFLE_SHARE = 512 * 1024**2   # bytes of input files per shuffle partition
-MAX_PARTITIONS = 100_000
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_BASE = "panelyard.shuffle.partitions.base"   # the session's own setting while another is in force
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The planner's size of a table: measured for files and kept tables. Where a session
+    gives no access to its planner, an estimate from rows and columns."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001  (a remote session)
+        return df.count() * 32 * len(df.columns)
+
+
+def size_in_bytes(text: str) -> int:
+    """A setting such as 10485760, 10485760b or 10m as a number; negative means none."""
+    units = {"b": 1, "k": 1024, "m": 1024**2, "g": 1024**3, "t": 1024**4}
+    found = re.fullmatch(r"(-?\d+)\s*([bkmgt]?)b?", text.strip().lower())
+    return int(found[1]) * units[found[2] or "b"]
 
 
 def fit_shuffles(df: DataFrame) -> DataFrame:
     """Raise the number of shuffle partitions to the size of a source table, so that no
     partition outgrows an executor; adaptive execution merges those that turn out small.
-    The setting is never lowered."""
+    ``tune``, called before a query, puts the session's own setting back."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(MAX_PARTITIONS, math.ceil(size / SHUFFLE_SHARE))
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    wanted = math.ceil(table_bytes(df) / SHUFFLE_SHARE)
+    now = spark.conf.get(_PARTITIONS)
+    if wanted > int(now):
+        if spark.conf.get(_BASE, None) is None:
+            spark.conf.set(_BASE, now)
+        spark.conf.set(_PARTITIONS, str(wanted))
     return df
 
 

@@ -22,6 +22,8 @@ PANEL = [
 def panel(spark):
     return spark.createDataFrame(PANEL, "code string, year int, v double")
 
+from panelyard.session import size_in_bytes
+
 
 def test_baseline_average(panel):
     out = baseline_average(panel, "code", "year", {"v": "average"}, (2000, 2010), 2005)
@@ -70,11 +72,30 @@ def test_lag_of_a_hot_entity_equals_the_window(spark, n):
 
 
 def test_salted_join_gives_the_same_rows(spark, monkeypatch):
-    monkeypatch.setattr(sizing, "HOT_PART", 4)
+    monkeypatch.setattr(sizing, "HOT_KEYS", 1)
     data = [("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(60)] + [(None, 1)] * 40
     df = spark.createDataFrame(data, "k string, v int")
     stats = df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
-    salted = attach_stats(df, stats, ["k"], weight="n", small_rows=0)
+    salted = attach_stats(df, stats, ["k"], weight="n", rows_per_task=20, small=False)
     plain = attach_stats(df, stats, ["k"], weight="n")
     assert rows(salted.select("k", "v", "n", "total")) == rows(plain.select("k", "v", "n", "total"))
     assert salted.count() == len(data)
+
+
+@pytest.mark.parametrize("kind", ["int", "date", "timestamp", "string"])
+def test_lag_of_any_period_type_at_any_block_size(spark, kind):
+    data = [("a", i % 50, float(i)) for i in range(90)] + [("b", i, float(-i)) for i in range(7)] + [("a", None, 5.0), (None, 3, 1.0), (None, 4, 2.0)]
+    df = spark.createDataFrame(data, "code string, step int, v double")
+    period = {
+        "int": F.col("step"), "date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("step")),
+        "timestamp": F.timestamp_seconds(F.col("step") * 1000), "string": F.lpad(F.col("step").cast("string"), 4, "0"),
+    }[kind]
+    df = df.withColumn("t", period)
+    for n in (0, 1, 3):
+        want = rows(lag_rows(df, "code", "t", "v", n))
+        for window_rows in (5, 13):
+            assert rows(lag_rows(df, "code", "t", "v", n, window_rows=window_rows)) == want
+
+
+def test_size_settings():
+    assert [size_in_bytes(x) for x in ("10485760b", "10m", "256k", "-1", "1g")] == [10485760, 10485760, 262144, -1, 1 << 30]
