@@ -10,7 +10,7 @@ from panelyard.operators.baseline import (
     baseline_average, baseline_by_group, entity_snapshot, group_bounds, lag_rows,
 )
 from panelyard.operators.columns import (
-    add_terms, build_level_index, build_ratio_index, minmax, rescale, scatter_table, tag,
+    add_terms, build_level_index, build_ratio_index, columns_between, lower_names, minmax, rescale, scatter_table, tag,
 )
 from panelyard.operators.filters import (
     complete_cases, exclude, exclude_listed, exclude_where, keep_groups_with_data, period_between, period_grid,
@@ -139,9 +139,10 @@ SELECT keys.entity, year, round(num, 2) AS value
 FROM keys LEFT JOIN cy ON cy.entity = keys.entity AND period = year""")
 def melt_year_columns(spark, sf):
     wide = customer_year(spark, sf).groupBy("entity").agg(
-        *[F.sum(F.when(F.col("period") == y, F.col("num"))).alias(f"x{y}") for y in YEARS]
+        *[F.sum(F.when(F.col("period") == y, F.col("num"))).alias(f"X{y}") for y in YEARS]
     )
-    long = melt_years(wide, ["entity"], [f"x{y}" for y in YEARS], "value")
+    wide = lower_names(wide)
+    long = melt_years(wide, ["entity"], columns_between(wide, f"x{YEARS[0]}", f"x{YEARS[-1]}"), "value")
     return long.select("entity", "year", F.round("value", 2).alias("value"))
 
 

@@ -33,6 +33,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 SHUFFLE_SHARE = 512 * 1024**2   # bytes of input files per shuffle partition
+UNKNOWN = 1 << 60               # the planner's size of a table it knows nothing about is larger
 _PARTITIONS = "spark.sql.shuffle.partitions"
 _BASE = "panelyard.shuffle.partitions.base"   # the session's own setting while another is in force
 
@@ -58,7 +59,10 @@ def fit_shuffles(df: DataFrame) -> DataFrame:
     partition outgrows an executor; adaptive execution merges those that turn out small.
     ``tune``, called before a query, puts the session's own setting back."""
     spark = df.sparkSession
-    wanted = math.ceil(table_bytes(df) / SHUFFLE_SHARE)
+    size = table_bytes(df)
+    if size >= UNKNOWN:
+        return df
+    wanted = math.ceil(size / SHUFFLE_SHARE)
     now = spark.conf.get(_PARTITIONS)
     if wanted > int(now):
         if spark.conf.get(_BASE, None) is None:

@@ -1,4 +1,9 @@
-from panelyard.sources.readers import literal_table, read_csv_skip, read_dim, read_table
+from panelyard.sources.readers import (
+    drop_repeated_headers, literal_table, parse_lines, read_csv_skip, read_dim, read_table, skip_preamble,
+)
 from panelyard.sources.sinks import write_table
 
-__all__ = ["literal_table", "read_csv_skip", "read_dim", "read_table", "write_table"]
+__all__ = [
+    "drop_repeated_headers", "literal_table", "parse_lines", "read_csv_skip", "read_dim", "read_table", "skip_preamble",
+    "write_table",
+]

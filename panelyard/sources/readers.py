@@ -8,20 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from panelyard.operators.sizing import measured
+
 ISO3 = "^[A-Z]{3}$"
+FILES = 50_000   # up to so many files their first lines' places are broadcast
 
 
 def read_table(
     spark: SparkSession, path: str, schema: StructType | str, fmt: str | None = None
 ) -> DataFrame:
-    """A tidy table as CSV (with a header line) or Parquet; the format comes from the path unless given."""
+    """A tidy table as CSV (with a header line) or Parquet; the format comes from the path unless
+    given. A CSV header that does not name the schema's columns in their order is an error."""
     fmt = fmt or ("parquet" if path.rstrip("/").endswith((".parquet", ".pq")) else "csv")
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.csv(path, header=True)
+        return reader.option("enforceSchema", "false").csv(path, header=True)
     return reader.format(fmt).load(path)
 
 
+def drop_repeated_headers(df: DataFrame, code: str, pattern: str = ISO3) -> DataFrame:
+    """Rows whose code matches the pattern; a header line in the middle does not."""
+    return df.filter(F.col(code).rlike(pattern))
+
+
+def skip_preamble(lines: DataFrame, skip: int, position: str = "position") -> DataFrame:
+    """Lines behind ``skip`` preamble lines and one header line; ``position`` counts a file's
+    lines from 0. Blank lines go."""
+    return lines.filter((F.col(position) > skip) & (F.length(F.trim("value")) > 0))
+
+
+def parse_lines(lines: DataFrame, schema: StructType | str) -> DataFrame:
+    """CSV text in ``value`` as columns."""
+    ddl = schema if isinstance(schema, str) else schema.simpleString()[len("struct<"):-1]
+    return lines.select(F.from_csv("value", ddl).alias("_row")).select("_row.*")
+
+
 def read_dim(
     spark: SparkSession,
     path: str,
@@ -30,7 +51,7 @@ def read_dim(
     pattern: str = ISO3,
 ) -> DataFrame:
     """A CSV lookup. Rows whose code does not match ``pattern`` (repeated header lines) are dropped."""
-    return spark.read.schema(schema).csv(path, header=True).filter(F.col(code).rlike(pattern))
+    return drop_repeated_headers(read_table(spark, path, schema, "csv"), code, pattern)
 
 
 def read_csv_skip(
@@ -40,8 +61,8 @@ def read_csv_skip(
 
     The text scan hands out ascending row ids inside a file split, so the first id of
     the split at offset 0 gives each line's position; this works for a folder of files
-    and without an RDD. The preamble must fit in the first split. Records spanning
-    several lines are not supported.
+    and without an RDD. A preamble that does not fit in the first split is an error.
+    Records spanning several lines are not supported.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -49,20 +70,19 @@ def read_csv_skip(
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    heads = (
+    heads, n = measured(
         lines.filter("_start = 0")
         .groupBy(F.col("_file").alias("_head_file"))
-        .agg(F.min("_id").alias("_first"))
-    )
-    body = lines.join(heads, F.col("_file") == F.col("_head_file"), "left").filter(
-        "_start > 0 OR _id - _first > %d" % skip
-    )
-    ddl = schema if isinstance(schema, str) else schema.simpleString()[len("struct<"):-1]
-    return (
-        body.filter(F.length(F.trim("value")) > 0)
-        .select(F.from_csv("value", ddl).alias("_row"))
-        .select("_row.*")
+        .agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
     )
+    short = heads.filter(F.col("_lines") <= skip).limit(1).collect()
+    if short:
+        raise ValueError(f"{short[0]['_head_file']}: its first split ends within {skip} preamble lines and a header")
+    # One row per file: broadcast while that is little, whatever the files' sizes.
+    found = F.broadcast(heads) if n <= FILES else heads
+    placed = lines.join(found, F.col("_file") == F.col("_head_file"), "left")
+    position = F.when(F.col("_start") > 0, F.lit(skip + 1)).otherwise(F.col("_id") - F.col("_first"))
+    return parse_lines(skip_preamble(placed.withColumn("position", position), skip), schema)
 
 
 def literal_table(

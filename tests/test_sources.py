@@ -1,3 +1,5 @@
+import pytest
+
 from conftest import rows
 from panelyard.sources import literal_table, read_csv_skip, read_dim, read_table, write_table
 
@@ -36,3 +38,17 @@ def test_format_follows_the_path(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     write_table(df, path)
     assert rows(read_table(spark, path, df.schema)) == [("A", 1.0)]
+
+
+def test_a_header_in_another_order_is_an_error(spark, tmp_path):
+    f = tmp_path / "regions.csv"
+    f.write_text("region,countrycode\nEurope,ALB\n")
+    for read in (read_dim, lambda s, p, schema: read_table(s, p, schema, "csv")):
+        with pytest.raises(Exception, match="(?i)header"):
+            read(spark, str(f), "countrycode string, region string").collect()
+
+
+def test_a_preamble_longer_than_the_file_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("one\ntwo\n")
+    with pytest.raises(ValueError, match="preamble"):
+        read_csv_skip(spark, str(tmp_path), 4, "a string")
