@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelyard.operators.sizing import kept, null_safe_join
 
 BLOCK_ROWS = 200_000
+ACCURACY = 2000         # of approximate quantiles that bracket the exact ones
 SAMPLE_ROWS = 100_000   # rows looked at to place split points; results never depend on them
 
 
@@ -104,6 +105,12 @@ def cumulative_counts(
     return shifted.drop("_offset"), total, len(splits) + 1
 
 
+def bracket_shares(points: Sequence[float], margin: float = 2 / ACCURACY) -> list[float]:
+    """Shares just below and above each point. The margin covers the error of percentile_approx
+    at ACCURACY over all rows."""
+    return [p + d for p in points for d in (-margin, margin)]
+
+
 def _brackets(shares: Sequence[float], edges: Sequence[float] | None) -> list[tuple[float, float]]:
     """Sorted disjoint closed intervals around the sampled edges at ``shares`` (low, high,
     low, high, ...); a share at or past 0 or 1 leaves its side open."""
@@ -145,22 +152,25 @@ def exact_quantiles(
     points: Sequence[float],
     names: Sequence[str],
     block_rows: int = BLOCK_ROWS,
+    edges: dict[str, list[float] | None] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles (position (n - 1) * p), one row per column.
 
     ``df`` holds double columns without NaN, ``counts`` their numbers of non-NULL values.
-    A sample brackets each quantile; one pass then counts what lies between the brackets
+    Approximate quantiles at ``bracket_shares`` (``edges``, if the caller has them from a pass of
+    its own, or else of a sample) bracket each quantile; one pass then counts what lies between the brackets
     and keeps the values inside them, and the ranks are looked up there. Should a rank fall
     outside its bracket, the column is done again with everything inside.
     """
     rows = max(counts.values(), default=0)
-    taken = min(rows, SAMPLE_ROWS) or 1
-    accuracy = 2000
-    margin = 6 * math.sqrt(0.25 / taken) + 2 / accuracy
-    shares = [p + d for p in points for d in (-margin, margin)]
-    inner = [min(max(p, 0.0), 1.0) for p in shares]
-    sampled = thinned(df, rows).agg(*[F.percentile_approx(c, inner, accuracy).alias(c) for c in counts]).first()
-    brackets = {c: _brackets(shares, sampled[c]) for c in counts}
+    if edges is None:
+        taken = min(rows, SAMPLE_ROWS) or 1
+        shares = bracket_shares(points, 6 * math.sqrt(0.25 / taken) + 2 / ACCURACY)
+        inner = [min(max(p, 0.0), 1.0) for p in shares]
+        edges = thinned(df, rows).agg(*[F.percentile_approx(c, inner, ACCURACY).alias(c) for c in counts]).first().asDict()
+    else:
+        shares = bracket_shares(points)
+    brackets = {c: _brackets(shares, edges[c]) for c in counts}
 
     wanted = {c: [(n - 1) * p if n else 0.0 for p in points] for c, n in counts.items()}
 
