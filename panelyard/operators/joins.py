@@ -62,16 +62,25 @@ def resolve_entity(
     return df.join(known, normal_name(df[name]) == known["_alias"], "left").drop("_alias")
 
 
+def unresolved_names(df: DataFrame, name: str, aliases: DataFrame, alias: str = "alias") -> DataFrame:
+    """Names that the alias table does not know, with their number of rows."""
+    known = aliases.select(normal_name(F.col(alias)).alias("_alias")).distinct()
+    counts = df.groupBy(name).agg(F.count("*").alias("rows"))
+    return counts.join(known, normal_name(counts[name]) == known["_alias"], "left_anti")
+
+
 def choropleth_table(
-    df: DataFrame, shapes: DataFrame, key: str, order: Sequence[str] = ("id", "order")
+    df: DataFrame, shapes: DataFrame, key: str, order: Sequence[str] = ("id", "order"), whole: bool = True
 ) -> DataFrame:
-    """Every shape vertex with the value of its entity (NULL where there is none), in drawing order.
+    """Every shape vertex with the value of its entity (NULL where there is none), in drawing
+    order: of the whole table, or (``whole`` false) of the vertices of each shape only.
 
-    The values, one row per entity, are computed first; known to be small, they are
-    broadcast, and the vertices are moved once only, by the sort.
+    The values, one row per entity (a second one is an error), are computed first; known to be
+    small, they are broadcast, and the vertices are moved once only, by the sort.
     """
-    values, _ = measured(df)
-    return shapes.join(values, key, "left").orderBy(*order)
+    values, _ = measured(one_row_per_key(df, key))
+    drawn = shapes.join(values, key, "left")
+    return drawn.orderBy(*order) if whole else drawn.repartition(order[0]).sortWithinPartitions(*order)
 
 
 def cutoff_grid(

@@ -191,7 +191,7 @@ def robust_errors(spark, sf):
 {sql_table('(u - 2)', True).replace('FROM r', 'FROM r, c')}
 SELECT term, round(est, 6) AS estimate, round(se, 6) AS std_error FROM tab""")
 def entity_df_errors(spark, sf):
-    panel = customer_panel(spark, sf)
+    panel = kept(customer_panel(spark, sf))   # counted, then fitted
     units = panel.agg(F.count_distinct("entity")).first()[0]
     return rounded(fit_between(panel, "y", XS, "entity").classic_se(units))
 
@@ -332,7 +332,7 @@ def bp_by_entity(spark, sf):
 u AS (SELECT * FROM nm WHERE entity IN (SELECT entity FROM nm WHERE y IS NOT NULL AND x IS NOT NULL))
 SELECT entity, count(*) AS rows, count(y) AS usable FROM u GROUP BY entity""")
 def usable_entities(spark, sf):
-    return keep_groups_with_data(nation_months(spark, sf), ["entity"], ["y", "x"]).groupBy("entity").agg(
+    return keep_groups_with_data(kept(nation_months(spark, sf)), ["entity"], ["y", "x"]).groupBy("entity").agg(
         F.count("*").alias("rows"), F.count("y").alias("usable")
     )
 
@@ -347,7 +347,7 @@ def bh_adjusted(spark, sf):
     tests = load(spark, sf, "customer").select(
         F.col("c_custkey").alias("entity"), F.exp(-z * z / 2).alias("p")
     )
-    return bh_adjust(tests, "p").select("entity", F.round("p", 10).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"))
+    return bh_adjust(kept(tests), "p").select("entity", F.round("p", 10).alias("p"), F.round("p_adjusted", 8).alias("p_adjusted"))
 
 
 @query(f"""WITH z AS (SELECT c_custkey AS entity, abs(c_acctbal - 4500) / 1000 AS z FROM customer WHERE c_custkey % 7 <> 0),
@@ -429,6 +429,17 @@ def cv_within(spark, sf):
     return rounded(out.withColumn("b_b", F.round("b_b", 5)))
 
 
+@query(f"""{SQL_CV_WITHIN}
+SELECT CAST(err.fold AS INTEGER) AS fold, n_train, n_test,
+       CASE WHEN least(n_train, n_test) < 100000 THEN 'too_few_rows' ELSE 'ok' END AS status,
+       CASE WHEN least(n_train, n_test) >= 100000 THEN round(e_train, 6) END AS rmse_train,
+       CASE WHEN least(n_train, n_test) >= 100000 THEN round(e_test, 6) END AS rmse_test FROM err JOIN cnt ON err.fold = cnt.fold""")
+def cv_guards(spark, sf):
+    """Folds with fewer rows than asked for on a side have no errors."""
+    out = cv_rmse(kept(customer_panel(spark, sf)), "y", XS, "entity", "period", min_rows=100_000)
+    return rounded(out.drop("b_a", "b_b"))
+
+
 @query(f"""{SQL_CV_BETWEEN}
 SELECT CAST(err.fold AS INTEGER) AS fold, n_train, n_test, 'ok' AS status, round(ba, 6) AS b_a,
        round(e_train, 6) AS rmse_train, round(e_test, 6) AS rmse_test FROM err JOIN cnt ON err.fold = cnt.fold""")

@@ -37,6 +37,18 @@ YEARS = list(range(1995, 2002))
 
 # --- preparation -----------------------------------------------------------------------
 
+@query(f"""WITH {SQL_CUSTOMER_YEAR}, {SQL_DIM}
+SELECT cy.entity, period, round(num, 2) AS num, region FROM cy JOIN customer ON cy.entity = c_custkey
+JOIN dim ON dim.entity = c_nationkey WHERE region IS NOT NULL AND num > 300000""")
+def complete_rows(spark, sf):
+    """Rows with a NULL in any column go: no region, or a small sum made NULL."""
+    customers = load(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_nationkey").alias("entity"))
+    groups = attach_dim(customers, nation_dim(spark, sf), "entity").select("customer", "region")
+    panel = customer_year(spark, sf).select("entity", "period", F.when(F.col("num") > 300000, F.col("num")).alias("num"))
+    joined = panel.join(groups, panel["entity"] == groups["customer"]).drop("customer")
+    return complete_cases(joined).select("entity", "period", F.round("num", 2).alias("num"), "region")
+
+
 @query(f"""WITH {SQL_NATION_YEAR}
 SELECT entity, period, round(num * 1000, 0) AS num, den, round(num * 1000 / den, 4) AS index,
        round(ln(num * 1000 / den), 8) AS index_log, 'Baseline' AS scenario
@@ -250,8 +262,8 @@ def cutoff_grid_lines(spark, sf):
     return cutoff_lines(regions, RATIO_CUTOFFS, hidden)
 
 
-@query(f"""WITH {SQL_NATION_YEAR}, {SQL_DIM}, v AS (SELECT panel.entity, index_log AS value FROM panel JOIN dim ON dim.entity = panel.entity
-  WHERE period = 1998 AND region <> 'ASIA')
+@query(f"""WITH {SQL_NATION_YEAR}, {SQL_DIM}, v AS (SELECT panel.entity, CASE WHEN region <> 'ASIA' THEN index_log END AS value
+  FROM panel JOIN dim ON dim.entity = panel.entity WHERE period = 1998)
 SELECT c_nationkey AS entity, n_name AS id, c_custkey AS "order", round(value, 8) AS value
 FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN v ON v.entity = c_nationkey""")
 def choropleth(spark, sf):
@@ -260,7 +272,8 @@ def choropleth(spark, sf):
         F.col("c_nationkey").alias("entity"), F.col("n_name").alias("id"), F.col("c_custkey").alias("order")
     )
     rows = attach_dim(index_panel(spark, sf, (1998, 1998)), nation_dim(spark, sf), "entity")
-    values = rows.filter("period = 1998 AND region <> 'ASIA'").select("entity", F.round("index_log", 8).alias("value"))
+    shown = F.when(F.col("region") != "ASIA", F.round("index_log", 8))   # polygons without a value
+    values = rows.filter("period = 1998").select("entity", shown.alias("value"))
     return choropleth_table(values, shapes, "entity")
 
 

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from conftest import rows
 from panelyard.operators.figures import cutoff_lines
 from panelyard.operators.joins import (
-    attach_baseline, attach_dim, choropleth_table, cutoff_grid, join_panel, resolve_entity,
+    attach_baseline, attach_dim, choropleth_table, cutoff_grid, join_panel, resolve_entity, unresolved_names,
 )
 from panelyard.operators.reshape import melt_years, pivot_mean
 from panelyard.operators.sets import distinct_values, union_fill, with_order_key
@@ -74,3 +74,18 @@ def test_melt_and_pivot(spark):
     assert rows(long) == [("A", 1960, 1.0), ("A", 1961, None), ("B", 1960, None), ("B", 1961, 4.0)]
     again = pivot_mean(long, ["code"], "year", "v", [1960, 1961, 1999])
     assert rows(again) == [("A", 1.0, None, None), ("B", None, 4.0, None)]
+
+
+def test_unresolved_names(spark):
+    aliases = spark.createDataFrame([("Viet Nam", "VNM")], "alias string, countrycode string")
+    raw = spark.createDataFrame([("viet-nam",), ("Atlantis",), ("Atlantis",), (None,)], "name string")
+    assert rows(unresolved_names(raw, "name", aliases)) == sorted([("Atlantis", 2), (None, 1)], key=repr)
+
+
+def test_choropleth_needs_one_value_per_entity(spark):
+    values = spark.createDataFrame([("A", 1.0), ("A", 2.0)], "iso3 string, value double")
+    shapes = spark.createDataFrame([("s", 1, "A")], "id string, order int, iso3 string")
+    with pytest.raises(Exception):
+        choropleth_table(values, shapes, "iso3").collect()
+    one = choropleth_table(values.limit(1), shapes, "iso3", whole=False)
+    assert one.count() == 1
