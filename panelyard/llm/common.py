@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 * 1024**2        # of text turned into Python objects at once; one text at least
+_OWN: dict[str, str] = {}        # the driver's own scratch folder, where the session names none
 TOKENIZER_DIR = "/opt/tokenizers"   # default of every ``vocabulary`` parameter
 
 
@@ -33,8 +34,9 @@ def scratch_dir(spark: SparkSession) -> str:
     that is unset, as in tests, a temporary folder of this machine takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="panelyard-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if "scratch" not in _OWN:
+            _OWN["scratch"] = "file://" + tempfile.mkdtemp(prefix="panelyard-")
+        base = _OWN["scratch"]
     return f"{base.rstrip('/')}/panelyard-{uuid.uuid4().hex}"
 
 
