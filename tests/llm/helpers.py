@@ -23,7 +23,3 @@ def awkward_docs(spark):
         (10, "na " * 50, "en", "a", 1), (11, "été çà où déjà très près élève", "fr", "z", 2),
     ]
     return spark.createDataFrame(rows, DOCS)
-
-
-def same_rows(a, b):
-    return sorted((tuple(r) for r in a), key=repr) == sorted((tuple(r) for r in b), key=repr)

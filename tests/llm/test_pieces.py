@@ -94,8 +94,6 @@ def test_trie_counts(spark, data):
     scores = unigram_scores(data)
     docs = awkward_docs(spark)
     trie = PieceTrie(scores, nodes=500)   # small: it starts anew several times
-    for r, want in zip(sorted(token_counts(docs).collect(), key=repr), sorted(docs.collect(), key=repr)):
-        pass
     by_text = {r.doc_id: r for r in token_counts(docs.selectExpr("*", "1 as n_tokens")).collect()}
     for r in docs.collect():
         found = (r.text or "").split()
