@@ -9,6 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from panelyard.operators.sizing import release
 from panelyard.plans.catalog import QUERIES
 from panelyard.session import build_session
 
@@ -32,6 +33,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release()
         spark.catalog.clearCache()   # no query may live off another one's cached tables
     print(json.dumps({
         "metric": "headline_total",
