@@ -15,8 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelyard.session import size_in_bytes
+
 SLICE_BYTES = 4 * 1024**2        # of text turned into Python objects at once; one text at least
 _OWN: dict[str, str] = {}        # the driver's own scratch folder, where the session names none
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 * 1024**2
 TOKENIZER_DIR = "/opt/tokenizers"   # default of every ``vocabulary`` parameter
 
 
@@ -93,6 +97,7 @@ def arrow_column(kernel: Callable[[], Callable[[list], list | tuple]], schema: s
                 arrays = [a if isinstance(a, pa.Array) else pa.array(a, t) for a, (_, t) in zip(made, fields)]
                 pieces.append(pa.StructArray.from_arrays(arrays, names=[name for name, _ in fields]))
             yield pa.concat_arrays(pieces) if pieces else pa.array([], to_arrow_type(kind))
+        pa.default_memory_pool().release_unused()
 
     if len(columns) == 1:
         def typed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -110,12 +115,28 @@ def arrow_column(kernel: Callable[[], Callable[[list], list | tuple]], schema: s
     return F.arrow_udf(typed, kind).asNondeterministic()(*columns)
 
 
-def worker_cache(name: str, make: Callable):
-    """A value kept by a Python worker from one task to its next, made when first asked for."""
+def worker_cache(owner: str, name: str, make: Callable):
+    """A value kept by a Python worker from one task to its next, made when first asked for. A
+    worker keeps the values of one owner at a time: another owner's first request drops them."""
     home = sys.modules.setdefault("_panelyard_worker_cache", types.ModuleType("_panelyard_worker_cache"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "owner", None) != owner:
+        home.owner, home.values = owner, {}
+    if name not in home.values:
+        home.values[name] = make()
+    return home.values[name]
+
+
+def text_batches(spark: SparkSession) -> SparkSession:
+    """Bound what crosses to Python at once: texts are long, and both sides hold whole batches."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        try:
+            now = spark.conf.get(key)
+        except Exception:  # noqa: BLE001  (no such setting in this version)
+            continue
+        if not 0 < size_in_bytes(now) <= most:
+            spark.conf.set(key, str(most))
+    return spark
 
 
 class Memo(dict):

@@ -83,7 +83,7 @@ def grams(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def frequency_kernel():
     """Documents per cell; the last cell counts the documents."""
-    table = worker_cache("fold_table", fold_table)
+    table = worker_cache("language_id", "fold_table", fold_table)
 
     def run(texts):
         total = np.zeros(CELLS + 1)
@@ -116,7 +116,7 @@ class LanguageModel:
         languages, weights, bias = self.languages, self.weights, self.bias
 
         def build():
-            table = worker_cache("fold_table", fold_table)
+            table = worker_cache("language_id", "fold_table", fold_table)
 
             def run(texts):
                 best, score = [], []
@@ -193,7 +193,7 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def sample_kernel():
-    table = worker_cache("fold_table", fold_table)
+    table = worker_cache("language_id", "fold_table", fold_table)
 
     def run(texts):
         cells, counts = [], []

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import Memo, arrow_column, fresh, parts_for, stored, worker_cache
+from panelyard.llm.common import Memo, arrow_column, fresh, parts_for, stored, text_batches, worker_cache
 from panelyard.llm.components import connected_components
 from panelyard.llm.registry import query
 
@@ -60,7 +60,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_memo() -> Memo:
     """Word -> 64-bit hash, kept by the worker."""
-    return worker_cache("word_hashes", lambda: Memo(WORD_MEMO, lambda words: [xxhash.xxh3_64_intdigest(w) for w in words]))
+    return worker_cache("ngram_join", "word_hashes", lambda: Memo(WORD_MEMO, lambda words: [xxhash.xxh3_64_intdigest(w) for w in words]))
 
 
 def shingle_sets(texts: list[str | None], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
@@ -360,6 +360,7 @@ def near_duplicates(
     """One row per document: key, ``class_id``, ``n_links`` (documents other than itself at the
     threshold or above), ``copies`` (rows of its shingle set, itself included), ``set_key`` and the
     set key of its class's first record. Where ids repeat, two classes may have one ``class_id``."""
+    text_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     made = source.select("id", arrow_column(embed_kernel, "set_key binary, n long, sketch binary", "text").alias("e"))
     embedded = stored(made.select("id", "e.*"))

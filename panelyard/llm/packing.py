@@ -99,8 +99,8 @@ def token_pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = worker_cache("tokenizer_" + path, lambda: Tokenizer.from_file(path))
-        memo = worker_cache("word_ids_" + path, lambda: Memo(WORD_MEMO, word_ids(tokenizer)))
+        tokenizer = worker_cache("packing", "tokenizer_" + path, lambda: Tokenizer.from_file(path))
+        memo = worker_cache("packing", "word_ids_" + path, lambda: Memo(WORD_MEMO, word_ids(tokenizer)))
         step = 4 * capacity
 
         def run(texts):

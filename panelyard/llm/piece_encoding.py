@@ -206,7 +206,7 @@ def encoder(path: str) -> Encoder:
         with open(path, "rb") as f:
             return Encoder(f.read())
 
-    return worker_cache("piece_encoder_" + path, make)
+    return worker_cache("piece_encoding", "piece_encoder_" + path, make)
 
 
 ENCODED = "ids array<int>, begins array<int>, ends array<int>"

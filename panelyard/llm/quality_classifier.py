@@ -102,7 +102,7 @@ def blocks(texts: list, table: np.ndarray):
 
 def moment_kernel():
     """Sums, sums of squares, and the number of texts."""
-    table = worker_cache("shape_table", shape_table)
+    table = worker_cache("quality_classifier", "shape_table", shape_table)
 
     def run(texts):
         total = np.zeros(2 * SIZE + 1)
@@ -117,7 +117,7 @@ def moment_kernel():
 
 
 def feature_kernel():
-    table = worker_cache("shape_table", shape_table)
+    table = worker_cache("quality_classifier", "shape_table", shape_table)
 
     def run(texts):
         return ([row.tobytes() for x in blocks(texts, table) for row in x],)
@@ -183,7 +183,7 @@ class QualityModel:
         weights = self.weights
 
         def kernel():
-            table = worker_cache("shape_table", shape_table)
+            table = worker_cache("quality_classifier", "shape_table", shape_table)
 
             def run(texts):
                 parts = [sigmoid(x.astype(np.float64) @ weights[:-1] + weights[-1]) for x in blocks(texts, table)]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelyard.llm.common import text_batches
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,9 +19,13 @@ def query(sql: str | None = None):
     """Register a query under its function name, with SQL that gives the same rows."""
 
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(text_batches(spark), sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             ORACLE[fn.__name__] = sql
-        return fn
+        return run
 
     return add

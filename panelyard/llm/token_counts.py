@@ -99,7 +99,7 @@ def counter(path: str) -> Memo:
             trie = PieceTrie(unigram_scores(f.read()))
         return Memo(WORD_MEMO, lambda words: [trie.add(SPACE + w) for w in words])
 
-    return worker_cache("piece_counter_" + path, make)
+    return worker_cache("token_counts", "piece_counter_" + path, make)
 
 
 def count_column(text: str | Column, vocabulary: str | None = None) -> Column:
