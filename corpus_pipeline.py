@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import stored
+from panelyard.llm.common import stored, text_batches
 from panelyard.llm.language_id import accepted, fit_language_model, held_out
 from panelyard.llm.ngram_join import one_per_class
 from panelyard.llm.packing import pack, tokenized_pieces
@@ -18,22 +18,26 @@ from panelyard.llm.quality_rules import rules_column
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; texts without letters go."""
+    text_batches(spark)
     model = fit_language_model(docs.filter(~held_out()))
     return docs.filter(accepted(model))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the length and repetition rules."""
+    text_batches(spark)
     return docs.filter(rules_column(F.col("text").cast("string"), spans=False)["kept"])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the smallest id."""
+    text_batches(spark)
     return one_per_class(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    text_batches(spark)
     packed = pack(tokenized_pieces(docs))
     return packed.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
