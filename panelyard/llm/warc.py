@@ -242,7 +242,7 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
 def fetch_record(index: DataFrame, page_id: int) -> list[dict]:
     """Records of one page by the index: one frame is read for each."""
     out = []
-    for row in index.filter(F.col("record_id") == record_name(page_id)).limit(1000).collect():
+    for row in index.filter(F.col("record_id") == record_name(page_id)).toLocalIterator():
         data = zstandard.ZstdDecompressor().decompress(read_at(row["bundle"], row["frame_start"], row["frame_size"]))
         out.append(parse_record(data[row["record_start"]:row["record_start"] + row["record_size"]])[0])
     return out
