@@ -435,7 +435,8 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", thre
     id_, clean = fresh(docs, "id_of_dropped"), docs.columns
     dropped = found.filter(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias(id_))
     repeated = stored(found.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(key).alias(id_)))
-    single = docs.join(dropped, docs[key].eqNullSafe(F.col(id_)), "left_anti")
+    # The dropped ids grow with the corpus, so they are never broadcast: one plan at every size.
+    single = docs.join(dropped.hint("merge"), docs[key].eqNullSafe(F.col(id_)), "left_anti")
     if repeated.isEmpty():
         return single
     # Ids that repeat: here the shingle set tells the rows apart.
