@@ -3,8 +3,11 @@
 Trusted positives (label 1) and unlabelled web text train a linear model by minimising the
 non-negative unbiased risk: pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]) with the
 logistic loss, so that sigmoid(g) estimates the probability of label 1. The class prior pi is
-estimated from the two samples: the best-bin bound on held-back scores of a first model that
-tells positives from unlabelled text.
+estimated from all texts that may be learnt from: the best-bin bound on their scores by a first
+model that tells positives from unlabelled text, counted in a histogram of fixed bins. The first
+model is cross-fitted: a text's fold is a hash of the text, and the model that scores it was
+fitted on the sampled rows of the other folds. Where the sample has too few rows of a kind for
+that, one first model of all sampled rows scores every text.
 
 Features are shares of "shape" 1- to 4-grams (letters become a or A, digits 0, space kinds and
 other characters stay, runs of one class in a word shortened to three) hashed to cells, and a
@@ -33,7 +36,9 @@ CELLS = 1024
 ORDERS = (1, 2, 3, 4)
 RATIOS = 8
 SIZE = CELLS + RATIOS
-ROWS = 3000              # sampled rows of each kind: the bound of the fit
+ROWS = 6000              # sampled rows of each kind: the bound of the fit
+FOLDS = 4                # of the cross-fitted first model
+BINS, REACH = 4096, 16.0   # histogram of first scores: equal bins from -REACH to REACH
 STEPS = 600
 BATCH = 512
 RATE = 0.02
@@ -163,17 +168,62 @@ def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, x)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Best bin: the top scores hold a share q_u of unlabelled and q_p of positive rows; where
-    they are all positive, q_u / q_p is the prior. The least ratio with its margin decides."""
-    margin = np.sqrt(np.log(20) / (2 * len(unlabelled))) + np.sqrt(np.log(20) / (2 * len(positive)))
-    cuts = np.sort(positive)
-    q_p = np.arange(len(cuts), 0, -1) / len(cuts)
-    q_u = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
+def score_bins(score: np.ndarray) -> np.ndarray:
+    return np.clip(((score + REACH) * (BINS / (2 * REACH))).astype(np.int64), 0, BINS - 1)
+
+
+def prior_of_counts(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Best bin, from the number of rows in each bin of the score: the top bins hold a share q_u
+    of unlabelled and q_p of positive rows; where they are all positive, q_u / q_p is the prior.
+    The least ratio with its margin decides."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    margin = np.sqrt(np.log(20) / (2 * n_u)) + np.sqrt(np.log(20) / (2 * n_p))
+    top_p, top_u = np.cumsum(positive[::-1])[::-1], np.cumsum(unlabelled[::-1])[::-1]
+    some = top_p > 0
+    q_p, q_u = top_p[some] / n_p, top_u[some] / n_u
     i = int(np.argmin(q_u / q_p + margin / q_p))
     return float(np.clip(q_u[i] / q_p[i], 0.05, 0.98))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """``prior_of_counts`` for scores at hand."""
+    return prior_of_counts(*(np.bincount(score_bins(s), minlength=BINS) for s in (positive, unlabelled)))
+
+
+def fold_of(text: str = "text") -> Column:
+    """By the text alone: copies of a text of the fit are not scored by its model either."""
+    return F.pmod(F.xxhash64(text, F.lit(1)), F.lit(FOLDS)).cast("int")
+
+
+def bin_kernel(weights: np.ndarray):
+    """Kernel: (texts, folds) -> the bin of each text's score by its fold's row of ``weights``."""
+
+    def kernel():
+        table = worker_cache("quality_classifier", "shape_table", shape_table)
+
+        def run(texts, folds):
+            parts = [x.astype(np.float64) @ weights[:, :-1].T + weights[:, -1] for x in blocks(texts, table)]
+            score = np.concatenate(parts) if parts else np.zeros((0, len(weights)))
+            return (score_bins(score[np.arange(len(texts)), np.array(folds, dtype=np.int64)]),)
+
+        return run
+
+    return kernel
+
+
+def first_counts(docs: DataFrame, trusted: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positive and unlabelled rows in each bin of the first score, over all of ``docs``. Keys
+    and bins only are shuffled."""
+    binned = docs.select("key", arrow_column(bin_kernel(weights), "bin int", "text", fold_of())["bin"].alias("bin"))
+    counted = binned.join(trusted, "key", "left").groupBy("bin").agg(
+        F.count("trusted").alias("p"), F.count(F.when(F.col("trusted").isNull(), 1)).alias("u")
+    )
+    positive, unlabelled = np.zeros(BINS), np.zeros(BINS)
+    for row in counted.collect():
+        positive[row["bin"]], unlabelled[row["bin"]] = row["p"], row["u"]
+    return positive, unlabelled
+
+
 @dataclass
 class QualityModel:
     weights: np.ndarray   # on raw features; the last is the bias
@@ -209,34 +259,42 @@ def fit_quality(learnable: DataFrame, positives: DataFrame, key: str = "doc_id",
     others = docs.select("key").filter(draw < min(1.0, rows / marked["u"])).join(trusted, "key", "left_anti")
     chosen = chosen.union(others.distinct().limit(2 * rows).select("key", F.lit(False)))
     sampled = docs.join(F.broadcast(chosen), "key")   # at most 4 * rows keys
-    made = sampled.select("positive", F.pmod(F.xxhash64("key") / 1024, F.lit(4)).cast("int").alias("fold"),
+    made = sampled.select("positive", fold_of().alias("fold"),
                           F.xxhash64("key", "text").alias("place"), arrow_column(feature_kernel, "x binary", "text")["x"].alias("x"))
-    got = made.limit(4 * rows).toArrow().sort_by("place").to_pydict()
-    x = np.frombuffer(b"".join(got.pop("x")), dtype=np.float32).reshape(-1, SIZE)
-    positive, fold = np.array(got["positive"], dtype=bool), np.array(got["fold"])
+    got = made.limit(4 * rows).toArrow()
+    place, positive, fold = (np.array(got.column(c).to_pylist()) for c in ("place", "positive", "fold"))
+    order = np.argsort(place, kind="stable")
+    positive, fold = positive[order].astype(bool), fold[order]
+    z = np.ones((len(order), SIZE + 1), dtype=np.float32)   # one copy, in single precision
+    to = np.argsort(order, kind="stable")
+    for i, row in enumerate(got.column("x")):
+        z[to[i], :SIZE] = np.frombuffer(row.as_buffer(), dtype=np.float32)
+    del got
 
     sums = vector_sum(docs, moment_kernel, "text", 2 * SIZE + 1)
     n = max(1.0, sums[-1])
     mean = sums[:SIZE] / n
     deviation = np.sqrt(np.maximum(0.0, sums[SIZE:2 * SIZE] / n - mean * mean))
     scale = np.where(deviation > 1e-6, 1.0 / np.maximum(deviation, 1e-6), 0.0)
-    z = np.ones((len(x), SIZE + 1), dtype=np.float32)   # one copy, in single precision
-    np.subtract(x, mean, out=z[:, :SIZE], casting="same_kind")
+    np.subtract(z[:, :SIZE], mean, out=z[:, :SIZE], casting="same_kind")
     z[:, :SIZE] *= scale
     np.clip(z[:, :SIZE], -8, 8, out=z[:, :SIZE])
     z[:, :SIZE] *= 4 / np.sqrt(SIZE)
-    train = fold != 0
-    parts = [np.flatnonzero(kind & side) for side in (train, ~train) for kind in (positive, ~positive)]
-    if min(len(part) for part in parts) < 5:
-        parts = 2 * [np.flatnonzero(positive), np.flatnonzero(~positive)]
-    if min(len(part) for part in parts) == 0:
+    kinds = positive, ~positive
+    if min(kind.sum() for kind in kinds) == 0:
         return QualityModel(np.zeros(SIZE + 1), 0.5)
-    first = fit_pu(z, parts[0], parts[1], None)
-    score = z @ first
-    prior = estimate_prior(score[parts[2]], score[parts[3]])
+    crossed = min((kind & (fold == f)).sum() for kind in kinds for f in range(FOLDS)) >= 5
+    sides = [fold != f for f in range(FOLDS)] if crossed else [np.ones(len(z), dtype=bool)]
+    firsts = [fit_pu(z, *(np.flatnonzero(kind & side) for kind in kinds), None) for side in sides]
+
+    def raw(w):   # weights on raw features
+        own = w[:-1] * scale * 4 / np.sqrt(SIZE)
+        return np.r_[own, w[-1] - own @ mean]
+
+    weights = np.array([raw(firsts[f if crossed else 0]) for f in range(FOLDS)])
+    prior = prior_of_counts(*first_counts(docs, trusted, weights))
     w = fit_pu(z, np.flatnonzero(positive), np.flatnonzero(~positive), prior)
-    raw = w[:-1] * scale * 4 / np.sqrt(SIZE)
-    return QualityModel(np.r_[raw, w[-1] - raw @ mean], prior)
+    return QualityModel(raw(w), prior)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -3,8 +3,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from helpers import SF, awkward_docs, needs_data
 
+import panelyard.llm.quality_classifier as quality
 from panelyard.llm.quality_classifier import SIZE, estimate_prior, features, fit_pu, fit_quality, op3_quality_classifier, shape_table, sigmoid
 
 
@@ -63,3 +65,22 @@ def test_awkward_rows(spark):
     none = fit_quality(docs, marks.limit(0))
     assert {r.p for r in docs.select(none.column("text").alias("p")).collect()} == {0.5}
     assert docs.limit(0).select(model.column("text").alias("p")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [40, 6000])
+def test_prior_is_of_all_learnable_rows(spark, monkeypatch, rows):
+    """The counts hold every learnable row, whatever the bound of the fit; each text is scored by
+    a model of other folds' rows."""
+    draw, texts = np.random.default_rng(5), []
+    for i in range(1200):
+        good = i < 300 or i % 2
+        words = [f"word{chr(97 + j)}" if good else f"{j}#!" for j in draw.integers(0, 26, 30)]
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    seen, fitted = [], []
+    counts, fit = quality.prior_of_counts, quality.fit_pu
+    monkeypatch.setattr(quality, "prior_of_counts", lambda p, u: seen.append((p.sum(), u.sum())) or counts(p, u))
+    monkeypatch.setattr(quality, "fit_pu", lambda z, p, u, prior: fitted.append(len(p) + len(u)) or fit(z, p, u, prior))
+    model = fit_quality(docs, docs.filter("doc_id < 300").select("doc_id"), rows=rows)
+    assert seen == [(300, 900)] and abs(model.prior - 0.5) < 0.15
+    assert len(fitted) == quality.FOLDS + 1 and max(fitted[:-1]) < fitted[-1]
