@@ -8,9 +8,11 @@
    is expected to share one bucket more on each level. Buckets with one record end. Buckets
    above LEAF records are split again, until DEPTH; smaller ones are searched by brute force.
    A bucket that stays larger than BLOCK, of near copies then, is searched in pairs of blocks.
-3. Runs with other hashes repeat this until the probability to miss a pair at the threshold,
-   for the depth the buckets in fact needed, is below 1 - RECALL.
-4. What brute force finds similar by tokens (with a margin) makes candidate components. In
+3. Runs with other hashes repeat this until the probability to miss a pair at the threshold is
+   below 1 - RECALL: the mean over the binomial number of its equal tokens, which all runs share,
+   for the depths the buckets in fact needed, and with all pairs below the candidate cut missed.
+4. What brute force finds similar by tokens makes candidate components; the cut on equal tokens
+   lies so low that it takes at most CUT_SHARE of the allowed misses. In
    each, all pairs are compared on their whole shingle sets, large ones in pairs of blocks.
    So links that paths missed inside a component are found as well, and none is emitted as a
    row: only each record's number of links, and its place in the component of true links.
@@ -25,6 +27,7 @@ empty table gives an empty table. Other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999           # of pairs at the threshold; pairs above it do better
 TOKENS = 64              # minhash tokens of a record
-MARGIN = 0.16            # below the threshold, at which tokens still make a candidate (3 sd)
+CUT_SHARE = 0.1          # of the misses allowed, what the cut on equal tokens may take
 LEAF = 64                # records of a bucket that is searched rather than split
 DEPTH = 4                # levels of splitting
 BLOCK = 16384            # records searched at once; larger buckets go in pairs of blocks
@@ -165,13 +168,30 @@ def chosen_paths(threshold: float):
     return kernel
 
 
-def miss_probability(depth: int, threshold: float) -> float:
-    """For a pair at the threshold: no common bucket after ``depth`` levels of one run."""
-    shared = threshold * TOKENS
-    found = 1.0
-    for _ in range(depth):
-        found = 1.0 - (1.0 - found / shared) ** shared
-    return 1.0 - found
+def equal_tokens(threshold: float) -> np.ndarray:
+    """Probability of each number of equal tokens, 0 to TOKENS, of a pair at the threshold."""
+    return np.array([comb(TOKENS, k) * threshold**k * (1.0 - threshold) ** (TOKENS - k) for k in range(TOKENS + 1)])
+
+
+def candidate_cut(threshold: float, recall: float) -> int:
+    """Equal tokens that make a candidate: as many as keep the pairs below within CUT_SHARE."""
+    below = np.r_[0.0, np.cumsum(equal_tokens(threshold))]
+    return int(np.searchsorted(below, CUT_SHARE * (1.0 - recall), side="right")) - 1
+
+
+def miss_probability(depths: int | list[int], threshold: float, least: int = 0) -> float:
+    """For a pair at the threshold: less than ``least`` equal tokens, or no common bucket in any
+    run, where ``depths`` has the levels of each run. Runs choose among the same tokens, so they
+    are independent only for a given number of equal ones."""
+    equal = np.arange(TOKENS + 1)
+    missed = np.ones(TOKENS + 1)
+    for depth in np.atleast_1d(np.array(depths, dtype=np.int64)).tolist():
+        found = np.ones(TOKENS + 1)
+        for _ in range(depth):
+            found = 1.0 - (1.0 - found / max(1.0, threshold * TOKENS)) ** equal
+        missed *= 1.0 - found
+    missed[:least] = 1.0
+    return float(equal_tokens(threshold) @ missed)
 
 
 def star_edges(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -254,13 +274,16 @@ def bucket_task(least: int):
 
 def candidate_edges(records: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Edges between records with enough equal tokens that met in some bucket."""
-    least = int(np.ceil((threshold - MARGIN) * TOKENS))
+    least = candidate_cut(threshold, recall)
+    if equal_tokens(threshold)[:max(1, least)].sum() >= 1.0 - recall:
+        raise ValueError(f"{TOKENS} tokens cannot find pairs at {threshold} with a recall of {recall}")
     choose = chosen_paths(threshold)
-    missed, runs, found = 1.0, 0, []
-    while missed > 1.0 - recall:
+    depths, found = [], []
+    while miss_probability(depths, threshold, least) > 1.0 - recall:
         # Enough runs for buckets that need one level; more follow if they needed more.
-        depth_hint = 1 if runs == 0 else deepest
-        more = int(np.ceil(np.log((1.0 - recall) / missed) / np.log(miss_probability(depth_hint, threshold))))
+        runs, hint, more = len(depths), depths[-1:] or [1], 1
+        while miss_probability(depths + more * hint, threshold, least) > 1.0 - recall:
+            more += 1
         seeds = F.array(*[F.lit(r) for r in range(runs + 1, runs + more + 1)]).cast("array<long>")
         rows = records.select("record", arrow_column(choose, "paths array<long>", "sketch", seeds).alias("p"))
         level, deepest, leaves = stored(rows.select("record", F.explode("p.paths").alias("path"))), 1, []
@@ -277,8 +300,7 @@ def candidate_edges(records: DataFrame, threshold: float, recall: float) -> Data
             level = stored(children.select("record", F.explode("p.paths").alias("path")))
         for leaf in leaves:
             found.append(leaf.select("path", "record", "n"))
-        runs += more
-        missed *= miss_probability(deepest, threshold) ** more
+        depths += more * [deepest]
     rows = found[0]
     for more_rows in found[1:]:
         rows = rows.union(more_rows)

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 from helpers import SF, awkward_docs, needs_data, words
+import numpy as np
 import pytest
 
 import panelyard.llm.ngram_join as join
@@ -102,3 +103,24 @@ def test_components(spark):
 
 def test_recall_bound():
     assert miss_probability(1, 0.8) < miss_probability(2, 0.8) < miss_probability(4, 0.8) < 0.75
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_stated_recall_counts_cut_and_spread(depth):
+    """Simulated pairs at the threshold: one number of equal tokens for all runs, cut included."""
+    least = join.candidate_cut(0.8, 0.999)
+    runs = 1
+    while miss_probability(runs * [depth], 0.8, least) > 0.001:
+        runs += 1
+    equal = np.random.default_rng(1).binomial(join.TOKENS, 0.8, 2_000_000)
+    found = np.ones(len(equal))
+    for _ in range(depth):
+        found = 1 - (1 - found / (0.8 * join.TOKENS)) ** equal
+    assert np.mean(equal < least) < 0.0002
+    assert np.mean(np.where(equal < least, 1.0, (1 - found) ** runs)) < 0.00107
+
+
+def test_recall_out_of_reach_is_refused(spark):
+    rows = spark.createDataFrame([(1, words(20)), (2, words(20))], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        near_duplicates(rows, recall=1.0)
