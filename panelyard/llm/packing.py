@@ -6,8 +6,9 @@ lower bounds on its number of bins by dual feasible functions (Martello-Toth rou
 rounding down of multiples). A bin that is full is closed. Of a part whose bins meet its bound
 only the last, least filled bin can be improved by others; a part above its bound gives all its
 bins with gaps. The documents of those bins go into a new, smaller deal and are packed again,
-until no deal saves a bin or one part holds all that is left. Last, a part that was certified
-and alone cannot be improved.
+until a deal saves no bin (then the placement before it stays), one part holds all that is left,
+or ROUNDS deals were made; what is then left to the lower bounds is logged. A part that was
+certified and alone cannot be improved.
 
 Defined results. A document's length is its number of ids, at least one; text NULL counts as
 empty. Pieces are cut from the start, the last one may be shorter. Rows with equal ids, or
@@ -18,6 +19,7 @@ An empty table gives an empty table. Columns other than key and text play no par
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import unicodedata
@@ -239,7 +241,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, pa
     full = rows.filter(F.col("length") == capacity).select(
         *names, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
-    closed, pool, n = [full], rows.filter(F.col("length") < capacity), figures["short"]
+    closed, pool, n, before = [full], rows.filter(F.col("length") < capacity), figures["short"], None
     for round_ in range(ROUNDS):
         if not n:
             break
@@ -251,15 +253,23 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, pa
         sequence = F.lit(round_ << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
         done = placed.withColumn("sequence_id", sequence).select(*names, "length", "offset", "sequence_id", "open")
         state = placed.select("part", "bins", "bound").distinct().agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
+        if before is not None and state["bins"] >= before["bins"]:
+            # The deal saved nothing: its documents stay where they were.
+            closed.append(pool.select(*names, "sequence_id", "offset"))
+            gap = before["bins"] - -(-before["tokens"] // capacity)
+            logging.getLogger(__name__).info("packing: deal %d saved no bin; at most %d above the lower bound", round_, gap)
+            break
         left = placed.filter("open").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"), F.countDistinct("part", "bin").alias("bins")).first()
         # The open bins can shrink to their tokens' share at best.
         alone = parts == 1 and (state["bins"] == state["bound"] or round_ > 0)
         hopeless = left["n"] == 0 or left["bins"] <= -(-left["tokens"] // capacity)
         if alone or hopeless or round_ == ROUNDS - 1:
             closed.append(done.select(*names, "sequence_id", "offset"))
+            gap = state["bins"] - state["bound"]
+            logging.getLogger(__name__).info("packing: closed after deal %d, bins above the parts' lower bounds: %d", round_, gap)
             break
         closed.append(done.filter("not open").select(*names, "sequence_id", "offset"))
-        pool, n = done.filter("open"), left["n"]
+        pool, n, before = done.filter("open"), left["n"], left
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)

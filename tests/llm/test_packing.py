@@ -7,6 +7,7 @@ from helpers import SF, awkward_docs, needs_data
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import panelyard.llm.packing as packing
 from panelyard.llm.common import Memo, tokenizer_path
 from panelyard.llm.packing import (
     VOCABULARY, best_fit_decreasing, lower_bound, op1_best_fit_packing, pack, texts_ids, tokenized_pieces, word_ids,
@@ -112,3 +113,30 @@ def test_awkward_rows(spark):
     assert pack(tokenized_pieces(docs.limit(0))).count() == 0
     clash = spark.createDataFrame([(1, 5, "s", "o")], "part long, length long, sequence_id string, bin string")
     assert pack(clash).collect()[0].part == 1
+
+
+def test_a_deal_that_saves_nothing_is_not_taken(spark, monkeypatch):
+    real, calls = packing.pack_task, []
+
+    def first_well_then_badly(capacity, names):
+        calls.append(1)
+        good, bad = real(capacity, names), len(calls) > 1
+
+        def task(table):
+            out = good(table)
+            if not bad:
+                return out
+            n, at = out.num_rows, out.column_names.index
+            for name, value in (("bin", np.arange(n)), ("offset", np.zeros(n, dtype=np.int64)), ("bins", np.full(n, n))):
+                out = out.set_column(at(name), name, [value])
+            return out
+
+        return task
+
+    monkeypatch.setattr(packing, "pack_task", first_well_then_badly)
+    draw = np.random.default_rng(3)
+    rows = [(int(i), int(x)) for i, x in enumerate(draw.integers(1, 2049, 3000))]
+    packed = pack(spark.createDataFrame(rows, "doc_id long, length long"), part=1000).collect()
+    assert len(calls) == 2 and sorted((r.doc_id, r.length) for r in packed) == sorted(rows)
+    alone = len(best_fit_decreasing(np.array([x for _, x in rows]), 2048)[2])
+    assert check_packed(packed) <= alone * 1.01 + 3
