@@ -6,7 +6,7 @@ Text is folded to lower-case letters with single gaps; its 1-, 2- and 3-grams (n
 a word with its gaps) are hashed to cells. A cell's feature is its share of the text's grams
 times its inverse document frequency. Document frequencies come from every learnable text; the
 weights are fitted on a bounded sample of them (PER_LANGUAGE rows per language, chosen by hash
-of id and text, the same rows wherever the job runs).
+of id and text, the same rows wherever the job runs; rows equal in id, text and language are one).
 
 Defined results. Text NULL or without a letter (Unicode category L): ``und`` with score 0.
 Learnable are rows with text, language and id that are not held out. Without any learnable
@@ -211,7 +211,8 @@ def fit_language_model(learnable: DataFrame, text: str = "text", lang: str = "la
     rows = learnable.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")
     ).dropna()
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    place = F.xxhash64("key", "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct(place).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
@@ -221,8 +222,11 @@ def fit_language_model(learnable: DataFrame, text: str = "text", lang: str = "la
     idf = np.log((1.0 + frequency[CELLS]) / (1.0 + frequency[:CELLS])) + 1.0
 
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(draw < share[F.col("lang")]).limit(2 * per_language * len(languages))
+    draw = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
+    # Repeated rows are drawn together and made one here, so the number drawn has its bound.
+    chosen = rows.filter(draw < share[F.col("lang")]).groupBy("lang", place.alias("place")).agg(
+        F.first("key").alias("key"), F.first("text").alias("text")
+    )
     sample = chosen.select(
         "lang", F.pmod(F.xxhash64("text", "key") / 64, F.lit(VALIDATION)).cast("int").alias("fold"),
         arrow_column(sample_kernel, "cells array<int>, counts array<int>", "text").alias("x"),

@@ -65,3 +65,22 @@ def test_temperature_undoes_scaling():
     p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
     labels = np.array([draw.choice(3, p=row) for row in p])
     assert abs(best_temperature(5 * logits, labels) - 5) < 0.6
+
+
+def test_repeated_rows_do_not_displace_others(spark):
+    """One row repeated often, drawn as a whole: the sample is that of the distinct rows."""
+    rows = [(i, f"der hund {'abcdefgh'[i % 8]} und die katze", "de") for i in range(8)]
+    rows += [(i, f"the dog {'abcdefgh'[i % 8]} and the cat", "en") for i in range(8, 16)]
+    kind = "doc_id long, text string, lang string"
+    once = fit_language_model(spark.createDataFrame(rows, kind), per_language=8)
+    idf_of_rows = spark.createDataFrame(rows[:1] * 200 + rows, kind)
+    seen = []
+    import panelyard.llm.language_id as module
+
+    train, module.train_ftrl = module.train_ftrl, lambda r, y, k: seen.append(len(r)) or train_ftrl(r, y, k)
+    try:
+        fit_language_model(idf_of_rows, per_language=8)
+        fit_language_model(spark.createDataFrame(rows, kind), per_language=8)
+    finally:
+        module.train_ftrl = train
+    assert once.languages == ["de", "en"] and seen[0] == seen[1] > 0
