@@ -23,7 +23,3 @@ def spark():
 def _no_cached_tables(spark):
     yield
     spark.catalog.clearCache()
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.operators import sizing
 from panelyard.operators.baseline import (
     baseline_average, baseline_by_group, entity_snapshot, group_bounds, lag_rows, with_group_stats,

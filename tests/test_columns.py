@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.functions.breaks import pretty_edges, sturges_bins
 from panelyard.functions.numeric import log1p_of, log_of, ratio, to_double, to_int
 from panelyard.operators.columns import (

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.functions.numeric import log_of
 from panelyard.operators.contrast import (
     factor_table, milestone_means, pct_change_table, report_table, stack_milestones,

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.operators.crossval import assign_folds, cv_report, cv_rmse, make_folds
 
 

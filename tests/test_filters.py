@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.operators.filters import (
     complete_cases, exclude, exclude_listed, exclude_where, keep_groups_with_data, period_between, period_grid,
 )

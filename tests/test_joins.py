@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.operators.figures import cutoff_lines
 from panelyard.operators.joins import (
     attach_baseline, attach_dim, choropleth_table, cutoff_grid, join_panel, resolve_entity, unresolved_names,

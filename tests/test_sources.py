@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.sources import literal_table, read_csv_skip, read_dim, read_table, write_table
 
 

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from panel_rows import rows
 from panelyard.operators import ranks
 from panelyard.operators.diagnostics import bh_adjust
 from panelyard.operators.ranks import cumulative_counts
