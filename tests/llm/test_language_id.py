@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from helpers import SF, awkward_docs, needs_data
+from llm_helpers import SF, awkward_docs, needs_data
 from pyspark.sql import functions as F
 
 from panelyard.llm.language_id import (

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from helpers import SF, awkward_docs, needs_data, words
+from llm_helpers import SF, awkward_docs, needs_data, words
 import numpy as np
 import pytest
 

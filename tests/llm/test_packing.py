@@ -3,7 +3,7 @@
 import zlib
 
 import numpy as np
-from helpers import SF, awkward_docs, needs_data
+from llm_helpers import SF, awkward_docs, needs_data
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 import sentencepiece
-from helpers import SF, awkward_docs, needs_data
+from llm_helpers import SF, awkward_docs, needs_data
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,7 +1,7 @@
 """The corpus pipeline: stages against their operators, and brute force for the whole."""
 
 import pytest
-from helpers import SF, awkward_docs, needs_data
+from llm_helpers import SF, awkward_docs, needs_data
 from test_ngram_join import brute
 from test_quality_rules import brute_base
 

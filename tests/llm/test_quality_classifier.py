@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import SF, awkward_docs, needs_data
+from llm_helpers import SF, awkward_docs, needs_data
 
 import panelyard.llm.quality_classifier as quality
 from panelyard.llm.quality_classifier import SIZE, estimate_prior, features, fit_pu, fit_quality, op3_quality_classifier, shape_table, sigmoid

@@ -7,7 +7,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from helpers import SF, needs_data
+from llm_helpers import SF, needs_data
 from pyspark.sql import functions as F
 
 import panelyard.llm.exact_topk as topk
