@@ -2,7 +2,7 @@
 
 from panelyard.llm import (  # noqa: F401
     exact_topk, language_id, ngram_join, packing, piece_encoding, quality_classifier, quality_rules, token_counts,
-    url_filters, warc,
+    url_filters, vector_codes, warc,
 )
 from panelyard.llm.registry import ORACLE, QUERIES
 
