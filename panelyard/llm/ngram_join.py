@@ -7,10 +7,13 @@
    of (path, token) picks with probability 1 / (threshold x 64), so that a pair at the threshold
    is expected to share one bucket more on each level. Buckets with one record end. Buckets
    above LEAF records are split again, until DEPTH; smaller ones are searched by brute force.
-   A bucket that stays larger than BLOCK, of near copies then, is searched in pairs of blocks.
+   A bucket in which most records agree in most tokens holds near copies, which a split would
+   keep together: it is searched at once. One larger than BLOCK is searched in pairs of blocks.
 3. Runs with other hashes repeat this until the probability to miss a pair at the threshold is
    below 1 - RECALL: the mean over the binomial number of its equal tokens, which all runs share,
-   for the depths the buckets in fact needed, and with all pairs below the candidate cut missed.
+   and with all pairs below the candidate cut missed. Every record counts the levels that its own
+   buckets needed. A pair's buckets are among those of either record, so it is covered as soon as
+   one of the two is; only records that are not yet go into further runs, all into the same.
 4. What brute force finds similar by tokens makes candidate components; the cut on equal tokens
    lies so low that it takes at most CUT_SHARE of the allowed misses. In
    each, all pairs are compared on their whole shingle sets, large ones in pairs of blocks.
@@ -32,7 +35,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import Memo, arrow_column, fresh, parts_for, stored, text_batches, worker_cache
@@ -46,6 +49,8 @@ TOKENS = 64              # minhash tokens of a record
 CUT_SHARE = 0.1          # of the misses allowed, what the cut on equal tokens may take
 LEAF = 64                # records of a bucket that is searched rather than split
 DEPTH = 4                # levels of splitting
+COMMON = 0.7             # mean share of a token's commonest value from which a bucket is near copies
+SEEN, CELLS = 8, 8       # tokens looked at for that, and cells their values fall into
 BLOCK = 16384            # records searched at once; larger buckets go in pairs of blocks
 BLOCK_SHINGLES = 1_000_000   # shingles compared at once in a component
 BLOCK_RECORDS = 1024
@@ -272,35 +277,87 @@ def bucket_task(least: int):
     return task
 
 
+def common_share() -> Column:
+    """Over the rows of a bucket: the mean share of a token's commonest value, from the fullest
+    cell of each token looked at, less what falls into a cell by chance."""
+    shares = []
+    for i in range(SEEN):
+        cell = F.shiftright("mini", 3 * i).bitwiseAND(CELLS - 1)
+        fullest = F.greatest(*[F.count_if(cell == c) for c in range(CELLS)]) / F.count(F.lit(1))
+        shares.append((fullest * CELLS - 1) / (CELLS - 1))
+    return sum(shares[1:], shares[0]) / SEEN
+
+
+def searched_and_split(rows: DataFrame, choose, sketches: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Buckets to search (path, record, n) from the first level's (record, mini, path), and the
+    records whose buckets were split with the levels they needed (None if no bucket was)."""
+    leaves, deep, level = [], [], stored(rows)
+    for depth in range(1, DEPTH + 1):
+        shared = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        level = stored(level.join(shared, "path"))
+        if depth == DEPTH:
+            leaves.append(level)
+            break
+        leaves.append(level.filter(F.col("n") <= LEAF))
+        large = level.filter(F.col("n") > LEAF)
+        if large.isEmpty():
+            break
+        shares = stored(large.groupBy("path").agg(common_share().alias("common")))
+        large = large.join(shares, "path")
+        leaves.append(large.filter(F.col("common") >= COMMON))
+        split = large.filter(F.col("common") < COMMON)
+        if shares.filter(F.col("common") < COMMON).isEmpty():
+            break
+        deep.append(split.select("record", F.lit(depth + 1).alias("depth")))
+        held = split.select("record", "mini", "path").join(sketches, "record")
+        children = held.select("record", "mini", arrow_column(choose, "paths array<long>", "sketch", F.array("path")).alias("p"))
+        level = stored(children.select("record", "mini", F.explode("p.paths").alias("path")))
+    every = None
+    for rows in deep:
+        every = rows if every is None else every.union(rows)
+    return [leaf.select("path", "record", "n") for leaf in leaves], every
+
+
 def candidate_edges(records: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Edges between records with enough equal tokens that met in some bucket."""
     least = candidate_cut(threshold, recall)
     if equal_tokens(threshold)[:max(1, least)].sum() >= 1.0 - recall:
         raise ValueError(f"{TOKENS} tokens cannot find pairs at {threshold} with a recall of {recall}")
-    choose = chosen_paths(threshold)
-    depths, found = [], []
-    while miss_probability(depths, threshold, least) > 1.0 - recall:
-        # Enough runs for buckets that need one level; more follow if they needed more.
-        runs, hint, more = len(depths), depths[-1:] or [1], 1
-        while miss_probability(depths + more * hint, threshold, least) > 1.0 - recall:
-            more += 1
-        seeds = F.array(*[F.lit(r) for r in range(runs + 1, runs + more + 1)]).cast("array<long>")
-        rows = records.select("record", arrow_column(choose, "paths array<long>", "sketch", seeds).alias("p"))
-        level, deepest, leaves = stored(rows.select("record", F.explode("p.paths").alias("path"))), 1, []
-        for depth in range(1, DEPTH + 1):
-            deepest = depth
-            shared = level.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-            level = stored(level.join(shared, "path"))
-            leaves.append(level if depth == DEPTH else level.filter(F.col("n") <= LEAF))
-            large = level.filter(F.col("n") > LEAF)
-            if depth == DEPTH or large.isEmpty():
-                break
-            held = large.join(records.select("record", "sketch"), "record")
-            children = held.select("record", arrow_column(choose, "paths array<long>", "sketch", F.array("path")).alias("p"))
-            level = stored(children.select("record", F.explode("p.paths").alias("path")))
-        for leaf in leaves:
-            found.append(leaf.select("path", "record", "n"))
-        depths += more * [deepest]
+    choose, sketches = chosen_paths(threshold), records.select("record", "sketch")
+    # Records not yet covered, with the levels each batch of runs took them, as one number of
+    # DEPTH + 1 digits; the first runs are as many as buckets of one level need.
+    open_, histories, batches, first, found = records.select("record", "mini", "sketch", F.lit(0).cast("long").alias("past")), [0], [], 1, []
+    while histories:
+        def depths(past: int) -> list[int]:
+            taken = []
+            for runs in reversed(batches):   # noqa: B023
+                past, depth = divmod(past, DEPTH + 1)
+                taken += runs * [depth]
+            return taken
+
+        more = 0
+        for past in histories:
+            before, own = depths(past), 0
+            while miss_probability(before + own * [before[0] if before else 1], threshold, least) > 1.0 - recall:
+                own += 1
+            more = max(more, own)
+        if not more:
+            break
+        batches.append(more)
+        seeds = F.array(*[F.lit(r) for r in range(first, first + more)]).cast("array<long>")
+        first += more
+        rows = open_.select("record", "mini", arrow_column(choose, "paths array<long>", "sketch", seeds).alias("p"))
+        leaves, deep = searched_and_split(rows.select("record", "mini", F.explode("p.paths").alias("path")), choose, sketches)
+        found += leaves
+        if deep is None:
+            break
+        deep = deep.groupBy("record").agg(F.max("depth").alias("depth"))
+        past = F.col("past") * (DEPTH + 1) + F.col("depth")
+        open_ = stored(open_.join(deep, "record").select("record", "mini", "sketch", past.alias("past")))
+        histories = [r["past"] for r in open_.select("past").distinct().collect()]   # at most DEPTH for each batch
+        covered = [p for p in histories if miss_probability(depths(p), threshold, least) <= 1.0 - recall]
+        histories = [p for p in histories if p not in covered]
+        open_ = open_.filter(~F.col("past").isin(covered)) if covered else open_
     rows = found[0]
     for more_rows in found[1:]:
         rows = rows.union(more_rows)
@@ -389,7 +446,7 @@ def near_duplicates(
     records = embedded.filter("set_key is not null").groupBy("set_key").agg(
         F.min("id").alias("low_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
-    records = stored(records.withColumn("record", F.monotonically_increasing_id()).withColumn("brief", brief_column("sketch")))
+    records = stored(records.withColumn("record", F.monotonically_increasing_id()).withColumn("b", brief_column("sketch")).select("*", "b.*").drop("b"))
 
     candidates = connected_components(candidate_edges(records, threshold, recall))
     members = stored(
@@ -438,16 +495,20 @@ def near_duplicates(
     )
 
 
-def brief_column(sketch: str):
-    """Two bytes of each token: enough to compare, half as much to move."""
+def brief_column(sketch: str) -> Column:
+    """``brief``: two bytes of each token, enough to compare and half as much to move. ``mini``:
+    the cells of the first tokens."""
 
     def kernel():
         def run(sketches):
-            return ([None if s is None else np.frombuffer(s, np.uint16)[::2].tobytes() for s in sketches],)
+            tokens = as_matrix(sketches, np.uint32)
+            cells = (mix(tokens[:, :SEEN].astype(np.uint64)) % np.uint64(CELLS)).astype(np.int64)
+            mini = (cells << (3 * np.arange(SEEN))[None, :]).sum(axis=1)
+            return [np.frombuffer(s, np.uint16)[::2].tobytes() for s in sketches], mini.astype(np.int32)
 
         return run
 
-    return arrow_column(kernel, "brief binary", sketch)["brief"]
+    return arrow_column(kernel, "brief binary, mini int", sketch)
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -96,9 +96,53 @@ def test_components(spark):
     draw, edges = random.Random(2), [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)]
     edges = [(a * 7 % 1009, b * 7 % 1009) for a, b in edges]
     draw.shuffle(edges)
-    labels = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    odd = [(None, 5), (5, None), (3, 3), *edges[:5], *((b, a) for a, b in edges[:5])]
+    labels = {r.node: r.label for r in connected_components(spark.createDataFrame(edges + odd, "a long, b long")).collect()}
     first = {a * 7 % 1009 for a in range(41)}
     assert {labels[x] for x in first} == {min(first)} and len(set(labels.values())) == 2
+    assert connected_components(spark.createDataFrame(odd[:3], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("order", ["rising", "falling", "shuffled"])
+def test_long_chains(spark, order):
+    """One chain of 10^4 nodes, whichever way its ids run."""
+    n = 10_000
+    ids = list(range(n)) if order != "falling" else list(range(n, 0, -1))
+    if order == "shuffled":
+        random.Random(7).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:])), "a long, b long")
+    labels = connected_components(edges).groupBy("label").count().collect()
+    assert [(r["label"], r["count"]) for r in labels] == [(min(ids), n)]
+
+
+def test_large_group_of_near_copies_is_not_split(spark, monkeypatch):
+    """3000 near copies beside 3000 other texts: links of all pairs, and few path rows."""
+    draw = random.Random(11)
+    base = " ".join(f"b{i}" for i in range(300))
+    texts = [edited(base, draw.randrange(1, 7), draw) for _ in range(3000)]
+    texts += [" ".join(f"o{draw.randrange(10**9)}" for _ in range(40)) for _ in range(3000)]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    column = {x: j for j, x in enumerate(sorted(x for x, n in Counter(x for s in sets for x in s).items() if n > 1))}
+    held = np.zeros((len(sets), len(column)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [column[x] for x in s if x in column]] = 1
+    common, sizes = held @ held.T, np.array([len(s) for s in sets])
+    near = common / (sizes[:, None] + sizes[None, :] - common) >= 0.8 - 1e-9
+    links = near.sum(axis=1) - near.diagonal()
+    assert links[:3000].min() < 2900 < links[:3000].max()   # not simply all with all
+    paths, split = [], join.searched_and_split
+
+    def counted(rows, *rest):
+        leaves, deep = split(rows, *rest)
+        paths.append((sum(leaf.count() for leaf in leaves), 0 if deep is None else deep.count()))
+        return leaves, deep
+
+    monkeypatch.setattr(join, "searched_and_split", counted)
+    made = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in made} == dict(enumerate(links.tolist()))
+    assert {r.class_id for r in made if r.doc_id < 3000} == {0}
+    rows, deep = (sum(p[i] for p in paths) for i in (0, 1))
+    assert rows < 12 * 3000 and deep < 3000, paths
 
 
 def test_recall_bound():
