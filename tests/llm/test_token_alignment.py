@@ -111,3 +111,25 @@ def test_awkward_rows(spark):
     assert cross_align(docs.limit(0)).count() == 0
     with_text = cross_align(docs, with_groups=True).collect()
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 if r.groups else r.groups_sha256 == "" for r in with_text)
+
+
+def test_quick_ids_are_the_library_s():
+    """Random texts of every kind of character, and words of random pieces."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from panelyard.llm.token_alignment import rank_encoder
+
+    path = tokenizer_path(A_VOCABULARY)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    quick, draw = rank_encoder(spec), random.Random(3)
+    pieces = [library.decode([i]) for i in range(0, 50_000, 7)]
+    kinds = [[chr(c) for c in r if not 0xD800 <= c < 0xE000] for r in (range(32, 127), range(1, 0x250), range(0x370, 0x3000, 5), range(0x3000, 0x1F700, 11))]
+    texts = ["".join(draw.choices(draw.choice(kinds), k=40)) for _ in range(5000)] + ["".join(draw.choices(pieces, k=12)) for _ in range(5000)]
+    assert [quick(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    spec["model"]["merges"] = spec["model"]["merges"][1:]
+    assert rank_encoder(spec) is None
