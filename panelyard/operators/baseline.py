@@ -6,14 +6,13 @@ back, not a window: a window would put each whole group into one task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.numeric import clean
-from panelyard.operators.ranks import typed_block, typed_splits
+from panelyard.operators.ranges import numbered_ranges, range_count
 from panelyard.operators.sizing import attach_stats, null_safe_join
 
 WINDOW_ROWS = 5_000_000   # rows of one entity a single sorted task may hold
@@ -104,30 +103,36 @@ def lag_rows(
     """The value ``n`` rows earlier within the entity, in period order (rows, not periods).
 
     Periods of any orderable type; NULL periods come last. Rows of one (entity, period) are
-    ordered by the value and then by their other columns. Blocks of periods, as many as the
-    largest entity needs, bound what is sorted together: inside a block this is a plain lag, and
-    only a block's first ``n`` rows look up their values, among the last ``n`` of other blocks.
+    ordered by the value and then by their other columns. Where an entity has more than
+    ``window_rows`` rows, all rows go into numbered ranges by entity, period and what orders rows
+    of one period, so that a range may end anywhere within an entity, or within one of its periods.
+    Inside a range this is a plain lag. Each range hands the last ``n`` rows of an entity on: its
+    first ``n`` rows of an entity look up their values there, by position in the entity.
     """
     out = out or f"{col}_lag"
     if n < 0:
         raise ValueError("n must not be negative")
-    largest = df.groupBy(entity).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    splits = typed_splits(df, period, math.ceil(largest / window_rows))
+    sizes = df.groupBy(entity).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    largest, total = sizes[0] or 0, sizes[1] or 0
     order = [F.col(period).asc_nulls_last(), F.col(col), F.xxhash64(*df.columns)]
-    if not splits:
+    if largest <= window_rows:
         return df.withColumn(out, F.lag(col, n).over(Window.partitionBy(entity).orderBy(*order)))
 
-    blocked = df.withColumn("_block", typed_block(period, splits))
-    before = Window.partitionBy(entity).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocked.groupBy(entity, "_block").agg(F.count("*").alias("_n"))
+    # The last column tells wholly equal rows apart, so that even those may go to several ranges.
+    ranged = numbered_ranges(
+        df.withColumn("_row", F.monotonically_increasing_id()), [F.col(entity), *order, F.col("_row")], range_count(total, window_rows)
+    )
+    before = Window.partitionBy(entity).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(entity, "_range").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = Window.partitionBy(entity, "_block").orderBy(*order)
-    placed = null_safe_join(blocked, sizes, [entity, "_block"]).withColumns(
+    inside = Window.partitionBy("_range", entity).orderBy(*order, F.col("_row"))
+    placed = null_safe_join(ranged, sizes, [entity, "_range"]).withColumns(
         {"_rn": F.row_number().over(inside), out: F.lag(col, n).over(inside)}
     )
     position = F.col("_offset") + F.col("_rn")
-    first = placed.filter(F.col("_rn") <= n).drop(out).withColumn("_pos", position - n)
-    last = placed.filter(F.col("_rn") > F.col("_n") - n).select(entity, position.alias("_pos"), F.col(col).alias(out))
-    looked_up = null_safe_join(first, last, [entity, "_pos"]).drop("_pos")
-    rest = placed.filter(F.col("_rn") > n)
-    return rest.unionByName(looked_up.select(*rest.columns)).drop("_block", "_n", "_offset", "_rn")
+    carried = (F.col("_rn") <= n) & (position > n)   # the value lies in a range before
+    first = placed.filter(carried).drop(out).withColumn("_pos", position - n)
+    halo = placed.filter(F.col("_rn") > F.col("_n") - n).select(entity, position.alias("_pos"), F.col(col).alias(out))
+    looked_up = null_safe_join(first, halo, [entity, "_pos"]).drop("_pos")
+    rest = placed.filter(~carried)
+    return rest.unionByName(looked_up.select(*rest.columns)).drop("_range", "_row", "_n", "_offset", "_rn")

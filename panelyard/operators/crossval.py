@@ -47,21 +47,38 @@ def make_folds(df: DataFrame, period: str, width: int = 5) -> DataFrame:
 
 
 def fold_roles(df: DataFrame, folds: DataFrame, period: str) -> DataFrame:
-    """What each period is to each fold: (fold, period, in_train, in_test). The limits are
-    the fold's first and last listed period, in listed order."""
-    spec = folds.groupBy("fold").agg(
-        F.min_by("period", "pos").alias("first"),
-        F.max_by("period", "pos").alias("last"),
-        F.collect_set("period").alias("members"),
-    )
-    specs = spec.agg(F.collect_list(F.struct("fold", "first", "last", "members"))).scalar()
-    axis = df.select(F.col(period).cast("int").alias("period")).filter("period IS NOT NULL").distinct()
-    return axis.select("period", F.explode(specs).alias("s")).select(
-        F.col("s")["fold"].alias("fold"),
-        "period",
-        ((F.col("period") < F.col("s")["first"]) | (F.col("period") > F.col("s")["last"])).alias("in_train"),
-        F.array_contains(F.col("s")["members"], F.col("period")).alias("in_test"),
-    )
+    """What each period is to each fold it belongs to: (fold, period, in_train, in_test). One row
+    for each, so as large as folds times periods; ``fold_index`` says the same in a row per fold."""
+    index, axis, members = fold_index(df, folds, period)
+    count = index.select("fold", F.explode(F.filter(
+        F.array(F.struct(F.lit(1).alias("a"), F.col("before").alias("b")), F.struct((F.col("after") + 1).alias("a"), F.col("n").alias("b"))),
+        lambda s: s["a"] <= s["b"],
+    )).alias("s"))
+    train = count.select("fold", F.explode(F.sequence(F.col("s.a"), F.col("s.b"))).alias("i"), F.lit(True).alias("in_train"), F.lit(False).alias("in_test"))
+    test = members.select("fold", "i", F.lit(False).alias("in_train"), F.lit(True).alias("in_test"))
+    # A fold listed backwards may train on a period twice, and one may also be tested on.
+    roles = train.union(test).groupBy("fold", "i").agg(F.max("in_train").alias("in_train"), F.max("in_test").alias("in_test"))
+    return roles.join(axis, "i").select("fold", "period", "in_train", "in_test")
+
+
+def fold_index(df: DataFrame, folds: DataFrame, period: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Folds as intervals of the time axis. Three tables: (fold, before, after, n), where a fold
+    trains on the periods 1 to ``before`` and ``after`` + 1 to ``n`` of the axis; the axis itself
+    (i, period); and the test periods (fold, i). Limits are a fold's first and last listed period, in
+    listed order. The axis' periods and all limits are sorted once, in numbered ranges, and the
+    running count of periods at each limit is where it lies: memory goes with folds and periods, never
+    with their product."""
+    listed = folds.select("fold", "pos", F.col("period").cast("int").alias("period"))
+    limits = listed.groupBy("fold").agg(F.min_by("period", "pos").alias("first"), F.max_by("period", "pos").alias("last"))
+    on_axis = df.select(F.col(period).cast("int").alias("p"), F.lit(1).alias("w")).filter("p IS NOT NULL").distinct()
+    every = on_axis.union(listed.select(F.col("period").alias("p"), F.lit(0).alias("w")).distinct())
+    placed, n, _ = cumulative_counts(every, "p", weight="w")
+    placed = placed.select(F.col("p").alias("period"), F.col("cum").cast("int").alias("i"), F.col("cnt").cast("int").alias("w"))
+    start = placed.select(F.col("period").alias("first"), (F.col("i") - F.col("w")).alias("before"))
+    end = placed.select(F.col("period").alias("last"), F.col("i").alias("after"))
+    index = limits.join(start, "first").join(end, "last").select("fold", "before", "after", F.lit(int(n)).alias("n"))
+    axis = placed.filter("w = 1").select("i", "period")
+    return index, axis, listed.join(axis, "period").select("fold", "i").distinct()
 
 
 def assign_folds(df: DataFrame, folds: DataFrame, period: str) -> DataFrame:

@@ -1,74 +1,20 @@
 """Positions of values in a total order, without sorting everything in one task.
 
-Values are first reduced to distinct values with counts. Those are cut into blocks at
-quantile splits held as literals (so a re-run task puts a value into the same block),
-ordered inside each block, and shifted by the row count of the blocks below.
+Values are first reduced to distinct values with counts. Those go into numbered ranges, are
+ordered inside each range, and shifted by the row count of the ranges below.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators.ranges import numbered_ranges, range_count
 from panelyard.operators.sizing import kept, null_safe_join
 
 BLOCK_ROWS = 200_000
-ACCURACY = 2000         # of approximate quantiles that bracket the exact ones
-SAMPLE_ROWS = 100_000   # rows looked at to place split points; results never depend on them
-
-
-def thinned(df: DataFrame, rows: int, keep: int = 0) -> DataFrame:
-    """About SAMPLE_ROWS rows (or ``keep``), so that placing split points moves little data to one task."""
-    keep = max(keep, SAMPLE_ROWS)
-    return df if rows <= keep else df.sample(keep / rows, seed=7)
-
-
-def quantile_splits(df: DataFrame, col: str, blocks: int, rows: int) -> list[float]:
-    """At most ``blocks - 1`` distinct cut points with about equal row counts between them."""
-    if blocks <= 1:
-        return []
-    points = [i / blocks for i in range(1, blocks)]
-    found = thinned(df, rows, 20 * blocks).agg(
-        F.percentile_approx(F.col(col).cast("double"), points, max(10_000, 10 * blocks))
-    ).first()[0]
-    return sorted(set(found or []))
-
-
-def block_of(col: str, splits: Sequence[float]) -> Column:
-    """Index of the block a value falls into; NULL goes behind the last one."""
-    if not splits:
-        return F.lit(0)
-    value = F.col(col).cast("double")
-    # Two levels: first the stretch of cuts, then the cut inside it.
-    step = math.isqrt(len(splits) - 1) + 1
-    cuts = F.lit([float(s) for s in splits])
-    ends = F.lit([float(s) for s in splits[step - 1 :: step]])
-    skipped = F.size(F.filter(ends, lambda s: s < value)) * step
-    below = skipped + F.size(F.filter(F.slice(cuts, skipped + 1, step), lambda s: s < value))
-    return F.when(F.col(col).isNull(), len(splits) + 1).otherwise(below)
-
-
-def typed_splits(df: DataFrame, col: str, blocks: int) -> list:
-    """At most ``blocks - 1`` distinct cut points of a column of any orderable type, taken from a
-    sample; results never depend on where they lie."""
-    if blocks <= 1:
-        return []
-    known = df.select(F.col(col).alias("v")).filter("v IS NOT NULL")
-    wanted = max(SAMPLE_ROWS // 10, 20 * blocks)
-    values = [r["v"] for r in thinned(known, known.count(), wanted).limit(4 * wanted).collect()]
-    values.sort()
-    return sorted({values[i * len(values) // blocks] for i in range(1, blocks)}) if values else []
-
-
-def typed_block(col: str, splits: Sequence) -> Column:
-    """Number of cut points below a value, of the column's own type; NULL goes last."""
-    below = sum((F.when(F.col(col) > F.lit(s), 1).otherwise(0) for s in splits), F.lit(0)) if len(splits) <= 16 else F.size(
-        F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < F.col(col))
-    )
-    return F.when(F.col(col).isNull(), len(splits) + 1).otherwise(below)
 
 
 def cumulative_counts(
@@ -88,11 +34,11 @@ def cumulative_counts(
     )
     values = kept(values)
     distinct, total = values.agg(F.count("*"), F.coalesce(F.sum("cnt"), F.lit(0))).first()
-    splits = quantile_splits(values, value, math.ceil(distinct / block_rows), distinct)
-    values = values.withColumn("block", block_of(value, splits))
+    blocks = range_count(distinct, block_rows)
+    values = numbered_ranges(values, [F.col(c) for c in (*by, value)], blocks, "block")
     inside = Window.partitionBy(*by, "block").orderBy(value)
     inner = values.withColumn("cum", F.sum("cnt").over(inside))
-    if not splits:
+    if blocks == 1:
         return inner, total, 1
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -102,129 +48,4 @@ def cumulative_counts(
         .drop("_n")
     )
     shifted = null_safe_join(inner, offsets, [*by, "block"]).withColumn("cum", F.col("cum") + F.col("_offset"))
-    return shifted.drop("_offset"), total, len(splits) + 1
-
-
-def bracket_shares(points: Sequence[float], margin: float = 2 / ACCURACY) -> list[float]:
-    """Shares just below and above each point. The margin covers the error of percentile_approx
-    at ACCURACY over all rows."""
-    return [p + d for p in points for d in (-margin, margin)]
-
-
-def _brackets(shares: Sequence[float], edges: Sequence[float] | None) -> list[tuple[float, float]]:
-    """Sorted disjoint closed intervals around the sampled edges at ``shares`` (low, high,
-    low, high, ...); a share at or past 0 or 1 leaves its side open."""
-    if edges is None:
-        return [(-math.inf, math.inf)]
-    open_ended = [-math.inf if p <= 0 else math.inf if p >= 1 else e for p, e in zip(shares, edges)]
-    spans = sorted(zip(open_ended[::2], open_ended[1::2]))
-    merged: list[tuple[float, float]] = []
-    for lo, hi in spans:
-        if merged and lo <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
-        else:
-            merged.append((lo, hi))
-    return merged
-
-
-def _classed(df: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
-    """(column, class, value, cnt). Odd classes are brackets and keep their distinct values;
-    even classes are the stretches between them and keep only a count."""
-    v = F.col("v")
-    cls = F.lit(None).cast("int")
-    for c, spans in brackets.items():
-        inside, passed = F.lit(0), F.lit(0)
-        for lo, hi in spans:
-            inside = inside + F.when(v.between(lo, hi), 1).otherwise(0)
-            passed = passed + F.when(v > hi, 2).otherwise(0)
-        cls = F.when(F.col("column") == c, passed + inside).otherwise(cls)
-    long = df.unpivot([], list(brackets), "column", "v").filter("v IS NOT NULL")
-    return (
-        long.select("column", cls.alias("class"), "v")
-        .groupBy("column", "class", F.when(F.col("class") % 2 == 1, v).alias("value"))
-        .agg(F.count("*").alias("cnt"))
-    )
-
-
-def exact_quantiles(
-    df: DataFrame,
-    counts: dict[str, int],
-    points: Sequence[float],
-    names: Sequence[str],
-    block_rows: int = BLOCK_ROWS,
-    edges: dict[str, list[float] | None] | None = None,
-) -> DataFrame:
-    """Linearly interpolated quantiles (position (n - 1) * p), one row per column.
-
-    ``df`` holds double columns without NaN, ``counts`` their numbers of non-NULL values.
-    Approximate quantiles at ``bracket_shares`` (``edges``, if the caller has them from a pass of
-    its own, or else of a sample) bracket each quantile; one pass then counts what lies between the brackets
-    and keeps the values inside them, and the ranks are looked up there. Should a rank fall
-    outside its bracket, the column is done again with everything inside.
-    """
-    rows = max(counts.values(), default=0)
-    if edges is None:
-        taken = min(rows, SAMPLE_ROWS) or 1
-        shares = bracket_shares(points, 6 * math.sqrt(0.25 / taken) + 2 / ACCURACY)
-        inner = [min(max(p, 0.0), 1.0) for p in shares]
-        edges = thinned(df, rows).agg(*[F.percentile_approx(c, inner, ACCURACY).alias(c) for c in counts]).first().asDict()
-    else:
-        shares = bracket_shares(points)
-    brackets = {c: _brackets(shares, edges[c]) for c in counts}
-
-    wanted = {c: [(n - 1) * p if n else 0.0 for p in points] for c, n in counts.items()}
-
-    def missed(totals) -> set[str]:
-        out, seen = set(), dict.fromkeys(counts, 0)
-        for c, cls, n in totals:
-            low, seen[c] = seen[c], seen[c] + n
-            if cls % 2 == 0 and any(low <= k < seen[c] for h in wanted[c] for k in (math.floor(h), math.ceil(h))):
-                out.add(c)
-        return out
-
-    def count_classes():
-        table = kept(_classed(df, brackets))
-        totals = table.groupBy("column", "class").agg(F.sum("cnt").alias("n")).orderBy("column", "class")
-        return table, [tuple(r) for r in totals.collect()]
-
-    table, totals = count_classes()
-    again = missed(totals)
-    if again:
-        brackets.update(dict.fromkeys(again, _brackets(shares, None)))
-        table.unpersist()
-        table, totals = count_classes()
-
-    start, offsets = dict.fromkeys(counts, 0), []
-    for c, cls, n in totals:
-        offsets.append((c, cls, start[c]))
-        start[c] += n
-    shift = df.sparkSession.createDataFrame(offsets or [("", 0, 0)], "column string, class int, _start long")
-    cum, _, _ = cumulative_counts(table, "value", ["column", "class"], block_rows, weight="cnt")
-    placed = cum.join(shift, ["column", "class"]).withColumn("cum", F.col("cum") + F.col("_start"))
-
-    def ranked(ranks: dict[str, int]) -> Column:
-        k = F.lit(None).cast("long")
-        for c, r in ranks.items():
-            k = F.when(F.col("column") == c, r).otherwise(k)
-        return F.max(F.when((F.col("cum") - F.col("cnt") <= k) & (F.col("cum") > k), F.col("value")))
-
-    found = []
-    for i in range(len(points)):
-        low = {c: math.floor(h[i]) for c, h in wanted.items()}
-        high = {c: math.ceil(h[i]) for c, h in wanted.items()}
-        found += [ranked(low).alias(f"l{i}"), ranked(high).alias(f"h{i}")]
-    stats = placed.groupBy("column").agg(*found)
-
-    def share(i: int) -> Column:
-        w = F.lit(0.0)
-        for c, h in wanted.items():
-            w = F.when(F.col("column") == c, h[i] - math.floor(h[i])).otherwise(w)
-        return w
-
-    return stats.select(
-        "column",
-        *[
-            (F.col(f"l{i}") + share(i) * (F.col(f"h{i}") - F.col(f"l{i}"))).alias(name)
-            for i, name in enumerate(names)
-        ],
-    )
+    return shifted.drop("_offset"), total, blocks

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.breaks import pretty_edges, sturges_bins
 from panelyard.functions.numeric import clean, normal_pdf
-from panelyard.operators.ranks import ACCURACY, bracket_shares, exact_quantiles
+from panelyard.operators.selection import exact_quantiles
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 QUARTILE_NAMES = ("min", "q1", "median", "q3", "max")
@@ -56,20 +56,17 @@ def key_figures(df: DataFrame, col: str, key: str) -> DataFrame:
 def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Exact five-number summary, mean and NULL count, one row per column."""
     values = df.select(*[clean(F.col(c).cast("double")).alias(c) for c in cols])
-    # Two reads: everything but the inner quantiles, with what brackets those, and then the
-    # values inside the brackets.
+    # One read for everything but the inner quantiles, and the passes of their selection.
     inner, names = QUARTILES[1:-1], QUARTILE_NAMES[1:-1]
-    shares = [min(max(p, 0.0), 1.0) for p in bracket_shares(inner)]
     row = values.agg(
         *[F.count(c).alias(f"n_{c}") for c in cols],
         *[F.avg(c).alias(f"mean_{c}") for c in cols],
         *[F.min(c).alias(f"min_{c}") for c in cols],
         *[F.max(c).alias(f"max_{c}") for c in cols],
-        *[F.percentile_approx(c, shares, ACCURACY).alias(f"edges_{c}") for c in cols],
         F.count("*").alias("n"),
     ).first()
     counts = {c: row[f"n_{c}"] for c in cols}
-    quantiles = exact_quantiles(values, counts, inner, names, edges={c: row[f"edges_{c}"] for c in cols})
+    quantiles = exact_quantiles(values, counts, inner, names)
     rest = df.sparkSession.createDataFrame(
         [(c, row[f"min_{c}"], row[f"max_{c}"], row[f"mean_{c}"], row["n"] - counts[c]) for c in cols],
         "column string, min double, max double, mean double, n_null long",

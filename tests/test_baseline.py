@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panel_rows import rows
 from panelyard.operators import sizing
+from panelyard.operators import baseline
 from panelyard.operators.baseline import (
     baseline_average, baseline_by_group, entity_snapshot, group_bounds, lag_rows, with_group_stats,
 )
@@ -99,3 +100,22 @@ def test_lag_of_any_period_type_at_any_block_size(spark, kind):
 
 def test_size_settings():
     assert [size_in_bytes(x) for x in ("10485760b", "10m", "256k", "-1", "1g")] == [10485760, 10485760, 262144, -1, 1 << 30]
+
+
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_lag_of_an_entity_with_all_rows_in_three_periods(spark, monkeypatch, n):
+    """Ranges end within periods, and within equal rows; none holds more than was allowed."""
+    rng, sizes, made = random.Random(4), [], baseline.numbered_ranges
+    data = [("hot", i % 3, rng.random()) for i in range(1500)] + [("hot", 1, 0.5)] * 500
+    data += [(f"e{i}", p, rng.random()) for i in range(60) for p in range(rng.randint(1, 6))]
+    df = spark.createDataFrame(data, "code string, year int, v double").repartition(3)
+
+    def watched(*args):
+        ranged = made(*args)
+        sizes.extend(r["count"] for r in ranged.groupBy("_range").count().collect())
+        return ranged
+
+    monkeypatch.setattr(baseline, "numbered_ranges", watched)
+    plain = df.withColumn("v_lag", F.lag("v", n).over(Window.partitionBy("code").orderBy("year", "v")))
+    assert rows(lag_rows(df, "code", "year", "v", n, window_rows=100)) == rows(plain)
+    assert len(sizes) > 20 and max(sizes) <= 100

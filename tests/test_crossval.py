@@ -1,8 +1,12 @@
+import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from panel_rows import rows
-from panelyard.operators.crossval import assign_folds, cv_report, cv_rmse, make_folds
+from panelyard.operators import ranks
+from panelyard.operators.crossval import assign_folds, cv_report, cv_rmse, fold_index, fold_roles, make_folds
 
 
 def make(seed=0, n=25):
@@ -162,3 +166,38 @@ def test_slopes_when_left_out_rows_are_on_a_larger_scale(spark, scale):
     got = {r["fold"]: r for r in cv_rmse(df, "y", ["a"], "entity", "year").collect()}
     want = within_slopes([r for r in data if r[1] > 1994])
     assert got[1]["status"] == "ok" and got[1]["b_a"] == pytest.approx(want[0], rel=1e-9)
+
+
+def test_fold_index_lies_where_brute_force_says(spark):
+    """Limits that no period has, folds listed backwards, and periods that repeat."""
+    draw = random.Random(6)
+    axis = sorted(draw.sample(range(0, 400, 2), 120))
+    listed = {f: [draw.randrange(-5, 410) for _ in range(5)] for f in range(40)}
+    df = spark.createDataFrame([(p,) for p in axis for _ in range(2)] + [(None,)], "year int")
+    folds = spark.createDataFrame([(f, i + 1, p) for f, own in listed.items() for i, p in enumerate(own)], "fold int, pos int, period int")
+    index, _, _ = fold_index(df, folds, "year")
+    for r in index.collect():
+        first, last = listed[r["fold"]][0], listed[r["fold"]][-1]
+        assert (r["before"], r["after"], r["n"]) == (sum(p < first for p in axis), sum(p <= last for p in axis), len(axis))
+    want = []
+    for f, own in listed.items():
+        for p in axis:
+            train, test = p < own[0] or p > own[-1], p in own
+            if train or test:
+                want.append((f, p, train, test))
+    assert sorted(map(tuple, fold_roles(df, folds, "year").collect())) == sorted(want)
+
+
+def test_many_folds_on_a_long_axis(spark):
+    """10^4 periods and 10^4 folds: the index has a row for each, never their product."""
+    df = spark.range(10_000).select(F.col("id").cast("int").alias("year"))
+    folds = make_folds(df, "year", 3)
+    index, axis, members = fold_index(df, folds, "year")
+    assert index.count() == 9998 and axis.count() == 10_000 and members.count() == 3 * 9998
+    assert index.filter("before <> fold - 1 or after <> fold + 2").count() == 0
+
+
+def test_make_folds_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranks.cumulative_counts, "__defaults__", ((), 10, None))
+    df = spark.range(60).select((F.col("id") * 3).cast("int").alias("year"))
+    assert sorted(map(tuple, make_folds(df, "year", 5).collect())) == [(f, i, 3 * (f + i - 2)) for f in range(1, 57) for i in range(1, 6)]

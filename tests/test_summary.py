@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panel_rows import rows
-from panelyard.operators import ranks
+from panelyard.operators import ranges, selection, sizing
 from panelyard.operators.diagnostics import bh_adjust
 from panelyard.operators.ranks import cumulative_counts
 from panelyard.operators.summary import (
@@ -57,14 +57,63 @@ def test_summary_table(spark):
     ])
 
 
-def test_summary_table_beyond_the_sample(spark, monkeypatch):
-    """Brackets from a sample; a third of the rows are one value; and brackets that miss."""
-    monkeypatch.setattr(ranks, "SAMPLE_ROWS", 150)
+def test_summary_table_of_awkward_values(spark):
+    """A third of the rows are one value; both zeros, both infinities, neighbours in the last bit."""
     rng = np.random.default_rng(2)
     values = list(rng.normal(size=2000)) + [0.25] * 1000
-    check_summary(spark, [values, list(rng.exponential(size=3000))])
-    monkeypatch.setattr(ranks, "_brackets", lambda shares, edges: [(-1e9, -1e8)] if edges else [(-np.inf, np.inf)])
-    check_summary(spark, [values])
+    close = [float(np.nextafter(1.0, 2.0)) if i % 2 else 1.0 for i in range(3000)]
+    wide = [float(x) for x in np.r_[10.0 ** rng.uniform(-300, 300, 1500), -(10.0 ** rng.uniform(-300, 300, 1499)), 0.0]]
+    check_summary(spark, [values, list(rng.exponential(size=3000)), close, wide, [0.0, -0.0, 1.0] * 1000])
+    ends = spark.createDataFrame([(float("inf"),)] * 6 + [(float("-inf"),)] * 3 + [(1.0,)], "v double")
+    r = summary_table(ends, ["v"]).first()
+    assert (r["min"], r["median"], r["q3"], r["max"]) == (float("-inf"), float("inf"), float("inf"), float("inf"))
+
+
+def test_order_keys():
+    rng = np.random.default_rng(7)
+    values = np.r_[rng.normal(size=500), 10.0 ** rng.uniform(-320, 308, 500), -(10.0 ** rng.uniform(-320, 308, 500)), 0.0, np.inf, -np.inf]
+    keys = selection.order_keys(values)
+    assert (np.argsort(keys, kind="stable") == np.argsort(values, kind="stable")).all()
+    assert (selection.key_values(keys) == values).all()
+    assert selection.order_keys(np.array([-0.0])) == selection.order_keys(np.array([0.0]))
+
+
+@pytest.mark.parametrize("values", ["rounded", "one digit"])
+def test_select_ranks(spark, monkeypatch, values):
+    """Values that differ in their last digit only take a pass for every digit."""
+    passes, made = [], selection._counters
+    monkeypatch.setattr(selection, "_counters", lambda *a: passes.append(a[2:]) or made(*a))
+    rng = np.random.default_rng(9)
+    n = 5000 if values == "rounded" else 200_000
+    a = np.round(rng.normal(size=n), 2) if values == "rounded" else (np.float64(1.5).view(np.int64) + rng.integers(0, 60_000, n)).view(np.float64)
+    ids = spark.createDataFrame([(i, float(x)) for i, x in enumerate(a)], "i int, a double").repartition(3)
+    df = ids.select("a", F.when(F.col("i") % 3 > 0, -F.col("a")).alias("b"))
+    known = np.sort(-a[np.arange(n) % 3 > 0])
+    ranks = [0, 1, 777, len(known) - 1]
+    got = selection.select_ranks(df, [ranks, ranks])
+    assert [got[0][r] for r in ranks] == np.sort(a)[ranks].tolist() and [got[1][r] for r in ranks] == known[ranks].tolist()
+    assert len(passes) == (2 if values == "rounded" else 4)
+
+
+def test_ten_million_rows_with_heavy_ties(spark):
+    """Nothing is kept: no cached table, and counters only on the way."""
+    n = 10_000_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise((F.col("id") * 7919 % n) / 1024).alias("v"))
+    before = len(sizing._KEPT)
+    row = summary_table(df, ["v"]).first()
+    values = np.sort(np.where(np.arange(n) % 3 == 0, 0.5, (np.arange(n) * 7919 % n) / 1024))
+    assert [row[c] for c in ("min", "q1", "median", "q3", "max")] == np.quantile(values, POINTS).tolist()
+    assert len(sizing._KEPT) == before
+
+
+def test_numbered_ranges_split_ties(spark):
+    """All rows in three values: ranges stay within the bound, in order."""
+    df = spark.range(6000).select((F.col("id") % 3).alias("v"), "id")
+    ranged = ranges.numbered_ranges(df, [F.col("v"), F.col("id")], ranges.range_count(6000, 500))
+    found = ranged.groupBy("_range").agg(F.count("*").alias("n"), F.min(F.struct("v", "id")).alias("lo"), F.max(F.struct("v", "id")).alias("hi"))
+    found = sorted(found.collect(), key=lambda r: r["_range"])
+    assert len(found) > 12 and max(r["n"] for r in found) <= 500
+    assert all(a["hi"] < b["lo"] for a, b in zip(found, found[1:]))
 
 
 def test_cumulative_counts_over_blocks(spark):
@@ -79,15 +128,6 @@ def test_cumulative_counts_over_blocks(spark):
         assert r["cum"] == sum(v <= r["v"] for v in group)
 
 
-def test_blocks_of_many_splits(spark):
-    rng = np.random.default_rng(6)
-    for n in (1, 2, 3, 10, 50):
-        splits = sorted(float(x) for x in rng.integers(0, 100, n))
-        df = spark.createDataFrame([(float(v),) for v in range(-1, 102)] + [(None,)], "v double")
-        for v, b in df.select("v", ranks.block_of("v", splits)).collect():
-            assert b == (n + 1 if v is None else sum(s < v for s in splits))
-
-
 def bh(p):
     """Benjamini-Hochberg by its definition."""
     p = np.asarray(p)
