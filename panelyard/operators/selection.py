@@ -2,7 +2,7 @@
 
 A double becomes a 64-bit key of the same order. Each pass counts one digit of the keys, for the
 rows whose higher digits are those of a wanted rank; the counters say which digit the rank has and
-how many rows lie below. No value is kept and nothing is sorted: what a task emits and what reaches
+how many rows lie below it. No value is kept and nothing is sorted: what a task emits and what reaches
 the driver are at most COUNTERS counters for each wanted prefix.
 """
 
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIGIT = 16
+DIGIT = 20
+HELD = 4_000_000   # counters a task holds before it adds up equal ones
 COUNTERS = 1 << DIGIT
 _SIGN = np.uint64(1 << 63)
 
@@ -39,26 +40,31 @@ def _count_task(prefixes: Sequence[np.ndarray | None], above: int, below: int):
 
     def counted(values: pa.Array, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         keys = order_keys(values.drop_null().to_numpy(zero_copy_only=False))
-        if wanted is None:
-            n = np.bincount((keys >> np.uint64(below)).astype(np.int64), minlength=COUNTERS)
-            cells = np.flatnonzero(n)
-            return cells.astype(np.uint64), n[cells]
-        if not len(wanted):
-            return keys[:0], np.zeros(0, np.int64)
-        high = keys >> np.uint64(above)
-        at = np.minimum(np.searchsorted(wanted, high), len(wanted) - 1)
-        return np.unique(keys[wanted[at] == high] >> np.uint64(below), return_counts=True)
+        if wanted is not None:
+            high = keys >> np.uint64(above)
+            at = np.minimum(np.searchsorted(wanted, high), max(0, len(wanted) - 1))
+            keys = keys[wanted[at] == high] if len(wanted) else keys[:0]
+        return np.unique(keys >> np.uint64(below), return_counts=True)
+
+    def together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        cells, n = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(cells, kind="stable")
+        cells, n = cells[order], n[order]
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
+        return cells[starts], np.add.reduceat(n, starts) if len(starts) else n
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in prefixes]
+        held = [[(np.zeros(0, np.uint64), np.zeros(0, np.int64))] for _ in prefixes]
+        size = 0
         for batch in batches:
             for i, wanted in enumerate(prefixes):
-                cells, n = counted(batch.column(i), wanted)
-                both, place = np.unique(np.r_[held[i][0], cells], return_inverse=True)
-                total = np.zeros(len(both), dtype=np.int64)
-                np.add.at(total, place, np.r_[held[i][1], n])
-                held[i] = (both, total)
-        for i, (cells, n) in enumerate(held):
+                held[i].append(counted(batch.column(i), wanted))
+                size += len(held[i][-1][0])
+            if size > HELD:
+                held = [[together(parts)] for parts in held]
+                size = 0
+        for i, parts in enumerate(held):
+            cells, n = together(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(cells), i, dtype=np.int32)), pa.array(cells.view(np.int64)), pa.array(n)], ["column", "cell", "n"]
             )
@@ -90,7 +96,7 @@ def select_ranks(df: DataFrame, ranks: Sequence[Sequence[int]]) -> list[dict[int
     counts = [{} for _ in ranks]
     while bits > 0:
         most = max((counts[i].get(p, 0) for i, own in enumerate(state) for p, _ in own.values()), default=0)
-        below = 0 if bits < 64 and most <= COUNTERS else bits - DIGIT
+        below = 0 if bits < 64 and most <= COUNTERS else max(0, bits - DIGIT)
         found = _counters(df, prefixes, bits, below)
         for i, (cells, n) in enumerate(found):
             parents = cells >> np.uint64(bits - below) if bits < 64 else np.zeros(len(cells), dtype=np.uint64)
@@ -105,15 +111,15 @@ def select_ranks(df: DataFrame, ranks: Sequence[Sequence[int]]) -> list[dict[int
     return [{r: float(key_values(np.array([p], dtype=np.uint64))[0]) for r, (p, _) in own.items()} for own in state]
 
 
-def exact_quantiles(df: DataFrame, counts: dict[str, int], points: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Linearly interpolated quantiles (position (n - 1) * p), one row per column. ``df`` holds
-    double columns without NaN, ``counts`` their numbers of non-NULL values."""
+def exact_quantiles(df: DataFrame, counts: dict[str, int], points: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles (position (n - 1) * p) of each column. ``df`` holds double
+    columns without NaN, ``counts`` their numbers of non-NULL values."""
     at = {c: [(n - 1) * p for p in points] if n else [] for c, n in counts.items()}
     ranks = [sorted({k for h in at[c] for k in (math.floor(h), math.ceil(h))}) for c in counts]
     found = select_ranks(df.select(*counts), ranks) if any(ranks) else [{} for _ in ranks]
-    rows = []
+    out = {}
     for c, own in zip(counts, found):
         low, high = ([own[f(h)] for h in at[c]] for f in (math.floor, math.ceil))
         values = [a if a == b else a + (h - math.floor(h)) * (b - a) for h, a, b in zip(at[c], low, high)]
-        rows.append((c, *(values or [None] * len(points))))
-    return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"{n} double" for n in names))
+        out[c] = values or [None] * len(points)
+    return out

@@ -57,7 +57,6 @@ def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Exact five-number summary, mean and NULL count, one row per column."""
     values = df.select(*[clean(F.col(c).cast("double")).alias(c) for c in cols])
     # One read for everything but the inner quantiles, and the passes of their selection.
-    inner, names = QUARTILES[1:-1], QUARTILE_NAMES[1:-1]
     row = values.agg(
         *[F.count(c).alias(f"n_{c}") for c in cols],
         *[F.avg(c).alias(f"mean_{c}") for c in cols],
@@ -66,12 +65,10 @@ def summary_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count("*").alias("n"),
     ).first()
     counts = {c: row[f"n_{c}"] for c in cols}
-    quantiles = exact_quantiles(values, counts, inner, names)
-    rest = df.sparkSession.createDataFrame(
-        [(c, row[f"min_{c}"], row[f"max_{c}"], row[f"mean_{c}"], row["n"] - counts[c]) for c in cols],
-        "column string, min double, max double, mean double, n_null long",
-    )
-    return rest.join(quantiles, "column", "left").select("column", *QUARTILE_NAMES, "mean", "n_null")
+    inner = exact_quantiles(values, counts, QUARTILES[1:-1])
+    rows = [(c, row[f"min_{c}"], *inner[c], row[f"max_{c}"], row[f"mean_{c}"], row["n"] - counts[c]) for c in cols]
+    kinds = ", ".join(f"{name} double" for name in (*QUARTILE_NAMES, "mean"))
+    return df.sparkSession.createDataFrame(rows, f"column string, {kinds}, n_null long")
 
 
 def histogram_table(df: DataFrame, col: str, bins: int | None = 20) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -84,12 +85,13 @@ def test_select_ranks(spark, monkeypatch, values):
     passes, made = [], selection._counters
     monkeypatch.setattr(selection, "_counters", lambda *a: passes.append(a[2:]) or made(*a))
     rng = np.random.default_rng(9)
-    n = 5000 if values == "rounded" else 200_000
-    a = np.round(rng.normal(size=n), 2) if values == "rounded" else (np.float64(1.5).view(np.int64) + rng.integers(0, 60_000, n)).view(np.float64)
-    ids = spark.createDataFrame([(i, float(x)) for i, x in enumerate(a)], "i int, a double").repartition(3)
+    n = 5000 if values == "rounded" else 1_100_000
+    a = np.round(rng.normal(size=n), 2) if values == "rounded" else (np.float64(1.5).view(np.int64) + rng.integers(0, 9, n)).view(np.float64)
+    ids = spark.createDataFrame(pd.DataFrame({"i": np.arange(n, dtype=np.int32), "a": a})).repartition(3)
     df = ids.select("a", F.when(F.col("i") % 3 > 0, -F.col("a")).alias("b"))
     known = np.sort(-a[np.arange(n) % 3 > 0])
     ranks = [0, 1, 777, len(known) - 1]
+    monkeypatch.setattr(selection, "COUNTERS", 100_000)
     got = selection.select_ranks(df, [ranks, ranks])
     assert [got[0][r] for r in ranks] == np.sort(a)[ranks].tolist() and [got[1][r] for r in ranks] == known[ranks].tolist()
     assert len(passes) == (2 if values == "rounded" else 4)
