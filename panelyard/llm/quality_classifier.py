@@ -255,13 +255,17 @@ def fit_quality(learnable: DataFrame, positives: DataFrame, key: str = "doc_id",
     if not marked["p"] or not marked["u"]:
         return QualityModel(np.zeros(SIZE + 1), 0.5)
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = trusted.filter(draw < min(1.0, rows / marked["p"])).limit(2 * rows).select("key", F.lit(True).alias("positive"))
+    chosen = trusted.filter(draw < min(1.0, rows / marked["p"])).orderBy(draw, "key").limit(2 * rows).select("key", F.lit(True).alias("positive"))
     others = docs.select("key").filter(draw < min(1.0, rows / marked["u"])).join(trusted, "key", "left_anti")
-    chosen = chosen.union(others.distinct().limit(2 * rows).select("key", F.lit(False)))
-    sampled = docs.join(F.broadcast(chosen), "key")   # at most 4 * rows keys
+    chosen = chosen.union(others.distinct().orderBy(draw, "key").limit(2 * rows).select("key", F.lit(False)))
+    # At most 4 * rows keys, and of rows with one key a single text, chosen by itself: however often
+    # an id repeats and however the rows lie, the same rows fit the model.
+    sampled = docs.join(F.broadcast(chosen), "key").groupBy("key", "positive").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    )
     made = sampled.select("positive", fold_of().alias("fold"),
                           F.xxhash64("key", "text").alias("place"), arrow_column(feature_kernel, "x binary", "text")["x"].alias("x"))
-    got = made.limit(4 * rows).toArrow()
+    got = made.toArrow()
     place, positive, fold = (np.array(got.column(c).to_pylist()) for c in ("place", "positive", "fold"))
     order = np.argsort(place, kind="stable")
     positive, fold = positive[order].astype(bool), fold[order]

@@ -84,3 +84,15 @@ def test_prior_is_of_all_learnable_rows(spark, monkeypatch, rows):
     model = fit_quality(docs, docs.filter("doc_id < 300").select("doc_id"), rows=rows)
     assert seen == [(300, 900)] and abs(model.prior - 0.5) < 0.15
     assert len(fitted) == quality.FOLDS + 1 and max(fitted[:-1]) < fitted[-1]
+
+
+def test_one_id_on_very_many_rows(spark):
+    """Which rows fit the model does not hang on how the rows lie."""
+    import numpy as np
+
+    rows = [(i, f"text number {i} with some words, and {'more' * (i % 5)}.") for i in range(400)]
+    rows += [(7, f"another text {i} under one id {'!' * (i % 9)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(0, 400, 3)] + [(7,)], "doc_id long")
+    a, b = (fit_quality(df.repartition(n), good, rows=60) for n in (3, 8))
+    assert np.abs(a.weights).sum() > 0 and np.allclose(a.weights, b.weights, atol=1e-6) and a.prior == pytest.approx(b.prior)
