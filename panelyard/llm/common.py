@@ -35,9 +35,11 @@ def tokenizer_path(name: str) -> str:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder inside the one the cluster shares (``spark.checkpoint.dir``). Only where
-    that is unset, as in tests, a temporary folder of this machine takes its place."""
+    that is unset and all runs on this machine, as in tests, a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if "scratch" not in _OWN:
             _OWN["scratch"] = "file://" + tempfile.mkdtemp(prefix="panelyard-")
         base = _OWN["scratch"]

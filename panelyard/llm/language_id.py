@@ -29,8 +29,9 @@ from panelyard.llm.registry import query
 
 CELLS = 1 << 14
 ORDERS = (1, 2, 3)
-PER_LANGUAGE = 1200      # sampled rows per language: the bound of the fit
-MAX_LANGUAGES = 1000
+PER_LANGUAGE = 1200      # sampled rows per language, and
+SAMPLE = 60_000          # of all languages: the bounds of the fit; a language has LEAST_ROWS at least
+LEAST_ROWS = 8
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 SCALE = 20.0             # of the features: shares of grams are small numbers
@@ -212,29 +213,31 @@ def fit_language_model(learnable: DataFrame, text: str = "text", lang: str = "la
         F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")
     ).dropna()
     place = F.xxhash64("key", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct(place).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct(place).alias("n")).collect()}
+    per_language = min(per_language, max(LEAST_ROWS, SAMPLE // max(1, len(sizes))))
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, CELLS)), np.zeros(0), 1.0)
     frequency = vector_sum(rows, frequency_kernel, "text", CELLS + 1)
     idf = np.log((1.0 + frequency[CELLS]) / (1.0 + frequency[:CELLS])) + 1.0
 
-    share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_language / n))])
+    # A row per language: broadcast while there are few.
+    shares = [(lang, min(1.0, per_language / n)) for lang, n in sizes.items()]
+    share = rows.sparkSession.createDataFrame(shares, "lang string, share double")
     draw = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
     # Repeated rows are drawn together and made one here, so the number drawn has its bound.
-    chosen = rows.filter(draw < share[F.col("lang")]).groupBy("lang", place.alias("place")).agg(
+    chosen = rows.join(share, "lang").filter(draw < F.col("share")).groupBy("lang", place.alias("place")).agg(
         F.first("key").alias("key"), F.first("text").alias("text")
     )
     sample = chosen.select(
         "lang", F.pmod(F.xxhash64("text", "key") / 64, F.lit(VALIDATION)).cast("int").alias("fold"),
         arrow_column(sample_kernel, "cells array<int>, counts array<int>", "text").alias("x"),
-    ).select("lang", "fold", "x.cells", "x.counts").toArrow().to_pydict()
+    ).select("lang", "fold", "x.cells", "x.counts").toArrow()
+    sample = {"lang": sample["lang"].to_pylist(), "fold": sample["fold"].to_pylist(), "cells": lists(sample["cells"]), "counts": lists(sample["counts"])}
 
     number = {lang: i for i, lang in enumerate(languages)}
     train, calibrate = ([], []), ([], [])
-    order = sorted(range(len(sample["lang"])), key=lambda i: (sample["lang"][i], sample["cells"][i], sample["counts"][i]))
+    order = sorted(range(len(sample["lang"])), key=lambda i: (sample["lang"][i], sample["cells"][i].tolist(), sample["counts"][i].tolist()))
     for i in order:
         cells, counts = np.array(sample["cells"][i], dtype=np.int64), np.array(sample["counts"][i], dtype=float)
         if not len(cells):
@@ -251,6 +254,13 @@ def fit_language_model(learnable: DataFrame, text: str = "text", lang: str = "la
     return LanguageModel(languages, scaled, weights[CELLS] / temperature, temperature)
 
 
+def lists(column) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of one array."""
+    flat = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    values, edges = flat.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(flat.value_lengths().to_numpy())]
+    return [values[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
 def language_column(model: LanguageModel, text: str | Column = "text") -> Column:
     """A struct of ``lang_pred`` and ``score``."""
     return arrow_column(model.kernel(), "lang_pred string, score double", text)

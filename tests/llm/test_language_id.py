@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from llm_helpers import SF, awkward_docs, needs_data
 from pyspark.sql import functions as F
 
@@ -84,3 +85,27 @@ def test_repeated_rows_do_not_displace_others(spark):
     finally:
         module.train_ftrl = train
     assert once.languages == ["de", "en"] and seen[0] == seen[1] > 0
+
+
+def test_more_languages_than_before(spark):
+    """1100 languages fit within the sample of all; nothing raises."""
+    rows = [(i, f"word{i % 1100} {'abcdefghij'[i % 10] * 5}", f"l{i % 1100}") for i in range(2200)]
+    model = fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 1100
+
+
+def test_scratch_needs_a_shared_folder_off_this_machine():
+    from panelyard.llm.common import scratch_dir
+
+    class Session:
+        class conf:
+            values = {"spark.master": "spark://somewhere:7077"}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.values.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Session)
+    Session.conf.values["spark.checkpoint.dir"] = "hdfs://shared/x"
+    assert scratch_dir(Session).startswith("hdfs://shared/x/")
