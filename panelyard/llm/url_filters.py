@@ -3,7 +3,7 @@
 The host's labels, reversed and each closed by a dot, and then the path make a key in which a
 rule (host, path) is an interval: of all keys that begin with its own. Intervals of such rules
 are nested or apart. A rule also fits subdomains, whose labels come before the path, so a URL is
-looked up once for each of its host's suffixes: as many keys as it has labels.
+looked up by those suffixes of its host that have as many labels as some rule's host.
 
 Openings and closings of rules and the URLs' keys are sorted into ranges. The running sum of
 openings less closings is the height of the stack of active rules; the rule on top at height h
@@ -59,9 +59,9 @@ def filter_urls(
     pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = DEFAULT, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """(key, host, path, rule, verdict) for each row of ``pages``. ``rules``: host, path, verdict."""
-    urls = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"))
-    urls = urls.groupBy("id", "url").agg(F.count("*").alias("copies"))
-    urls = stored(urls.select("id", "url", "copies", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")))
+    rows = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").cast("string").alias("url"))
+    place = [url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")]
+    urls = stored(rows.distinct().select("id", "url", *place))
 
     given = rules.select(
         F.col("host").cast("string").alias("host"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"),
@@ -78,7 +78,9 @@ def filter_urls(
     # Text has no byte 0xFF: it closes the interval after every key that begins with it.
     closed = opened.select(F.concat("key", F.lit(bytearray(b"\xff"))).alias("key"), F.lit(-1).alias("step"), F.lit(None).cast(opened.schema["rule"].dataType).alias("rule"))
     labels = F.split("host", r"\.")
-    suffix = F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("depth")
+    # Numbers of labels that rules' hosts have: all that can meet a rule, however long a host is.
+    depths = sorted(r["d"] for r in given.select(F.size(labels).alias("d")).distinct().collect())
+    suffix = F.explode(F.filter(F.array(*[F.lit(d) for d in depths]).cast("array<int>"), lambda d: d <= F.size("labels"))).alias("depth")
     points = urls.withColumn("labels", labels).select("id", "url", "labels", "path", suffix).select(
         key_bytes(host_key(F.expr("slice(labels, -depth, depth)")), F.col("path")).alias("key"),
         F.lit(0).alias("step"), F.lit(None).cast(opened.schema["rule"].dataType).alias("rule"), "id", "url",
@@ -108,11 +110,11 @@ def filter_urls(
     topped = placed.withColumn("own", F.last("rule", ignorenulls=True).over(at_height)).filter("step = 0")
     best = topped.join(stack, ["range", "height"], "left").groupBy("id", "url").agg(F.max(F.coalesce("own", "below")).alias("own"))
 
-    found = urls.join(
-        best.select(F.col("id").alias("b_id"), F.col("url").alias("b_url"), "own"),
-        F.col("id").eqNullSafe(F.col("b_id")) & F.col("url").eqNullSafe(F.col("b_url")), "left",
+    # Rows as they came, each with the verdict of its key and URL: one row on the other side.
+    best = stored(best.filter("own is not null").select(F.col("id").alias("b_id"), F.col("url").alias("b_url"), "own"))
+    found = rows.select("id", "url", *place).join(
+        best, F.col("id").eqNullSafe(F.col("b_id")) & F.col("url").eqNullSafe(F.col("b_url")), "left"
     )
-    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return found.select(
         F.col("id").alias(key), "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", F.lit(default)).alias("verdict")
     )

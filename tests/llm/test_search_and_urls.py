@@ -116,3 +116,21 @@ def test_urls_use_no_python(spark):
     plan = filter_urls(pages, spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string"))
     text = plan._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "CartesianProduct" not in text
+
+
+def test_hosts_of_many_labels(spark):
+    """Only suffixes that some rule's host can equal are looked up."""
+    long_host = "a." * 100_000 + "b.example.com"
+    rows = [(1, f"http://{long_host}/x"), (2, "http://example.com/y"), (3, "http://c.d.example.com/x/z"), (4, None)] + [(5, "http://e.org/")] * 3
+    rules = [("com", "", "allow"), ("b.example.com", "/x", "block"), ("c.d.example.com", "/x", "block"), ("example.com", "/y", "block")]
+    made = filter_urls(
+        spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    ).collect()
+    assert sorted((r.page_id, r.verdict) for r in made) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow")] + [(5, "allow")] * 3
+    assert next(r.host for r in made if r.page_id == 1) == long_host
+
+
+def test_a_product_beyond_64_bits_raises(spark):
+    rows = [(0, [3e15, 3e15]), (1, [3e15, 3e15])]
+    with pytest.raises(Exception, match="64 bits"):
+        exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
