@@ -6,7 +6,8 @@ has ranks only, so a piece's probability is taken as falling with its rank by Zi
 best score of a prefix depends on the prefix alone: distinct pre-tokens are put into a trie and
 each node's forward score and number of tokens are computed once, however many words share it.
 Where a word ends, the node's number is its count. A worker keeps trie and counts from batch to
-batch, up to a bound.
+batch, up to a bound. A word longer than LONG has no nodes: its scores are computed in a window of
+the longest piece.
 
 Defined results. Text NULL, empty or without words: no pre-tokens, no tokens. Words are maximal
 runs of characters other than 0x20 and 0x09-0x0D, of any length. A character without a piece
@@ -30,6 +31,7 @@ from panelyard.llm.registry import query
 VOCABULARY = "piece_bpe_32k.model"
 BYTE_SCORE = -20.0       # of each byte of a character without a piece
 NODES = 1_000_000        # of a worker's trie; then it starts anew
+LONG = 100_000           # characters of a word that goes without nodes
 WORD_MEMO = 500_000      # words whose counts a worker remembers
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,7 +48,7 @@ class PieceTrie:
     """Forward scores of all prefixes of the words put in."""
 
     def __init__(self, scores: dict[str, float], nodes: int = NODES):
-        self.scores, self.bound = scores, nodes
+        self.scores, self.bound, self.longest = scores, nodes, max(map(len, scores), default=1)
         # Lengths of pieces by their last two characters: what can end at a position.
         ends: dict[str, set[int]] = {}
         for piece in scores:
@@ -58,8 +60,35 @@ class PieceTrie:
         self.child: dict[tuple[int, str], int] = {}
         self.best, self.count = [0.0], [0]
 
+    def windowed(self, word: str) -> int:
+        """The same for a word too long for the trie: only the last scores that a piece can reach
+        back to are held."""
+        scores, ends, width = self.scores, self.ends, self.longest + 1
+        best, count = [0.0] * width, [0] * width
+        for d, char in enumerate(word, 1):
+            before = (d - 1) % width
+            if char in scores:
+                top, number = best[before] + scores[char], count[before] + 1
+            else:
+                size = len(char.encode("utf-8", "surrogatepass"))
+                top, number = best[before] + size * BYTE_SCORE, count[before] + size
+            if d > 1:
+                for size in ends.get(word[d - 2:d], ()):
+                    if size > d:
+                        break
+                    score = scores.get(word[d - size:d])
+                    if score is not None:
+                        at = (d - size) % width
+                        total = best[at] + score
+                        if total > top or (total == top and count[at] + 1 < number):
+                            top, number = total, count[at] + 1
+            best[d % width], count[d % width] = top, number
+        return count[len(word) % width]
+
     def add(self, word: str) -> int:
         """Put a word in; the number of tokens of its best segmentation."""
+        if len(word) > LONG:
+            return self.windowed(word)
         if len(self.best) + len(word) > self.bound and len(self.best) > 1:
             self.clear()
         child, best, count, scores, ends = self.child, self.best, self.count, self.scores, self.ends

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from panelyard.llm.common import tokenizer_path
 from panelyard.llm.piece_encoding import VOCABULARY, Encoder, Normaliser, decoded_column, encoded_column, op9_sentencepiece
 from panelyard.llm.piece_model import read_model
+from panelyard.llm.piece_model import SPACE
 from panelyard.llm.token_counts import BYTE_SCORE, PieceTrie, op5_token_counts, token_counts, unigram_scores
 
 TEXT = st.text(st.one_of(st.sampled_from("abt  \n\té▁ﬁ中😀\x00<s>ñ  ①ｶﾞ"), st.characters(codec="utf-8")), max_size=40)
@@ -115,3 +116,22 @@ def test_count_query(spark, data):
             if w not in known:
                 known[w] = best_count("▁" + w, scores)
         assert got[key] == sum(known[w] for w in text.split())
+
+
+def test_very_long_words_need_no_nodes(data, monkeypatch):
+    """A window gives the trie's counts, and ten million characters take little memory."""
+    import random
+    import tracemalloc
+
+    import panelyard.llm.token_counts as counts
+
+    trie, draw = PieceTrie(unigram_scores(data)), random.Random(4)
+    for word in ["".join(draw.choices("therandomwordsé日1", k=n)) for n in (1, 2, 5, 40, 700, 3000)]:
+        assert trie.windowed(SPACE + word) == trie.add(SPACE + word)
+    monkeypatch.setattr(counts, "LONG", 100)
+    long = "".join(draw.choices("abcdefgh", k=300_000))
+    trie.clear()
+    tracemalloc.start()
+    assert trie.add(long) > 0 and len(trie.best) == 1
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000   # the word itself is not copied
+    tracemalloc.stop()
