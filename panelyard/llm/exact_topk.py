@@ -150,17 +150,17 @@ def exact_topk(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector
 
 @query("""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.vec_id AS query_id, q.n, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.n <> c.n
 ), ranked AS (
   SELECT query_id, vec_id, score,
-         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+         row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank
   FROM pairs
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
