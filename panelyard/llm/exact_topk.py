@@ -3,8 +3,11 @@
 A vector is cut into segments; each keeps its mean and its deviation (the norm of what is left
 after the mean). For two vectors the inner product is at most the sum over segments of
 length x mean x mean' + deviation x deviation' (Cauchy-Schwarz), which is the same as a lower
-bound of their distance. Bounds go from few segments to many; what could still be among the k
-best after the finest gets its exact integer product.
+bound of their distance. Bounds go from few segments to many, each for the pairs that the one
+before left open; a pair that could still be among the k best after the finest gets its exact
+integer product, and no other pair does. Before that, a step of candidates (put in order by the
+signs of their coarse means, so that like ones lie together) falls as a whole for every query whose
+bound against the step's envelope, the ranges of its means and its largest deviations, is too low.
 
 Queries and candidates are dealt to blocks; a candidate goes once to each block of queries.
 Each pair of blocks is one group of bounded size that returns k rows per query; those are
@@ -30,10 +33,11 @@ from panelyard.llm.registry import query
 
 SCALE = 1024
 K = 10
-SEGMENTS = (4, 16)       # coarse, fine
+SEGMENTS = (4, 16, 32)   # coarse to fine
+PAIRS = 1 << 16          # pairs multiplied at once
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-STEP = 1024              # candidates bounded at once, with the thresholds of those before
+STEP = 128               # candidates bounded at once, with the thresholds of those before
 
 
 def whole_numbers(vector: str) -> Column:
@@ -59,66 +63,108 @@ def segment_bounds(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(means + deviations, axis=1)
 
 
-def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products of rows: in floating point where that is exact, else in Python's ints."""
+def pair_products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer products of the rows a[i] and b[j]: in floating point where that is exact."""
     most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    exact = a.astype(object) @ b.T.astype(object)
-    if any(abs(v) >= 2**63 for v in exact.ravel()):
-        raise OverflowError("an inner product exceeds 64 bits")
-    return exact.astype(np.int64)
+    out = np.zeros(len(i), dtype=np.int64)
+    kind = np.float64 if most < 2**53 else object
+    a, b = a.astype(kind), b.astype(kind)
+    for lo in range(0, len(i), PAIRS):
+        part = slice(lo, lo + PAIRS)
+        if kind is object:
+            exact = (a[i[part]] * b[j[part]]).sum(axis=1)
+            if any(abs(v) >= 2**63 for v in exact):
+                raise OverflowError("an inner product exceeds 64 bits")
+        else:
+            exact = np.einsum("ij,ij->i", a[i[part]], b[j[part]])
+        out[part] = exact.astype(np.int64)
+    return out
+
+
+def sign_order(coarse: np.ndarray) -> np.ndarray:
+    """Candidates by the signs of their coarse means, then by the first mean."""
+    means = coarse[:, :max(1, coarse.shape[1] // 2)]
+    bits = (means > 0) @ (1 << np.arange(means.shape[1]))
+    return np.lexsort((means[:, 0], bits))
 
 
 def block_topk(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndarray, c_id: np.ndarray, k: int):
-    """(query index, candidate index, score) of each query's k best, best first. ``c_id`` holds
-    the ids' rank order for ties."""
-    n = len(q)
-    best = [[] for _ in range(n)]              # (-score, id, candidate) sorted, at most k
+    """Each query's k best as sorted (-score, id's rank, candidate index), and what was compared: pairs
+    in all, pairs whose step fell as a whole, and pairs with an exact product. ``c_id`` holds the ids'
+    rank order for ties."""
+    n, counts = len(q), {"pairs": len(q) * len(c), "steps": 0, "exact": 0}
+    best = [[] for _ in range(n)]
     least = np.full(n, -np.inf)                # the k-th best score so far
     levels = [(segment_bounds(q, s), segment_bounds(c, s)) for s in SEGMENTS]
     slack = 1e-9 * np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) + 1e-6
     norm = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
+    order = sign_order(levels[0][1])
     for lo in range(0, len(c), STEP):
-        hi = min(lo + STEP, len(c))
-        room = slack[:, None] * (1.0 + norm[lo:hi])[None, :]
-        rows, open_ = np.arange(n), np.ones((n, hi - lo), dtype=bool)
-        for eq, ec in levels:
-            bound = eq[rows] @ ec[lo:hi].T
-            open_ = open_[:] & (bound + room[rows] >= least[rows][:, None])
-            alive = open_.any(axis=1)
-            rows, open_ = rows[alive], open_[alive]
-        open_ &= q_row[rows][:, None] != c_row[lo:hi][None, :]
-        wanted = open_.any(axis=0)
-        if not wanted.any():
+        own = order[lo:lo + STEP]
+        # The envelope: per segment the better end of the means, and the largest deviation.
+        rows = np.arange(n)
+        for eq, ec in levels[:-1]:
+            half, part = eq.shape[1] // 2, ec[own]
+            high, low = part[:, :half].max(axis=0), part[:, :half].min(axis=0)
+            mean = eq[rows, :half]
+            bound = np.maximum(mean * high, mean * low).sum(axis=1) + eq[rows, half:] @ part[:, half:].max(axis=0)
+            rows = rows[bound + slack[rows] * (1.0 + norm[own].max()) >= least[rows]]
+        counts["steps"] += (n - len(rows)) * len(own)
+        if not len(rows):
             continue
-        columns = np.flatnonzero(wanted) + lo
-        score = exact_products(q[rows], c[columns])
-        score_ok = open_[:, wanted] & (score >= least[rows][:, None])
-        for j in np.flatnonzero(score_ok.any(axis=1)):
-            i, hit = rows[j], np.flatnonzero(score_ok[j])
+        i, j = None, None
+        for eq, ec in levels:
+            if i is None:
+                open_ = eq[rows] @ ec[own].T + slack[rows][:, None] * (1.0 + norm[own])[None, :] >= least[rows][:, None]
+                open_ &= q_row[rows][:, None] != c_row[own][None, :]
+                x, y = np.nonzero(open_)
+                i, j = rows[x], own[y]
+            elif len(i) * 4 > len(rows) * len(own):   # most pairs are open: all products at once
+                bound = (eq[rows] @ ec[own].T)[x, y]
+                alive = bound + slack[i] * (1.0 + norm[j]) >= least[i]
+                x, y, i, j = x[alive], y[alive], i[alive], j[alive]
+            else:
+                alive = np.concatenate([
+                    np.einsum("ij,ij->i", eq[i[p:p + PAIRS]], ec[j[p:p + PAIRS]]) + slack[i[p:p + PAIRS]] * (1.0 + norm[j[p:p + PAIRS]]) >= least[i[p:p + PAIRS]]
+                    for p in range(0, len(i), PAIRS)
+                ]) if len(i) else np.zeros(0, dtype=bool)
+                x, y, i, j = x[alive], y[alive], i[alive], j[alive]
+        counts["exact"] += len(i)
+        score = pair_products(q, c, i, j)
+        good = score >= least[i]
+        i, j, score = i[good], j[good], score[good]
+        cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            query, hit = i[a], np.arange(a, b)
             if len(hit) > k:
-                cut = np.partition(score[j, hit], len(hit) - k)[len(hit) - k]
-                hit = hit[score[j, hit] >= cut]
-            merged = best[i] + [(-int(score[j, h]), int(c_id[columns[h]]), int(columns[h])) for h in hit]
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+            merged = best[query] + [(-int(score[h]), int(c_id[j[h]]), int(j[h])) for h in hit]
             merged.sort()
-            best[i] = merged[:k]
-            if len(best[i]) == k:
-                least[i] = -best[i][-1][0]
-    return best
+            best[query] = merged[:k]
+            if len(best[query]) == k:
+                least[query] = -best[query][-1][0]
+    return best, counts
+
+
+def matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table's column x, all of one length."""
+    lists = table.column("x").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(table.num_rows, -1)
 
 
 def search_groups(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = {"row": [], "query_id": [], "vec_id": [], "score": []}
         if queries.num_rows and candidates.num_rows:
-            q, c = (np.array(t.column("x").to_pylist(), dtype=np.int64).reshape(t.num_rows, -1) for t in (queries, candidates))
+            q, c = matrix(queries), matrix(candidates)
             ids = candidates.column("id").to_pylist()
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
             place = np.empty(len(ids), dtype=np.int64)
             place[order] = np.arange(len(ids))
             q_row, q_id = queries.column("row").to_numpy(), queries.column("id").to_pylist()
-            for i, found in enumerate(block_topk(q, q_row, c, candidates.column("row").to_numpy(), place, k)):
+            for i, found in enumerate(block_topk(q, q_row, c, candidates.column("row").to_numpy(), place, k)[0]):
                 for score, _, j in found:
                     out["row"].append(q_row[i])
                     out["query_id"].append(q_id[i])

@@ -134,3 +134,20 @@ def test_a_product_beyond_64_bits_raises(spark):
     rows = [(0, [3e15, 3e15]), (1, [3e15, 3e15])]
     with pytest.raises(Exception, match="64 bits"):
         exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+
+
+@needs_data
+def test_bounds_leave_few_exact_products(spark):
+    """Half of the pairs of the given vectors, and whole steps where vectors come in clusters."""
+    path = SF.replace("sf0.001", "sf0.1")
+    x = np.floor(1024 * np.array([r[0] for r in spark.read.parquet(f"{path}/embeddings.parquet").select("embedding").collect()])).astype(np.int64)
+    _, counts = topk.block_topk(x[::100], np.arange(0, len(x), 100), x, np.arange(len(x)), np.arange(len(x)), 10)
+    assert counts["exact"] < 0.6 * counts["pairs"]
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(16, 64)).repeat(4, axis=1)[:, :64] * 400
+    x = np.floor(centres[draw.integers(0, 16, 8000)] + draw.normal(size=(8000, 64)) * 20).astype(np.int64)
+    best, counts = topk.block_topk(x[::100], np.arange(0, 8000, 100), x, np.arange(8000), np.arange(8000), 10)
+    assert counts["steps"] > 0.5 * counts["pairs"] and counts["exact"] < 0.3 * counts["pairs"]
+    scores = x[::100] @ x.T
+    scores[np.arange(80), np.arange(0, 8000, 100)] = -(10**12)
+    assert [[-b[0] for b in own] for own in best] == (-np.sort(-scores, axis=1)[:, :10]).tolist()
