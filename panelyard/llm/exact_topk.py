@@ -35,6 +35,7 @@ SCALE = 1024
 K = 10
 SEGMENTS = (4, 16, 32)   # coarse to fine
 PAIRS = 1 << 16          # pairs multiplied at once
+SEEDS = 20               # times k: candidates of a query that are multiplied first
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
 STEP = 128               # candidates bounded at once, with the thresholds of those before
@@ -98,6 +99,35 @@ def block_topk(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndarra
     levels = [(segment_bounds(q, s), segment_bounds(c, s)) for s in SEGMENTS]
     slack = 1e-9 * np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) + 1e-6
     norm = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
+    seen = q_row[:, None] == c_row[None, :]    # pairs that need no product, or no other one
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        """Products of pairs, ordered by query, into the queries' best."""
+        counts["exact"] += len(i)
+        score = pair_products(q, c, i, j)
+        good = score >= least[i]
+        i, j, score = i[good], j[good], score[good]
+        cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            query, hit = i[a], np.arange(a, b)
+            if len(hit) > k:
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
+            merged = best[query] + [(-int(score[h]), int(c_id[j[h]]), int(j[h])) for h in hit]
+            merged.sort()
+            best[query] = merged[:k]
+            if len(best[query]) == k:
+                least[query] = -best[query][-1][0]
+
+    # The most promising candidates by the finest bounds first: after them the k-th best score of
+    # most queries is near its last value.
+    eq, ec = levels[-1]
+    m = min(SEEDS * k, len(c) - 1)
+    for lo in range(0, n, 128) if m > 0 else ():
+        top = np.argpartition(-(eq[lo:lo + 128] @ ec.T), m, axis=1)[:, :m]
+        i, j = np.repeat(np.arange(lo, lo + len(top)), m), top.ravel()
+        new = ~seen[i, j]
+        take(i[new], j[new])
+        seen[i, j] = True
     order = sign_order(levels[0][1])
     for lo in range(0, len(c), STEP):
         own = order[lo:lo + STEP]
@@ -116,7 +146,7 @@ def block_topk(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndarra
         for eq, ec in levels:
             if i is None:
                 open_ = eq[rows] @ ec[own].T + slack[rows][:, None] * (1.0 + norm[own])[None, :] >= least[rows][:, None]
-                open_ &= q_row[rows][:, None] != c_row[own][None, :]
+                open_ &= ~seen[np.ix_(rows, own)]
                 x, y = np.nonzero(open_)
                 i, j = rows[x], own[y]
             elif len(i) * 4 > len(rows) * len(own):   # most pairs are open: all products at once
@@ -129,20 +159,7 @@ def block_topk(q: np.ndarray, q_row: np.ndarray, c: np.ndarray, c_row: np.ndarra
                     for p in range(0, len(i), PAIRS)
                 ]) if len(i) else np.zeros(0, dtype=bool)
                 x, y, i, j = x[alive], y[alive], i[alive], j[alive]
-        counts["exact"] += len(i)
-        score = pair_products(q, c, i, j)
-        good = score >= least[i]
-        i, j, score = i[good], j[good], score[good]
-        cuts = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            query, hit = i[a], np.arange(a, b)
-            if len(hit) > k:
-                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
-            merged = best[query] + [(-int(score[h]), int(c_id[j[h]]), int(j[h])) for h in hit]
-            merged.sort()
-            best[query] = merged[:k]
-            if len(best[query]) == k:
-                least[query] = -best[query][-1][0]
+        take(i, j)
     return best, counts
 
 
