@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # one more exchange costs less than one task holding a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Spark's own default, put back where stored panels were joined without an exchange.
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }
 
 
