@@ -32,6 +32,7 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 1200      # sampled rows per language, and
 SAMPLE = 60_000          # of all languages: the bounds of the fit; a language has LEAST_ROWS at least
 LEAST_ROWS = 8
+BROADCAST = 100_000      # languages whose shares are broadcast
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-4
 SCALE = 20.0             # of the features: shares of grams are small numbers
@@ -221,9 +222,10 @@ def fit_language_model(learnable: DataFrame, text: str = "text", lang: str = "la
     frequency = vector_sum(rows, frequency_kernel, "text", CELLS + 1)
     idf = np.log((1.0 + frequency[CELLS]) / (1.0 + frequency[:CELLS])) + 1.0
 
-    # A row per language: broadcast while there are few.
+    # A row per language, in hand already: broadcast up to a number of them, so that no text is shuffled.
     shares = [(lang, min(1.0, per_language / n)) for lang, n in sizes.items()]
     share = rows.sparkSession.createDataFrame(shares, "lang string, share double")
+    share = F.broadcast(share) if len(shares) <= BROADCAST else share
     draw = F.pmod(place, F.lit(1 << 30)) / float(1 << 30)
     # Repeated rows are drawn together and made one here, so the number drawn has its bound.
     chosen = rows.join(share, "lang").filter(draw < F.col("share")).groupBy("lang", place.alias("place")).agg(

@@ -49,7 +49,7 @@ TOKENS = 64              # minhash tokens of a record
 CUT_SHARE = 0.1          # of the misses allowed, what the cut on equal tokens may take
 LEAF = 64                # records of a bucket that is searched rather than split
 DEPTH = 4                # levels of splitting
-COMMON = 0.7             # mean share of a token's commonest value from which a bucket is near copies
+COMMON = 0.5             # mean share of a token's commonest value from which a bucket is near copies
 SEEN, CELLS = 8, 8       # tokens looked at for that, and cells their values fall into
 BLOCK = 16384            # records searched at once; larger buckets go in pairs of blocks
 BLOCK_SHINGLES = 1_000_000   # shingles compared at once in a component
@@ -302,12 +302,11 @@ def searched_and_split(rows: DataFrame, choose, sketches: DataFrame) -> tuple[li
         large = level.filter(F.col("n") > LEAF)
         if large.isEmpty():
             break
-        shares = stored(large.groupBy("path").agg(common_share().alias("common")))
-        large = large.join(shares, "path")
-        leaves.append(large.filter(F.col("common") >= COMMON))
-        split = large.filter(F.col("common") < COMMON)
-        if shares.filter(F.col("common") < COMMON).isEmpty():
+        mixed = stored(large.groupBy("path").agg(common_share().alias("common")).filter(F.col("common") < COMMON).select("path"))
+        leaves.append(large.join(mixed, "path", "left_anti"))
+        if mixed.isEmpty():
             break
+        split = large.join(mixed, "path", "left_semi")
         deep.append(split.select("record", F.lit(depth + 1).alias("depth")))
         held = split.select("record", "mini", "path").join(sketches, "record")
         children = held.select("record", "mini", arrow_column(choose, "paths array<long>", "sketch", F.array("path")).alias("p"))
