@@ -5,9 +5,11 @@ from collections import Counter
 
 from llm_helpers import SF, awkward_docs, needs_data, words
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import panelyard.llm.ngram_join as join
+from panelyard.llm import components
 from panelyard.llm.components import connected_components
 from panelyard.llm.ngram_join import miss_probability, near_duplicates, one_per_class, op7_ngram_join
 
@@ -115,6 +117,27 @@ def test_long_chains(spark, order):
     assert [(r["label"], r["count"]) for r in labels] == [(min(ids), n)]
 
 
+def test_stars_connect_what_a_chunk_connected(monkeypatch):
+    """Stars of every chunk: same components, no more edges than before, few chunks held."""
+    draw = random.Random(3)
+    edges = [(draw.randrange(400), draw.randrange(400)) for _ in range(350)]
+    edges = [(a, b) for a, b in edges if a != b] + [(7, 9), (9, 7)]
+    place = {i: draw.randrange(-50, 50) for i in range(400)}   # many equal places
+    rows = {"a": [a for a, _ in edges], "b": [b for _, b in edges], "da": [place[a] for a, _ in edges], "db": [place[b] for _, b in edges]}
+    monkeypatch.setattr(components, "CHUNK", 40)
+    batches = list(pa.table(rows).to_batches(max_chunksize=20))
+    made = [tuple(r.values()) for batch in components.star_task(iter(batches)) for r in batch.to_pylist()]
+
+    def parts(pairs):
+        left, right = (np.array([p[i] for p in pairs]) for i in (0, 1))
+        return components.roots(400, left, right).tolist()
+
+    assert parts(made) == parts(edges) and len(made) <= len(edges)
+    assert list(components.star_task(iter([]))) == []
+    named = pa.RecordBatch.from_pydict({"a": ["x", "y"], "b": ["y", "z"], "da": [3, 1], "db": [1, 2]})
+    assert sorted(tuple(r.values()) for batch in components.star_task(iter([named])) for r in batch.to_pylist()) == [("x", "y"), ("z", "y")]
+
+
 def test_large_group_of_near_copies_is_not_split(spark, monkeypatch):
     """3000 near copies beside 3000 other texts: links of all pairs, and few path rows."""
     draw = random.Random(11)
