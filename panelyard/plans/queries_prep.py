@@ -19,6 +19,7 @@ from panelyard.operators.figures import cutoff_lines
 from panelyard.operators.joins import (
     attach_baseline, attach_dim, choropleth_table, join_panel, normal_name, resolve_entity,
 )
+from panelyard.operators.names import match_names
 from panelyard.operators.reshape import melt_years, pivot_mean
 from panelyard.operators.sets import distinct_values, union_fill, with_order_key
 from panelyard.operators.summary import (
@@ -560,3 +561,39 @@ def overall_mean(spark, sf):
 @query("""SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS name FROM customer""")
 def entity_names(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", normal_name(F.col("c_name")).alias("name"))
+
+
+_PLAIN = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_WORDS = "list_distinct(list_filter(string_split(" + _PLAIN + ", ' '), lambda w: w NOT IN ('', 'of', 'state')))"
+
+
+@query(f"""WITH raw AS (
+  SELECT CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN 'Greater ' || n_name WHEN 2 THEN n_nationkey || ' nation (State of)'
+              WHEN 3 THEN 'Nation' ELSE c_mktsegment END AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+counts AS (SELECT name, count(*) AS n_rows FROM raw GROUP BY name),
+named AS (SELECT name, {_PLAIN.format("name")} AS plain, {_WORDS.format("name")} AS own FROM counts),
+known AS (SELECT n_nationkey AS code, {_PLAIN.format("n_name")} AS plain, {_WORDS.format("n_name")} AS words FROM nation),
+pairs AS (
+  SELECT name, code, CASE WHEN named.plain = known.plain THEN 0 WHEN len(own) = len(words) THEN 1000
+                          ELSE 2000 + abs(len(own) - len(words)) END AS rule
+  FROM named JOIN known ON named.plain = known.plain OR list_has_all(own, words) OR list_has_all(words, own)),
+best AS (SELECT name, min(rule) AS rule FROM pairs GROUP BY name),
+hits AS (SELECT name, rule, count(DISTINCT code) AS n, min(code) AS code FROM pairs JOIN best USING (name, rule) GROUP BY 1, 2)
+SELECT counts.name, n_rows, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN rule = 0 THEN 'exact'
+         WHEN rule = 1000 THEN 'words' ELSE 'contained' END AS status,
+       CASE WHEN n = 1 THEN code END AS code, CAST(coalesce(n, 0) AS INTEGER) AS n_candidates
+FROM counts LEFT JOIN hits ON hits.name = counts.name""")
+def resolve_by_words(spark, sf):
+    """Spellings of nations that customers' rows use, against the nations' own names."""
+    nation = load(spark, sf, "nation")
+    rows = load(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.col("c_custkey") % 5
+    name = (
+        F.when(kind == 0, F.col("n_name")).when(kind == 1, F.concat(F.lit("Greater "), "n_name"))
+        .when(kind == 2, F.concat(F.col("n_nationkey").cast("string"), F.lit(" nation (State of)")))
+        .when(kind == 3, F.lit("Nation")).otherwise(F.col("c_mktsegment"))
+    )
+    found = match_names(rows.select(name.alias("name")), "name", nation, "n_name", "n_nationkey", ignore=["of", "state"])
+    number = F.when(F.col("candidates").isNull(), 0).otherwise(F.size("candidates"))
+    return found.select("name", F.col("rows").alias("n_rows"), "status", "code", number.alias("n_candidates"))

@@ -28,7 +28,7 @@ from panelyard.operators.crossval import cv_report, cv_rmse
 from panelyard.operators.diagnostics import bh_adjust, bp_test, bp_test_by, hausman
 from panelyard.operators.figures import band_table, cutoff_lines
 from panelyard.operators.filters import complete_cases, exclude, keep_groups_with_data, period_between, period_grid
-from panelyard.operators.joins import attach_dim, join_panel, resolve_entity
+from panelyard.operators.joins import attach_dim, join_panel, resolve_entity, unresolved_names
 from panelyard.operators.models import fit_between, fit_ols, fit_random, fit_within, normal_interval
 from panelyard.operators.projection import anchor_intercepts, project, scenario_summary
 from panelyard.operators.reshape import melt_years
@@ -64,6 +64,13 @@ def employment(raw: DataFrame, aliases: DataFrame) -> DataFrame:
     return complete_cases(df, ["countrycode"])
 
 
+def unresolved(t: Tables) -> DataFrame:
+    """Area names without a code, with their rows in each source; the panel leaves them out."""
+    sources = {"production": lower_names(t["production"]), "employment": lower_names(t["employment"]).filter(F.col("sex") == "Total")}
+    parts = [tag(unresolved_names(df.select("area"), "area", t["aliases"]), source=name) for name, df in sources.items()]
+    return parts[0].unionByName(parts[1])
+
+
 def gdppc_history(wide: DataFrame) -> DataFrame:
     wide = lower_names(wide)
     cols = columns_between(wide, "x1960", "x2019")
@@ -226,7 +233,7 @@ def ratio_study(t: Tables, coefs=S.RATIO_COEFS, anchor: int = 2008) -> dict[str,
     drivers = scenario_drivers(t["scenarios"], ["education", "gdppc", "urbanization"], S.RATIO_NOT_PROJECTED)
     proj = kept(project(drivers, anchors, "countrycode", terms(), coefs))
 
-    out = {"index": panel, "master": master, "projection": proj, "intercepts": anchors}
+    out = {"index": panel, "master": master, "projection": proj, "intercepts": anchors, "unresolved": unresolved(t)}
     out["baseline_map"] = baseline_average(
         panel, "countrycode", "year",
         {"index_log": "average", "value": "average_value", "employed": "average_employed"},

@@ -105,6 +105,9 @@ def test_ratio_study(spark, frames):
     f = frames
     out = ratio_study(to_spark(spark, f, RATIO_INPUTS))
 
+    assert sorted(tuple(r) for r in out["unresolved"].select("area", "rows", "source").collect()) == [
+        ("Nowhere", 1, "employment"), ("Nowhere", 1, "production"),
+    ]
     code = {f"land of {c.lower()}": c for c in CODES}
     v = f["production"].rename(columns=str.lower)
     v = v.assign(countrycode=v.area.str.lower().map(code), value=pd.to_numeric(v.value, errors="coerce")).drop(columns="area")
