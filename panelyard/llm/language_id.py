@@ -58,8 +58,10 @@ def grams(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.nd
     folded = table[codes]
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     letters = np.bincount(owner[folded > 0], minlength=len(texts)) > 0
-    # One gap before each text and between words, none repeated.
-    keep = (folded > 0) | np.r_[False, folded[:-1] > 0][: len(folded)]
+    # One gap after each word, none repeated; what stands before a text plays no part.
+    after = np.r_[False, folded[:-1] > 0][: len(folded)]
+    after[bounds[:-1][np.diff(bounds) > 0]] = False
+    keep = (folded > 0) | after
     folded, owner = folded[keep].astype(np.uint64), owner[keep]
     at, cells = [], []
     shift = np.uint64(64 - (CELLS.bit_length() - 1))

@@ -1,6 +1,8 @@
 """Language identification: accuracy on rows held out, and awkward rows."""
 
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,6 +45,83 @@ def test_without_learnable_rows_all_are_undetermined(spark):
     assert nameless.languages == []
 
 
+def plain_cells(text):
+    """Cells of a text's grams, one by one."""
+    seq, out = [], Counter()
+    for ch in text or "":
+        if unicodedata.category(ch)[0] == "L":
+            seq.append(ord(ch.lower()[0]))
+        elif seq and seq[-1]:
+            seq.append(0)
+    for order in (1, 2, 3):
+        for i in range(len(seq) - order + 1):
+            gram = seq[i:i + order]
+            if (order == 1 and not gram[0]) or (order == 3 and not gram[1]):
+                continue
+            key = order
+            for code in gram:
+                key = (key * 0x110000 + code) % 2**64
+            out[((key ^ key >> 29) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - 14)] += 1
+    return out
+
+
+def test_grams_do_not_depend_on_neighbours():
+    texts = ["ends in a letter", "\"quoted\" at first", "", None, "x", "1 digit", "Ünï çödé. ", " lead", "...", "ab"]
+    at, cells, _ = grams(texts, fold_table())
+    for i, t in enumerate(texts):
+        assert Counter(cells[at == i].tolist()) == plain_cells(t), t
+
+
+@needs_data
+def test_equals_a_plain_version(spark):
+    """Dense follow-the-regularised-leader on counted grams: the query's languages and scores."""
+    sf = SF.rsplit("/", 1)[0] + "/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    fold = F.pmod(F.xxhash64("text", "doc_id") / 64, F.lit(5)).cast("int").alias("fold")
+    rows = docs.select("*", fold).collect()
+    learn = [r for r in rows if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    languages = sorted({r.lang for r in learn})
+    assert max(Counter(r.lang for r in learn).values()) <= 1200   # all of them are the sample
+    df = np.array([0.0] * CELLS)
+    for r in learn:
+        df[list(plain_cells(r.text))] += 1
+    lettered = sum(bool(plain_cells(r.text)) for r in learn)
+    idf = np.log((1.0 + lettered) / (1.0 + df)) + 1.0
+
+    def features(text):
+        x, found = np.zeros(CELLS + 1), plain_cells(text)
+        for c, n in found.items():
+            x[c] = 20.0 * n / sum(found.values()) * idf[c]
+        x[CELLS] = 1.0
+        return x
+
+    sample = sorted({(r.lang, r.doc_id, r.text, r.fold) for r in learn if plain_cells(r.text)}, key=lambda r: (r[0], *map(list, zip(*sorted(plain_cells(r[2]).items())))))
+    k, train = len(languages), [r for r in sample if r[3] != 0]
+    z, n = np.zeros((CELLS + 1, k)), np.zeros((CELLS + 1, k))
+    l1, l2 = np.full((CELLS + 1, 1), 1e-3), np.full((CELLS + 1, 1), 1e-4)
+    l1[CELLS] = l2[CELLS] = 0
+
+    def weights():
+        return -np.sign(z) * np.maximum(0, np.abs(z) - l1) / ((1.0 + np.sqrt(n)) / 0.5 + l2)
+
+    draw, xs = np.random.default_rng(7), [features(r[2]) for r in train]
+    for _ in range(4):
+        for i in draw.permutation(len(train)):
+            w = weights()
+            p = np.exp(xs[i] @ w - (xs[i] @ w).max())
+            g = np.outer(xs[i], p / p.sum() - np.eye(k)[languages.index(train[i][0])])
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / 0.5 * w
+            n += g * g
+    w = weights()
+    held = [(features(r[2]) @ w, languages.index(r[0])) for r in sample if r[3] == 0]
+    t = best_temperature(np.array([h[0] for h in held]).reshape(-1, k), np.array([h[1] for h in held], dtype=int))
+    for r in op2_language_id(spark, sf).join(docs, "doc_id").collect():
+        logits = features(r.text) @ w / t
+        p = np.exp(logits - logits.max())
+        want = (languages[int(logits.argmax())], p.max() / p.sum()) if plain_cells(r.text) else ("und", 0.0)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-6, r.doc_id
+
+
 def test_frequencies_count_texts_once():
     total = frequency_kernel()(["aba ab", "zz", None, "1"])
     at, cells, letters = grams(["aba ab", "zz", None, "1"], fold_table())
