@@ -15,7 +15,7 @@ What is ordered in one place is the time axis (one row per period), never the ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +194,40 @@ def cv_rmse(
     with fewer than ``min_rows`` rows on a side or without a fit has NULL errors. Rows without a
     period take no part.
     """
+    xs, k = list(xs), len(xs)
+    marked = model_frame_marked(df, y, xs, period, [entity] if model == "within" else []).filter("period IS NOT NULL")
+    by_period = marked.groupBy("period").agg(F.count("*").alias("rows"), *moment_columns(k))
+
+    def cells() -> DataFrame:
+        complete = marked.filter("v0 IS NOT NULL").filter(F.col(entity).isNotNull())
+        return complete.groupBy(entity, "period").agg(*moment_columns(k))
+
+    def errors(slopes: np.ndarray) -> DataFrame:
+        residual = F.col("v0") - sum((float(b) * F.col(f"v{i}") for i, b in enumerate(slopes, 1)), F.lit(0.0))
+        return marked.withColumn("v0", residual).groupBy("period").agg(*moment_columns(k))
+
+    return fold_errors(by_period, cells, errors, xs, entity, folds, model, min_rows, width)
+
+
+def fold_errors(
+    by_period: DataFrame,
+    cells: Callable[[], DataFrame],
+    errors: Callable[[np.ndarray], DataFrame],
+    xs: Sequence[str],
+    entity: str,
+    folds: DataFrame | None,
+    model: str,
+    min_rows: int,
+    width: int,
+) -> DataFrame:
+    """``cv_rmse`` from moments: those per period with their ``rows``, those per (entity, period),
+    and those per period of the residuals under given slopes in place of the response."""
     if model not in ("within", "between_period"):
         raise ValueError(f"unknown model {model!r}")
     xs, k = list(xs), len(xs)
     names = _names(k)
-    marked = model_frame_marked(df, y, xs, period, [entity] if model == "within" else []).filter("period IS NOT NULL")
-    by_period = measured(marked.groupBy("period").agg(F.count("*").alias("rows"), *moment_columns(k)))[0]
+    spark = by_period.sparkSession
+    by_period = measured(by_period)[0]
     folds = measured(folds if folds is not None else make_folds(by_period, "period", width))[0]
     table = _table(by_period, ["period", "rows", *names])
     table = table[np.argsort(table[:, 0])]
@@ -210,16 +238,13 @@ def cv_rmse(
         + [T.StructField(f"b_{x}", T.DoubleType()) for x in xs]
         + [T.StructField("rmse_train", T.DoubleType()), T.StructField("rmse_test", T.DoubleType())]
     )
-    spark = df.sparkSession
     if folds.isEmpty():
         return spark.createDataFrame([], schema)
     place = Folds(axis, folds)
     n_train, n_test = place.sums(table[:, 1])
 
     if model == "within":
-        complete = marked.filter("v0 IS NOT NULL").filter(F.col(entity).isNotNull())
-        cells = complete.groupBy(entity, "period").agg(*moment_columns(k))
-        cross = _within_cross(cells, axis, place, entity, k)
+        cross = _within_cross(cells(), axis, place, entity, k)
     else:
         # Each period counts once, with its means.
         n, mean, _ = _state(table[:, 2:], k)
@@ -229,9 +254,7 @@ def cv_rmse(
     slopes = [_slopes(c) for c in cross]
     reference = slopes[-1] if slopes[-1] is not None else np.zeros(k)
 
-    residual = F.col("v0") - sum((float(b) * F.col(f"v{i}") for i, b in enumerate(reference, 1)), F.lit(0.0))
-    errors = marked.withColumn("v0", residual).groupBy("period").agg(*moment_columns(k))
-    found = _table(errors, ["period", *names])
+    found = _table(errors(reference), ["period", *names])
     found = found[np.argsort(found[:, 0])]
     sides = place.sides(_state(found[:, 1:], k))
 

@@ -196,9 +196,9 @@ def _linear_fit(kind: str, row, y: str, xs: list[str], **rest) -> Fit:
     )
 
 
-def fit_ols(df: DataFrame, y: str, xs: Sequence[str]) -> Fit:
-    """Pooled least squares with an intercept."""
-    row = model_frame(df, y, xs).agg(*moment_columns(len(xs))).first()
+def fit_ols(df: DataFrame, y: str, xs: Sequence[str], row=None) -> Fit:
+    """Pooled least squares with an intercept; ``row`` holds the moments of all rows, if known."""
+    row = row if row is not None else model_frame(df, y, xs).agg(*moment_columns(len(xs))).first()
     return _linear_fit("ols", row, y, list(xs), source=df)
 
 

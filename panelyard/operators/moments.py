@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelyard.functions.linear import pairs
 from panelyard.functions.numeric import clean
+from panelyard.operators.sizing import attach_stats
 
 
 def model_frame(df: DataFrame, y: str, xs: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
@@ -54,3 +55,40 @@ def read_means(row, k: int, prefix: str = "m") -> np.ndarray:
 
 def sum_cross(k: int) -> list[Column]:
     return [F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in pairs(k)]
+
+
+def _centres(k: int) -> list[Column]:
+    n = F.sum("n")
+    return [n.alias("_n"), *[F.try_divide(F.sum(F.col("n") * F.col(f"m{i}")), n).alias(f"_m{i}") for i in range(k + 1)]]
+
+
+def _around(k: int, centre: Sequence[Column]) -> list[Column]:
+    """Cross sums of groups of rows, moved from each group's own means to ``centre``."""
+    gap = [F.col(f"m{i}") - c for i, c in enumerate(centre)]
+    return [
+        F.sum(F.when(F.col("n") > 0, F.col(f"c{i}_{j}") + F.col("n") * gap[i] * gap[j])).alias(f"c{i}_{j}")
+        for i, j in pairs(k)
+    ]
+
+
+def merge_moments(parts: DataFrame, keys: Sequence[str], k: int, sums: Sequence[str] = ()) -> DataFrame:
+    """Moments of larger groups from those of their parts; ``sums`` are columns to add up as well.
+
+    The means come first and the parts' own means are taken from them, so nothing large is
+    subtracted after it was squared. A key with very many parts is spread by ``attach_stats``."""
+    centre = parts.groupBy(*keys).agg(F.count("*").alias("_parts"), *_centres(k))
+    placed = attach_stats(parts, centre, keys, weight="_parts")
+    known = [F.max(f"_m{i}").alias(f"m{i}") for i in range(k + 1)]
+    merged = placed.groupBy(*keys).agg(
+        F.sum("n").alias("n"), *known, *_around(k, [F.col(f"_m{i}") for i in range(k + 1)]), *[F.sum(c).alias(c) for c in sums]
+    )
+    return merged
+
+
+def merged_row(parts: DataFrame, k: int):
+    """The same for all parts together, as one row on the driver."""
+    centre = parts.agg(*_centres(k)).first()
+    if not centre["_n"]:
+        raise ValueError("no complete rows")
+    means = [F.lit(centre[f"_m{i}"]) for i in range(k + 1)]
+    return parts.agg(F.sum("n").alias("n"), *[m.alias(f"m{i}") for i, m in enumerate(means)], *_around(k, means)).first()

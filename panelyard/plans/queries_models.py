@@ -16,12 +16,14 @@ from panelyard.operators.filters import keep_groups_with_data
 from panelyard.operators.models import (
     fit_between, fit_ols, fit_random, fit_within, normal_interval, variance_components,
 )
+from panelyard.operators.store import MomentStore
 from panelyard.plans.panels import (
     SQL_CUSTOMER_PANEL, SQL_CUSTOMER_YEAR, SQL_NATION_PANEL,
     customer_panel, customer_year, load, month_key, nation_panel,
 )
 from panelyard.plans.registry import query
 from panelyard.plans.settings import LEVEL_SLOPE, LEVEL_STD_ERROR
+from panelyard.sources.sinks import shared_path
 
 XS = ["a", "b"]
 
@@ -471,3 +473,37 @@ UNION ALL SELECT 'a', round(regr_slope(ratio, a), 4) FROM m""")
 def between_level(spark, sf):
     panel = customer_panel(spark, sf).na.drop("any").withColumn("ratio", F.exp("y"))
     return rounded(fit_between(panel, "ratio", ["a"], "entity").summary().select("term", "estimate"), 4)
+
+
+# --- stored moments --------------------------------------------------------------------
+
+def moment_store(spark, sf) -> MomentStore:
+    """The customer panel's moments, added in two loads of years."""
+    store = MomentStore(spark, shared_path(spark, "moments"), "y", XS, "entity", "period")
+    for name, years in (("early", (1900, 1995)), ("late", (1996, 2100))):
+        store.append(customer_panel(spark, sf, years), name)
+    return MomentStore.open(spark, store.path)
+
+
+@query(f"""WITH {SQL_CUSTOMER_PANEL}, {SQL_WITHIN_SUMS}, {SQL_SLOPES}, {sql_table('(n - g - 2)', False)} {SQL_SUMMARY}""")
+def store_within(spark, sf):
+    return rounded(moment_store(spark, sf).within().summary())
+
+
+@query(f"""WITH {SQL_CUSTOMER_PANEL}, {SQL_POOLED_SUMS.format(frame='full_frame')}, {SQL_SLOPES},
+{sql_table('(n - 3)', True)} {SQL_SUMMARY}""")
+def store_ols(spark, sf):
+    return rounded(moment_store(spark, sf).ols().summary())
+
+
+@query(f"""WITH {_sql_between('period')}, {sql_table('(n - 3)', True)} {SQL_SUMMARY}""")
+def store_between_time(spark, sf):
+    return rounded(moment_store(spark, sf).between("period").summary())
+
+
+@query(f"""{SQL_CV_WITHIN}
+SELECT CAST(err.fold AS INTEGER) AS fold, n_train, n_test, 'ok' AS status, round(ba, 6) AS b_a, round(bb, 5) AS b_b,
+       round(e_train, 6) AS rmse_train, round(e_test, 6) AS rmse_test FROM err JOIN cnt ON err.fold = cnt.fold""")
+def store_cv_within(spark, sf):
+    out = moment_store(spark, sf).cv()
+    return rounded(out.withColumn("b_b", F.round("b_b", 5)))
