@@ -8,7 +8,9 @@ from llm_helpers import SF, awkward_docs, needs_data
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelyard.llm.quality_rules import covered, longest_repeats, op6_quality_rules, repetition_rules
+from panelyard.llm.quality_rules import (
+    COVERED, LONGEST_SHARE, LONGEST_WORDS, REPEAT_WORDS, covered, longest_repeats, op6_quality_rules, repetition_rules,
+)
 
 
 def brute_longest(s):
@@ -45,6 +47,25 @@ def brute_base(text):
             n < 10 or 100 * len(inside) > 20 * n)
 
 
+def brute_kept(text):
+    """The verdict from sets of windows: a word lies in a long repeat if a window of REPEAT_WORDS
+    over it is found twice, and the longest repeat is the largest width with an equal pair."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(found)
+
+    def repeated(width):
+        windows = Counter(tuple(found[i:i + width]) for i in range(n - width + 1))
+        return [i for i in range(n - width + 1) if windows[tuple(found[i:i + width])] > 1]
+
+    words = {p for i in repeated(REPEAT_WORDS) for p in range(i, i + REPEAT_WORDS)}
+    low, high = 0, n   # some width low repeats, none of width high does
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if repeated(middle) else (low, middle)
+    too_long = low > LONGEST_WORDS and low > LONGEST_SHARE * n
+    return low, len(words), not brute_base(text)[-1] and len(words) <= COVERED * n and not too_long
+
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -55,7 +76,7 @@ def test_query_base_figures(spark):
     assert len(got) == len(texts)
     for r in got:
         assert tuple(r[c] for c in BASE) == brute_base(texts[r.doc_id])
-        assert not (r.base_failed and r.kept)
+        assert (r.longest_repeat, r.covered_words, r.kept) == brute_kept(texts[r.doc_id])
 
 
 def test_awkward_rows(spark):
@@ -64,6 +85,7 @@ def test_awkward_rows(spark):
     assert len(got) == docs.count()
     for r in got:
         assert tuple(r[c] for c in BASE) == brute_base(r.text)
+        assert (r.longest_repeat, r.covered_words, r.kept) == brute_kept(r.text)
     by_id = {r.doc_id: r for r in got}
     assert by_id[6].kept and by_id[1].kept and not by_id[10].kept and not by_id[3].kept
     assert by_id[3].repeat_spans == [] and [(s.start, s.end) for s in by_id[10].repeat_spans] == [(0, 50)]
