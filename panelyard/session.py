@@ -49,6 +49,16 @@ def table_bytes(df: DataFrame) -> int:
         return df.count() * 32 * len(df.columns)
 
 
+def source_bytes(df: DataFrame) -> int:
+    """The sizes of a table's sources added up. The planner's size of a join is the product of
+    its sides, which says nothing of what will be shuffled."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001  (a remote session)
+        return table_bytes(df)
+
+
 def size_in_bytes(text: str) -> int:
     """A setting such as 10485760, 10485760b or 10m as a number; negative means none."""
     units = {"b": 1, "k": 1024, "m": 1024**2, "g": 1024**3, "t": 1024**4}
@@ -57,11 +67,11 @@ def size_in_bytes(text: str) -> int:
 
 
 def fit_shuffles(df: DataFrame) -> DataFrame:
-    """Raise the number of shuffle partitions to the size of a source table, so that no
+    """Raise the number of shuffle partitions to the size of a table's sources, so that no
     partition outgrows an executor; adaptive execution merges those that turn out small.
     ``tune``, called before a query, puts the session's own setting back."""
     spark = df.sparkSession
-    size = table_bytes(df)
+    size = source_bytes(df)
     if size >= UNKNOWN:
         return df
     wanted = math.ceil(size / SHUFFLE_SHARE)

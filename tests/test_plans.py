@@ -116,3 +116,18 @@ def test_kept_tables_can_be_released(spark):
     n = out.count()
     sizing.release()
     assert out.count() == n and sizing._KEPT == []
+
+
+def test_shuffles_follow_sources_not_joins(spark, tmp_path):
+    """The planner's size of a join is a product; the partitions follow what is read."""
+    from panelyard.session import SHUFFLE_SHARE, fit_shuffles, source_bytes, table_bytes, tune
+
+    spark.range(20_000).selectExpr("id", "sha2(string(id), 256) AS x").write.parquet(f"{tmp_path}/t")
+    one = spark.read.parquet(f"{tmp_path}/t")
+    joined = one.join(one.withColumnsRenamed({"x": "y"}), "id")
+    assert source_bytes(one) == table_bytes(one) and source_bytes(joined) == 2 * source_bytes(one)
+    assert table_bytes(joined) > 100 * SHUFFLE_SHARE
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    fit_shuffles(joined)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    tune(spark)
