@@ -1,15 +1,24 @@
 """Operator 11, HTML extraction by equivalence classes of tokens over the pages of a host.
 
-Tokens are tags and words, each told apart by the containers it stands in (their names, classes
-and ids); words only of short runs, as a template's text is short. The number of times a token
-occurs on each page of a host is its occurrence vector.
+Tokens are tags, words and stretches, each told apart by the containers it stands in (their names,
+classes and ids). Words alone are tokens in short runs only, as in running text each may be the
+article's. Stretches are tokens in every run, however long: each word with both its neighbours, and
+the run as a whole. The number of times a token occurs on each page of a host is its occurrence
+vector.
 
 1. Vectors are compared by sums of a hash of (page, count), which Spark adds up whatever the
    order, so that no host is gathered anywhere. Tokens of a host with equal vectors are a class;
-   a class needs two tokens, one of them a tag, on at least SUPPORT pages.
+   a class needs two tokens, one of them a tag, on at least SUPPORT pages. A stretch joins the class
+   with its vector. A task hands on only stretches whose vector over its own pages is some tag's of
+   the host there, which those of a class always are; others add up to a class's vector by chance at
+   most, and step 2 counts them.
 2. Classes are put to the pages: one is valid if its tokens come in one and the same order on all
    pages of the host, round by round, and if it is nested: it crosses no valid class of higher
    rank (more pages, then more tokens). Valid classes within each other are the host's template.
+   Stretches are put to the pages one by one, so that none of them spoils a class: one is the
+   template's if on each page of its class it comes once a round, always at the same place between
+   the class's tokens. Pages that share more than COPY_SHARE of their words by one class's stretches
+   are copies of one article, and these stretches no template.
 3. What lies between neighbouring template tokens are slots. A slot's text is what the template
    does not hold: runs made of template words only are dropped everywhere, single ones outside
    the article. Slots in containers for navigation, adverts, comments and the like hold no
@@ -17,8 +26,10 @@ occurs on each page of a host is its occurrence vector.
    the host's main container (the deepest that has MAIN_SHARE of all words in slots), else those of
    a container that calls itself content, else all.
 
-Hosts on fewer pages than a template needs go by their own containers alone. Word tokens need
-WORD_PAGES different pages, as a few near copies of one article share its words too.
+Hosts on fewer pages than a template needs go by their own containers alone. Words and stretches
+need WORD_PAGES different pages of the host, as a few near copies of one article share its words too;
+stretches need as many of their own class. A word of a long run is template text if a stretch of the
+template covers it; one or two words between a page's own are the page's.
 
 Defined results. Html NULL or empty: an empty text. Missing end tags and stray ones are taken as
 browsers do, an unclosed comment or script lasts to the end. Character references are decoded,
@@ -48,13 +59,21 @@ from panelyard.llm.url_filters import url_host
 SUPPORT = 3              # pages a class is on, at least
 SHARE = 0.01             # of its host's pages a class is on, at least
 WORD_PAGES = 16          # different pages of a host whose template may hold words
-RUN_WORDS = 12           # longer runs of words are no template text
+RUN_WORDS = 12           # words of longer runs are tokens with their neighbours only
+COPY_SHARE = 0.8         # of their words that pages share if they are copies of one article
 MAIN_SHARE = 0.7         # of a host's words in slots that its main container holds
 TASK_TOKENS = 500_000    # sums a task holds before it hands them on
+TASK_STRETCHES = 2_000_000   # stretches a task holds before it hands on their sums
 LEVELS = 32              # levels of containers among which the main one is looked for
 PATHS = 200_000          # containers a worker remembers
+PAGES = 64               # pages taken apart at once
+BUCKET_BITS = 22         # of a table that tells what a task sees once
+LOW = 0xFFF              # bits of a stretch's token that are its container's
 _MASK = (1 << 64) - 1
 
+CODES = np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
+CODES = (CODES ^ (CODES >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) ^ (CODES >> np.uint64(32))
+
 # Element kinds (fixed values).
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,19 +198,20 @@ def parse(page: str, paths: Paths) -> list[tuple]:
 
     while at < size:
         found = search(page, at)
-        text = page[at:found.start()] if found else page[at:]
-        if text:
+        begin, end = found.span() if found else (size, size)
+        if begin > at:
+            text = page[at:begin]
             run.append(text)
             if links:
                 linked.append(text)
         if not found:
             break
-        at = found.end()
-        name = found.group(2)
+        at = end
+        closing, name, attributes = found.groups()
         if name is None:
             continue
         name = name.lower()
-        if found.group(1):
+        if closing:
             block = name in CONTAINERS or name in LEAVES
             if block:
                 flush()
@@ -206,7 +226,7 @@ def parse(page: str, paths: Paths) -> list[tuple]:
                 if name in LEAVES and stack[i][0] in CONTAINERS:
                     break
             continue
-        attributes = found.group(3).rstrip(">").strip().rstrip("/")
+        attributes = attributes.rstrip(">").strip().rstrip("/")
         if name in RAW:
             end = _END[name].search(page, at)
             at = end.start() if end else size
@@ -264,14 +284,98 @@ def word_tokens(words: list[str], node: Node, leaf: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(w, seed) for w in words]
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.full(n, base, dtype=np.uint64)]).cumprod(dtype=np.uint64)
+
+
+def places_in(sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) - np.repeat(first, sizes)
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A hash of each word, from its code points."""
+    codes = np.frombuffer((" ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.flatnonzero(codes == 32) + 1   # with the space behind
+    first = np.concatenate([[0], ends[:-1]])
+    place = places_in(ends - first, first)
+    return mixed(np.add.reduceat(CODES[codes & 0xFFFF] * powers(0x9E3779B97F4A7C15, int(place.max()))[place] + codes, first))
+
+
+def container_seed(item: tuple) -> int:
+    return item[3].key ^ (len(item[4]) + 1) * 0x9E3779B97F4A7C15 & _MASK
+
+
+def stretches(runs: list[tuple[list[str], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All stretches of some runs (words, seed of the container): token, run, and the place of the
+    word in the middle, or -1 for the whole run. The low bits of a token are its container's."""
+    if not runs:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    size = np.array([len(words) for words, _ in runs], dtype=np.int64)
+    seed = np.array([seed for _, seed in runs], dtype=np.uint64)
+    first = np.cumsum(size) - size
+    word = word_hashes([w for words, _ in runs for w in words])
+    left, right = np.concatenate([[np.uint64(0)], word[:-1]]), np.concatenate([word[1:], [np.uint64(0)]])
+    left[first] = 0   # nothing stands before a run's first word and after its last
+    right[first + size - 1] = 0
+    three = left * np.uint64(0xA24BAED4963EE407) + word * np.uint64(0x9FB21C651E98DF25) + right * np.uint64(0xD6E8FEB86659FD93)
+    place, own = places_in(size, first), seed & np.uint64(LOW)
+    whole = np.add.reduceat(word * powers(0xC2B2AE3D27D4EB4F, int(size.max()))[place], first) + size.astype(np.uint64)
+    mark, high = mixed(seed), np.uint64(_MASK ^ LOW)
+    token = np.concatenate([(three + np.repeat(mark, size)) & high | np.repeat(own, size), mixed(whole + mark) & high | own])
+    run = np.arange(len(runs))
+    return token.view(np.int64), np.concatenate([np.repeat(run, size), run]), np.concatenate([place, np.full(len(runs), -1)])
+
+
+def known_stretches(pages: list[list[tuple]], wanted: list[np.ndarray | None]) -> list[list[tuple[int, int, int]]]:
+    """For each page (item, place, token) of the stretches it has of those wanted of it. Runs in
+    containers without any are passed over."""
+    found: list[list[tuple[int, int, int]]] = [[] for _ in pages]
+    at, runs, lows = [], [], {}
+    for p, (page, tokens) in enumerate(zip(pages, wanted)):
+        if tokens is None or not len(tokens):
+            continue
+        low = lows.get(id(tokens))
+        if low is None:
+            low = lows[id(tokens)] = set((tokens & LOW).tolist())
+        for i, item in enumerate(page):
+            if item[0] == 1:
+                seed = container_seed(item)
+                if seed & LOW in low:
+                    at.append((p, i))
+                    runs.append((item[1], seed))
+    if runs:
+        among = np.unique(np.concatenate([t for t in {id(t): t for t in wanted if t is not None}.values()]))
+        token, run, place = stretches(runs)
+        hits = np.flatnonzero(among[np.minimum(np.searchsorted(among, token), len(among) - 1)] == token)
+        hits = hits[np.lexsort((place[hits], run[hits]))]
+        for r, j, t in zip(run[hits].tolist(), place[hits].tolist(), token[hits].tolist()):
+            found[at[r][0]].append((at[r][1], j, t))
+    return found
+
+
+def covered(page: list[tuple], found: list[tuple[int, int, int]]) -> dict[int, set[int]]:
+    """Item -> places of the words that these stretches hold."""
+    out: dict[int, set[int]] = {}
+    for item, place, _ in found:
+        size = len(page[item][1])
+        out.setdefault(item, set()).update(range(size) if place < 0 else range(max(place - 1, 0), min(place + 2, size)))
+    return out
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def page_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+def page_slices(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
     """Rows of a batch, a few texts at a time."""
     for lo, hi in text_slices([batch.column("html")]):
-        yield from zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns))
+        for at in range(lo, hi, PAGES):
+            yield list(zip(*(c.to_pylist() for c in batch.slice(at, min(PAGES, hi - at)).columns)))
 
 
 def sums_batch(names: list[str], sums: dict) -> pa.RecordBatch:
@@ -280,45 +384,140 @@ def sums_batch(names: list[str], sums: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
-VECTORS = ["host", "kind", "token", "pages", "low", "high"]   # kinds: 0 word, 1 tag, 2 page
+VECTORS = ["host", "kind", "token", "pages", "low", "high"]   # kinds: 0 word, 1 tag, 2 stretch
+
+
+class StretchSums:
+    """The stretches of a task's pages, with the hashes of (page, count)."""
+
+    def __init__(self):
+        self.size, self.held, self.hosts, self.own = 0, [], [], []
+
+    def add(self, page: list[tuple], host: int, own: int, runs: list, at: list) -> None:
+        """A page's runs, for ``runs`` and the page's number for ``at``."""
+        for item in page:
+            if item[0] == 1:
+                runs.append((item[1], container_seed(item)))
+                at.append(len(self.own))
+        self.hosts.append(host)
+        self.own.append(own)
+
+    def close(self, runs: list, at: list) -> None:
+        token, run, _ = stretches(runs)
+        self.held.append((token, np.array(at, dtype=np.int32)[run]))
+        self.size += len(token)
+
+    def batch(self, sums: dict) -> pa.RecordBatch:
+        """Sums of the stretches that have the vector of a tag of their host, as far as seen."""
+        token, page = (np.concatenate(c) for c in zip(*self.held))
+        tags = [(key[0], *value) for key, value in sums.items() if key[1] == 1]
+        # What is seen once needs a tag seen once, on its page.
+        once = np.array([count_hash(1, own) for own in self.own], dtype=np.uint64)
+        low, high = (once & np.uint64(0xFFFFFFFF)).astype(np.int64), (once >> np.uint64(32)).astype(np.int64)
+        lone = {tag[2:] for tag in tags if tag[1] == 1}
+        lone = np.array([pair in lone for pair in zip(low.tolist(), high.tolist())], dtype=bool)
+        for shift in (64 - BUCKET_BITS, 40 - BUCKET_BITS):
+            bucket = (token >> np.int64(shift)) & np.int64((1 << BUCKET_BITS) - 1)
+            kept = np.flatnonzero((np.bincount(bucket, minlength=1 << BUCKET_BITS) > 1)[bucket] | lone[page])
+            token, page = token[kept], page[kept]
+        # One row per page and stretch, then one per host and stretch.
+        order = np.lexsort((page, token))
+        token, page = token[order], page[order]
+        first = starts(token, page)
+        n = np.diff(np.append(first, len(token)))
+        token, page = token[first], page[first]
+        low, high = low[page], high[page]
+        for i in np.flatnonzero(n > 1).tolist():
+            h = count_hash(int(n[i]), self.own[page[i]])
+            low[i], high[i] = h & 0xFFFFFFFF, h >> 32
+        host = np.array(self.hosts, dtype=np.int64)[page]
+        order = np.lexsort((host, token))
+        host, token, low, high = (c[order] for c in (host, token, low, high))
+        first = starts(host, token)
+        if not len(first):
+            return sums_batch(VECTORS, {})
+        columns = [host[first], np.diff(np.append(first, len(host))), np.add.reduceat(low, first), np.add.reduceat(high, first)]
+        kept = np.isin(vector_hash(columns), vector_hash(list(np.array(tags, dtype=np.int64).reshape(-1, 4).T)))
+        host, pages, low, high = (c[kept] for c in columns)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (host, np.full(len(host), 2), token[first][kept], pages, low, high)], VECTORS)
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows starts in sorted columns."""
+    changed = np.zeros(len(columns[0]), dtype=bool)
+    changed[:1] = True
+    for column in columns:
+        changed[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(changed)
+
+
+def count_hash(n: int, own: int) -> int:
+    return xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), own)
+
+
+def vector_hash(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(columns[0]), dtype=np.uint64)
+    for column in columns:
+        out = mixed(out + column.astype(np.int64).view(np.uint64))
+    return out
 
 
 def vector_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over a task's pages of each token's hashes of (page, count)."""
-    paths, sums = Paths(), {}
+    paths, sums, size, texts = Paths(), {}, 0, StretchSums()   # sums: pages, high and low in one number
+
+    def made() -> Iterator[pa.RecordBatch]:
+        found = {
+            (host, kind, signed(token)): (n >> 128, n & _MASK, n >> 64 & _MASK)
+            for (host, kind), total in sums.items() for token, n in total.items()
+        }
+        if texts.held:
+            yield texts.batch(found)
+        yield sums_batch(VECTORS, found)
+
     for batch in batches:
-        for host, text in page_rows(batch):
-            own = xxhash.xxh3_64_intdigest(text)
-            tokens: dict[tuple[int, int], int] = {(2, own): 1}
-            for item in parse(text, paths):
-                if item[0] == 0:
-                    key = (1, item[1])
-                    tokens[key] = tokens.get(key, 0) + 1
-                elif len(item[1]) <= RUN_WORDS:
-                    for token in word_tokens(item[1], item[3], item[4]):
-                        tokens[0, token] = tokens.get((0, token), 0) + 1
-            hashes = {n: xxhash.xxh3_64_intdigest(n.to_bytes(8, "little"), own) for n in set(tokens.values())}
-            for (kind, token), n in tokens.items():
-                h = hashes[n]
-                total = sums.setdefault((host, kind, signed(token)), [0, 0, 0])
-                total[0] += 1
-                total[1] += h & 0xFFFFFFFF
-                total[2] += h >> 32
-            if len(sums) > TASK_TOKENS:
-                yield sums_batch(VECTORS, sums)
-                sums = {}
-    yield sums_batch(VECTORS, sums)
+        for rows in page_slices(batch):
+            runs, at = [], []
+            for host, text, with_words in rows:
+                own = xxhash.xxh3_64_intdigest(text)
+                page = parse(text, paths)
+                kinds = [(1, [item[1] for item in page if item[0] == 0])]
+                if with_words:
+                    short = [word_tokens(item[1], item[3], item[4]) for item in page if item[0] == 1 and len(item[1]) <= RUN_WORDS]
+                    kinds.append((0, [token for own_tokens in short for token in own_tokens]))
+                    texts.add(page, host, own, runs, at)
+                vectors: dict[int, int] = {}
+                for kind, tokens in kinds:
+                    total = sums.setdefault((host, kind), {})
+                    before = len(total)
+                    for token, n in Counter(tokens).items():
+                        h = vectors.get(n)
+                        if h is None:
+                            h = count_hash(n, own)
+                            h = vectors[n] = 1 << 128 | (h >> 32) << 64 | h & 0xFFFFFFFF
+                        total[token] = total.get(token, 0) + h
+                    size += len(total) - before
+            if runs:
+                texts.close(runs, at)
+            if size > TASK_TOKENS or texts.size > TASK_STRETCHES:
+                yield from made()
+                sums, size, texts = {}, 0, StretchSums()
+    yield from made()
 
 
 def packed_classes():
-    """Kernel: (class ids, tokens of each) -> two arrays as bytes."""
+    """Kernel: (class ids, tokens of each, stretches of each) -> arrays as bytes."""
 
     def kernel():
-        def run(ids, tokens):
+        def run(ids, tokens, texts):
             first = [np.array(i, dtype=np.int64).tobytes() for i in ids]
-            second = [np.array([x for t in own for x in t], dtype=np.int64).tobytes() for own in tokens]
-            third = [np.array([len(t) for t in own], dtype=np.int64).tobytes() for own in tokens]
-            return first, second, third
+            held = [
+                made for lists in (tokens, texts) for made in (
+                    [np.array([x for t in own for x in t], dtype=np.int64).tobytes() for own in lists],
+                    [np.array([len(t) for t in own], dtype=np.int64).tobytes() for own in lists],
+                )
+            ]
+            return first, *held
 
         return run
 
@@ -331,6 +530,14 @@ def class_of(ids: bytes, tokens: bytes, sizes: bytes) -> dict[int, int]:
     return dict(zip(tokens.tolist(), np.repeat(ids, sizes).tolist()))
 
 
+class HostClasses:
+    """A host's classes: of tokens, of stretches, and how many tokens each has."""
+
+    def __init__(self, ids: bytes, tokens: bytes, sizes: bytes, texts: bytes, text_sizes: bytes):
+        self.tokens, self.texts = class_of(ids, tokens, sizes), class_of(ids, texts, text_sizes)
+        self.sizes, self.wanted = Counter(self.tokens.values()), np.frombuffer(texts, dtype=np.int64)
+
+
 class Templates:
     """What a task knows of the last hosts it met."""
 
@@ -345,17 +552,36 @@ class Templates:
         return self.known[host]
 
 
-def template_tokens(page: list[tuple], classes: dict[int, int], with_words: bool) -> Iterator[tuple[int, int]]:
-    """(token, class) of the template's tokens in page order."""
-    for item in page:
+def template_tokens(page: list[tuple], classes: dict[int, int], with_words: bool) -> Iterator[tuple[int, int, int]]:
+    """(token, class, item) of the template's tokens in page order."""
+    for i, item in enumerate(page):
         if item[0] == 0:
             token = signed(item[1])
             if token in classes:
-                yield token, classes[token]
+                yield token, classes[token], i
         elif with_words and len(item[1]) <= RUN_WORDS:
             for token in map(signed, word_tokens(item[1], item[3], item[4])):
                 if token in classes:
-                    yield token, classes[token]
+                    yield token, classes[token], i
+
+
+def stretch_places(sequence: list[tuple[int, int, int]], found: list[tuple[int, int, int]], host: HostClasses) -> dict[int, int]:
+    """For each stretch a number for its place in a round of its class, 0 if it is not once in each
+    round at the same place."""
+    passed, seen, at = Counter(), {}, 0
+    for item, _, token in found:
+        while at < len(sequence) and sequence[at][2] < item:
+            passed[sequence[at][1]] += 1
+            at += 1
+        seen.setdefault(token, []).append(passed[host.texts[token]])
+    for _, name, _ in sequence[at:]:
+        passed[name] += 1
+    places = {}
+    for token, before in seen.items():
+        k, all_ = host.sizes[host.texts[token]], passed[host.texts[token]]
+        same = len(before) * k == all_ and before[0] <= k and all(n == before[0] + i * k for i, n in enumerate(before))
+        places[token] = before[0] + 1 if same else 0
+    return places
 
 
 def orders_and_crossings(sequence: list[tuple[int, int]]) -> tuple[dict[int, int], set[tuple[int, int]]]:
@@ -393,45 +619,71 @@ def orders_and_crossings(sequence: list[tuple[int, int]]) -> tuple[dict[int, int
     return orders, crossings
 
 
-CHECKS = ["host", "kind", "a", "b", "n", "m"]   # kinds: 0 order, 1 crossing, 2 words of a container
+# Kinds: 0 order, 1 crossing, 2 words of a container, 3 place of a stretch, 4 words in a class's stretches.
+CHECKS = ["host", "kind", "a", "b", "n", "m"]
 
 
 def check_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A host's classes on a task's pages: orders, crossings, and the words in slots."""
-    paths, sums, known = Paths(), {}, Templates(class_of)
+    """A host's classes on a task's pages: orders, crossings, places of stretches, and the words in slots."""
+    paths, sums, known = Paths(), {}, Templates(HostClasses)
     for batch in batches:
-        for host, text, words, ids, tokens, sizes in page_rows(batch):
-            classes = known.get(host, ids, tokens, sizes)
-            page = parse(text, paths)
-            orders, crossings = orders_and_crossings(list(template_tokens(page, classes, words)))
-            rows = [((host, 0, name, order), 1, 0) for name, order in orders.items()]
-            rows += [((host, 1, a, b), 1, 0) for a, b in crossings]
-            for item in page:
-                if item[0] == 1 and not item[3].aside:
-                    number = len(item[1])
-                    if words and number <= RUN_WORDS:
-                        number = sum(signed(t) not in classes for t in word_tokens(*item[1:2], *item[3:]))
-                    rows += [((host, 2, signed(key), depth), number, min(number, item[2])) for depth, key in enumerate(item[3].line)]
-            for key, n, m in rows:
-                total = sums.setdefault(key, [0, 0])
-                total[0] += n
-                total[1] += m
+        for slice_rows in page_slices(batch):
+            parsed = [(host, words, known.get(host, *packed), parse(text, paths)) for host, text, words, *packed in slice_rows]
+            found = known_stretches([page for *_, page in parsed], [own.wanted for _, _, own, _ in parsed])
+            for (host, words, own, page), hits in zip(parsed, found):
+                for key, n, m in page_checks(host, page, words, own, [h for h in hits if h[2] in own.texts]):
+                    total = sums.setdefault(key, [0, 0])
+                    total[0] += n
+                    total[1] += m
             if len(sums) > TASK_TOKENS:
                 yield sums_batch(CHECKS, sums)
                 sums = {}
     yield sums_batch(CHECKS, sums)
 
 
-def page_slots(page: list[tuple], template: frozenset, with_words: bool, main: int | None) -> list[tuple[int, bool, str]]:
-    """(slot, whether it belongs to the article, text) of each run that the template leaves."""
+def page_checks(host: int, page: list[tuple], words: bool, own: HostClasses, found: list[tuple[int, int, int]]) -> list[tuple]:
+    """(key, n, m) of one page."""
+    classes = own.tokens
+    sequence = list(template_tokens(page, classes, words))
+    orders, crossings = orders_and_crossings([step[:2] for step in sequence])
+    rows = [((host, 0, name, order), 1, 0) for name, order in orders.items()]
+    rows += [((host, 1, a, b), 1, 0) for a, b in crossings]
+    held = {}
+    if found:
+        rows += [((host, 3, token, place), 1, 0) for token, place in stretch_places(sequence, found, own).items()]
+        shown = {i: len(item[1]) for i, item in enumerate(page) if item[0] == 1 and not item[3].aside}
+        all_, by_class = sum(shown.values()), {}
+        for hit in found:
+            by_class.setdefault(own.texts[hit[2]], []).append(hit)
+        for name, hits in by_class.items():
+            rows.append(((host, 4, name, 0), sum(len(c) for i, c in covered(page, hits).items() if i in shown), all_))
+        held = covered(page, found)
+        if sum(len(c) for i, c in held.items() if i in shown) > COPY_SHARE * all_:
+            held = {}
+    for i, item in enumerate(page):
+        if item[0] == 1 and not item[3].aside:
+            number = len(item[1])
+            if words and number <= RUN_WORDS:
+                number = sum(signed(t) not in classes and j not in held.get(i, ()) for j, t in enumerate(word_tokens(*item[1:2], *item[3:])))
+            elif i in held:
+                number -= len(held[i])
+            rows += [((host, 2, signed(key), depth), number, min(number, item[2])) for depth, key in enumerate(item[3].line)]
+    return rows
+
+
+def page_slots(page: list[tuple], template: frozenset, with_words: bool, main: int | None, held: dict[int, set[int]]) -> list[tuple[int, bool, str]]:
+    """(slot, whether it belongs to the article, text) of each run that the template leaves. ``held``:
+    places of words in the template's stretches, by item."""
     runs, slot = [], 0
-    for item in page:
+    for i, item in enumerate(page):
         if item[0] == 0:
             slot += signed(item[1]) in template
             continue
         _, words, linked, node, leaf = item
-        if with_words and len(words) <= RUN_WORDS:
-            fixed = [signed(t) in template for t in word_tokens(words, node, leaf)]
+        if with_words:
+            fixed = [j in held[i] for j in range(len(words))] if i in held else [False] * len(words)
+            if len(words) <= RUN_WORDS:
+                fixed = [f or signed(t) in template for f, t in zip(fixed, word_tokens(words, node, leaf))]
             if any(fixed):
                 if all(fixed) or not node.article:
                     words = [w for w, f in zip(words, fixed) if not f]
@@ -456,15 +708,20 @@ def page_slots(page: list[tuple], template: frozenset, with_words: bool, main: i
 
 def text_kernel(with_slots: bool):
     def kernel():
-        paths, known = Paths(), Templates(lambda tokens: frozenset(np.frombuffer(tokens, dtype=np.int64).tolist()))
+        paths, known = Paths(), Templates(lambda tokens: (frozenset((own := np.frombuffer(tokens, dtype=np.int64)).tolist()), own))
 
         def run(pages, hosts, tokens, words, mains):
             texts, slots = [], []
-            for page, host, own, with_words, main in zip(pages, hosts, tokens, words, mains):
-                template = known.get(host, own or b"") if host is not None else frozenset()
-                found = page_slots(parse(page or "", paths), template, bool(with_words), None if main is None else main & _MASK)
-                texts.append(" ".join(text for _, ok, text in found if ok))
-                slots.append([{"slot": s, "article": ok, "text": text} for s, ok, text in found] if with_slots else None)
+            for at in range(0, len(pages), PAGES):
+                few = slice(at, at + PAGES)
+                parsed = [parse(page or "", paths) for page in pages[few]]
+                templates = [known.get(host, own or b"") if host is not None else (frozenset(), None) for host, own in zip(hosts[few], tokens[few])]
+                found = known_stretches(parsed, [own if with_words else None for (_, own), with_words in zip(templates, words[few])])
+                for page, hits, (template, _), with_words, main in zip(parsed, found, templates, words[few], mains[few]):
+                    held = covered(page, [h for h in hits if h[2] in template])
+                    runs = page_slots(page, template, bool(with_words), None if main is None else main & _MASK, held)
+                    texts.append(" ".join(text for _, ok, text in runs if ok))
+                    slots.append([{"slot": s, "article": ok, "text": text} for s, ok, text in runs] if with_slots else None)
             return [texts, [len(t) for t in texts]] + ([slots] if with_slots else [])
 
         return run
@@ -475,25 +732,32 @@ def text_kernel(with_slots: bool):
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """One row per host with a template: host, tokens (as bytes), words (whether it may hold
     words), main (path hash of the main container, or NULL). ``pages``: host, html."""
-    sums = pages.mapInArrow(vector_task, ", ".join(f"{c} long" for c in VECTORS)).groupBy("host", "kind", "token").agg(
+    own = pages.groupBy("host", F.xxhash64("html").alias("own")).agg(F.count("*").alias("all"))
+    hosts = own.groupBy("host").agg(F.sum("all").alias("all"), F.count("*").alias("different"))
+    hosts = stored(hosts.filter(F.col("different") >= SUPPORT).withColumn("words", F.col("different") >= WORD_PAGES))
+    # Only hosts with words are looked up here, which are few beside their pages.
+    large = hosts.filter("words").select(F.col("host").alias("of"), "words")
+    asked = pages.join(large, pages["host"] == large["of"], "left").select("host", "html", F.col("words").isNotNull().alias("words"))
+    sums = asked.mapInArrow(vector_task, ", ".join(f"{c} long" for c in VECTORS)).groupBy("host", "kind", "token").agg(
         *[F.sum(c).alias(c) for c in VECTORS[3:]]
     )
-    # Only what is on enough pages is written; single pages only to count them.
-    sums = stored(sums.filter((F.col("kind") == 2) | (F.col("pages") >= SUPPORT)))
-    hosts = sums.filter("kind = 2").groupBy("host").agg(F.sum("pages").alias("all"), F.count("*").alias("different"))
-    hosts = stored(hosts.filter(F.col("different") >= SUPPORT).withColumn("words", F.col("different") >= WORD_PAGES))
-    vectors = sums.filter("kind < 2").join(hosts, "host").filter(F.col("pages") >= F.greatest(F.lit(SUPPORT), SHARE * F.col("all")))
-    vectors = vectors.filter("kind = 1 or words")
+    sums = stored(sums.filter(F.col("pages") >= F.when(F.col("kind") == 2, WORD_PAGES).otherwise(SUPPORT)))   # only what is on enough pages is written
+    vectors = sums.join(hosts, "host").filter(F.col("pages") >= F.greatest(F.lit(SUPPORT), SHARE * F.col("all")))
+    single, kind = F.when(F.col("kind") < 2, F.col("token")), F.when(F.col("kind") < 2, F.col("kind"))
     classes = vectors.groupBy("host", "words", "pages", "low", "high").agg(
-        F.min("token").alias("id"), F.collect_list("token").alias("tokens"), F.max("kind").alias("tag")
+        F.min(single).alias("id"), F.collect_list(single).alias("tokens"), F.max(kind).alias("tag"),
+        F.collect_list(F.when(F.col("kind") == 2, F.col("token"))).alias("texts"),
+    )
+    classes = classes.filter((F.size("tokens") + F.size("texts") > 1) & (F.col("tag") == 1))
+    classes = stored(classes.select("host", "words", "id", "tokens", "texts", "pages"))
+    held = classes.groupBy("host", "words").agg(F.collect_list(F.struct("id", "tokens", "texts")).alias("c"))
+    packed = arrow_column(
+        packed_classes(), "ids binary, tokens binary, sizes binary, texts binary, text_sizes binary", F.col("c.id"), F.col("c.tokens"), F.col("c.texts")
     )
-    classes = stored(classes.filter((F.size("tokens") > 1) & (F.col("tag") == 1)).select("host", "words", "id", "tokens", "pages"))
-    held = classes.groupBy("host", "words").agg(F.collect_list(F.struct("id", "tokens")).alias("c"))
-    packed = arrow_column(packed_classes(), "ids binary, tokens binary, sizes binary", F.col("c.id"), F.col("c.tokens"))
     held = stored(held.select("host", "words", packed.alias("p")).select(F.col("host").alias("of"), "words", "p.*"))
 
     # One row of the right side for each host, so a host's pages may be split as often as needed.
-    put = pages.join(held, pages["host"] == held["of"]).select("host", "html", "words", "ids", "tokens", "sizes")
+    put = pages.join(held, pages["host"] == held["of"]).select("host", "html", "words", "ids", "tokens", "sizes", "texts", "text_sizes")
     checks = put.mapInArrow(check_task, ", ".join(f"{c} long" for c in CHECKS)).groupBy("host", "kind", "a", "b").agg(
         F.sum("n").alias("n"), F.sum("m").alias("m")
     )
@@ -507,7 +771,16 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
         ranked.select("host", F.col("id").alias("other"), F.col("rank").alias("over")), ["host", "other"]
     ).filter("over > rank").select("host", "id").distinct()
     valid = ordered.join(crossed, ["host", "id"], "left_anti")
-    tokens = valid.groupBy("host", "words").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+
+    copies = checks.filter("kind = 4").filter(F.col("n") > COPY_SHARE * F.col("m")).select("host", F.col("a").alias("id"))
+    texts = valid.join(copies, ["host", "id"], "left_anti").select("host", "words", "pages", F.explode("texts").alias("token"))
+    placed = checks.filter("kind = 3").groupBy("host", F.col("a").alias("token")).agg(
+        F.count("*").alias("places"), F.min("b").alias("place"), F.sum("n").alias("on")
+    )
+    texts = texts.join(placed.filter("places = 1 and place > 0"), ["host", "token"]).filter(F.col("on") == F.col("pages"))
+    texts = texts.groupBy("host", "words").agg(F.collect_list("token").alias("tokens"))
+    tokens = valid.filter(F.size("tokens") > 1).select("host", "words", "tokens").unionByName(texts)
+    tokens = tokens.groupBy("host", "words").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
     slots = checks.filter("kind = 2").select("host", F.col("a").alias("path"), F.col("b").alias("depth"), "n", "m")
     everything = slots.filter("depth = 0").select("host", F.col("n").alias("total"))

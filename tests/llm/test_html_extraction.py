@@ -133,3 +133,106 @@ def test_long_and_hostile_pages():
     quotes = "<a '" * 20_000 + "<b \"" * 20_000
     texts = run([deep, many, quotes, "<" * 100_000, "<!--" * 50_000], *[[None] * 5] * 4)[0]
     assert texts[0] == "x" and texts[1] == " ".join("w" * 50_000)
+
+
+NOTICE = " ".join(f"the of n{i % 9} and m{i}" for i in range(12))                     # 48 words, most of them the articles' too
+PROMO = "if you like what you read here then tell all of your friends about the site and come back to it"
+POSTED = "posted on the site of our paper at {} by {} and filed under the heading of the day"
+
+
+def long_layout(draw, i, kind):
+    """Constant texts longer than a short run, of words that the articles hold too."""
+    common = "the of and if you like site paper on to it all n1 n2 m3 m4".split()
+    words = lambda n: " ".join(draw.choice(common) if draw.random() < 0.5 else f"w{draw.randrange(10**6)}" for _ in range(n))
+    body = [words(draw.randrange(30, 80)) for _ in range(draw.randrange(4, 7))]
+    paragraphs = "".join(f"<p>{b}</p>" for b in body)
+    if kind == "article":
+        return f"<html><body><article><p>{PROMO}</p>{paragraphs}<p>{NOTICE}</p></article></body></html>", " ".join(body)
+    line = POSTED.format(f"t{i}", f"a{i}")
+    page = f"<html><body><div class=\"x1\"><p>{NOTICE}</p></div><div class=\"x2\">{paragraphs}<p>{PROMO}</p><p>{line}</p></div></body></html>"
+    return page, " ".join([*body, f"t{i} by a{i}"])
+
+
+def test_template_text_in_long_runs(spark):
+    draw, rows, want = random.Random(3), [], {}
+    for i in range(80):
+        host, kind = (("http://one.x/", "plain"), ("https://two.y/p", "article"))[i % 2]
+        page, want[i] = long_layout(draw, i, kind)
+        rows.append((i, f"{host}{i}", page))
+    # Too few pages to tell: nothing is dropped.
+    few = [long_layout(draw, i, "article")[0] for i in range(10)]
+    rows += [(100 + i, f"http://few.z/{i}", page) for i, page in enumerate(few)]
+    made = got(extract_text(spark.createDataFrame(rows, KIND).repartition(7)))
+    assert {i: made[i] for i in want} == want
+    assert all(made[100 + i].startswith(PROMO) and made[100 + i].endswith(NOTICE) for i in range(10))
+
+
+def test_near_copies_of_an_article_are_no_template(spark):
+    """Not where a host has nothing else, nor where a container of their own tells them apart."""
+    draw = random.Random(4)
+    body = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    copies = [f"<html><body><article id=\"same\"><p>{'</p><p>'.join([*body, f'copy {i} ' + 'x ' * 15])}</p></article></body></html>" for i in range(20)]
+    rows = [(i, f"http://copies.z/{i}", page) for i, page in enumerate(copies)]
+    rows += [(100 + i, f"http://one.x/c{i}", page) for i, page in enumerate(copies)]
+    rows += [(200 + i, f"http://one.x/{i}", long_layout(draw, i, "article")[0]) for i in range(30)]
+    made = got(extract_text(spark.createDataFrame(rows, KIND).repartition(4)))
+    for i in range(20):
+        assert made[i] == made[100 + i] == " ".join([*body, f"copy {i}", *["x"] * 15])
+    assert not any(PROMO in made[200 + i] or NOTICE in made[200 + i] for i in range(30))
+
+
+def test_stretch_elsewhere_too_is_no_template(spark):
+    """Its class's pages hold it, but not once a round, or not at one place, or other pages have it too."""
+    line = "this line of some length stands now here and now there but always once on a page"
+    body = lambda i: " ".join(f"b{i}.{j}" for j in range(30))
+    spot = lambda i, own: f"<div>a{i}</div>{own if i % 2 else ''}<ul class=\"u\"></ul>{'' if i % 2 else own}"
+    rows = [(i, f"http://one.x/{i}", f"<html><body><p>{body(i)}</p>{spot(i, f'<p>{line}</p>')}</body></html>") for i in range(40)]
+    rows += [(100 + i, f"http://two.x/{i}", f"<html><body><p>{body(i)}</p>{'<ul></ul>' if i < 20 else ''}<p>{line}</p></body></html>") for i in range(40)]
+    rows += [(200 + i, f"http://three.x/{i}", f"<html><body><p>{body(i)}</p><p>{line}</p>{f'<p>{line}</p>' * (i % 2)}</body></html>") for i in range(40)]
+    made = got(extract_text(spark.createDataFrame(rows, KIND).repartition(3)))
+    assert all(line in made[i] and line in made[200 + i] for i in range(40))
+    assert all(made[100 + i] == body(i) for i in range(40))   # once on every page, after the body's tag
+
+
+def test_stretches_are_the_windows_of_all_runs():
+    page = parse("<div><p>a b c d</p>x<p>a b c d</p></div><p>a b c d</p><p>b a c d</p><br>a b c", Paths())
+    runs = [(p, item) for p in (0, 1) for item in page if item[0] == 1]
+    token, at, place = extraction.stretches([(item[1], extraction.container_seed(item)) for _, item in runs])
+    want = {}
+    for r, (_, (_, words, _, node, leaf)) in enumerate(runs):
+        padded = ["", *words, ""]
+        want.update({(r, j): (node.key, leaf, *padded[j:j + 3]) for j in range(len(words))})
+        want[r, -1] = (node.key, leaf, "all", *words)
+    made = dict(zip(zip(at.tolist(), place.tolist()), token.tolist()))
+    assert made.keys() == want.keys() and len(token) == len(made)
+    pairs = {(made[k], want[k]) for k in want}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert [len(x) for x in extraction.stretches([])] == [0] * 3
+    wanted = token[place >= 0][::3]
+    found = extraction.known_stretches([page, page, page], [wanted, None, wanted[:0]])
+    assert {t for *_, t in found[0]} == set(wanted.tolist()) and found[1:] == [[], []]
+    odd = ["a", "ab", "ba", "\U0001f600", "\uf600", "\ud83d", "b" * 300, "b" * 301, "a\x00"]
+    assert len(set(extraction.word_hashes(odd).tolist())) == len(odd)
+    assert extraction.word_hashes(odd * 2).tolist() == [h for w in odd * 2 for h in extraction.word_hashes([w]).tolist()]
+
+
+def test_tasks_hand_on_every_stretch_with_a_tags_vector(monkeypatch):
+    """However a task's pages are cut: sums of kept stretches are those of all of them."""
+    import pyarrow as pa
+
+    draw = random.Random(6)
+    pages = [long_layout(draw, i, "plain")[0] for i in range(30)]
+    batches = lambda n: [pa.RecordBatch.from_pydict({"host": [7] * len(c), "html": c, "words": [True] * len(c)}) for c in (pages[i:i + n] for i in range(0, 30, n))]
+
+    def sums(batches):
+        total = {}
+        for batch in extraction.vector_task(iter(batches)):
+            for host, kind, token, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                total[host, kind, token] = [a + b for a, b in zip(total.get((host, kind, token), [0] * 3), values)]
+        tags = {tuple(v) for (_, kind, _), v in total.items() if kind == 1}
+        return {k: v for k, v in total.items() if k[1] < 2 or tuple(v) in tags and v[0] >= extraction.WORD_PAGES}
+
+    whole = sums(batches(30))
+    assert sum(k[1] == 2 for k in whole) > 60
+    monkeypatch.setattr(extraction, "TASK_STRETCHES", 100)
+    assert sums(batches(5)) == sums(batches(1)) == whole
